@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup
+from . import simhash, substring_dedup
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -29,16 +29,23 @@ WITH w AS (
 ), gone AS (
   SELECT doc_id, list(i) AS starts FROM e WHERE n > 1 GROUP BY doc_id
 ), covered AS (
-  SELECT w.doc_id, words, flatten(list_transform(coalesce(starts, []), x -> range(x, x + 20))) AS c FROM w LEFT JOIN gone USING (doc_id)
+  SELECT w.doc_id, words, flatten(list_transform(coalesce(starts, []), lambda x: range(x, x + 20))) AS c FROM w LEFT JOIN gone USING (doc_id)
 ), kept AS (
-  SELECT doc_id, len(words) AS n, list_filter(words, (x, k) -> NOT list_contains(c, k)) AS k
+  SELECT doc_id, len(words) AS n, list_filter(words, lambda x, k: NOT list_contains(c, k)) AS k
   FROM (SELECT doc_id, words, list_distinct(c) AS c FROM covered)
 )
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n - len(k) AS BIGINT) AS n_removed,
        sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
 """
 
-_QUERIES = {"op1_substring_dedup": op1_substring_dedup}
+def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_groups(_table(spark, sf_dir, "documents"))
+
+
+_QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op10_simhash_bktree": op10_simhash_bktree,
+}
 _ORACLES = {"op1_substring_dedup": OP1}
 
 
