@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, substring_dedup
+from . import bpe, quality, simhash, substring_dedup, token_counts
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -38,15 +38,69 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n - len(k) AS BIGINT) AS n_rem
        sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
 """
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_digests(_table(spark, sf_dir, "documents"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(_table(spark, sf_dir, "documents"))
+
+
+def _sql_list(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+def _verdicts() -> str:
+    """A CASE for each rule of the threshold table."""
+    cases = []
+    for name, ratio, least, most in quality.THRESHOLDS:
+        over, under = ratio.split(" / ")
+        x = f"CAST({over} AS DOUBLE) / nullif({under}, 0)"
+        bad = [f"{x} < {least}"] * (least is not None) + [f"{x} > {most}"] * (most is not None)
+        cases.append(f"CASE WHEN {' OR '.join(bad)} THEN '{name}' END")
+    return f"list_filter([{', '.join(cases)}], lambda x: x IS NOT NULL)"
+
+
+OP6 = rf"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORDS}')) AS l FROM documents
+), g AS (
+  SELECT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k, i FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM t)
+), r AS (
+  SELECT doc_id, count(DISTINCT j) AS n FROM (
+    SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM g) WHERE c > 1
+  ) GROUP BY doc_id
+), f AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(l) AS n_lines,
+         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
+         len(list_filter(w, lambda x: lower(x) IN ({_sql_list(sorted({w for ws in quality.STOP_WORDS.values() for w in ws}))}))) AS n_stop_words
+  FROM t LEFT JOIN r USING (doc_id)
+), v AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {_verdicts()} AS failed FROM f
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND len(failed) = 0 AS kept, failed FROM v
+"""
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(_table(spark, sf_dir, "documents"))
 
 
 _QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op5_byte_bpe": op5_byte_bpe,
+    "op6_quality_rules": op6_quality_rules,
+    "op9_token_counts": op9_token_counts,
     "op10_simhash_bktree": op10_simhash_bktree,
 }
-_ORACLES = {"op1_substring_dedup": OP1}
+_ORACLES = {"op1_substring_dedup": OP1, "op6_quality_rules": OP6}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
