@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality, simhash, substring_dedup, token_counts
+from . import ann, bpe, mixing, quality, simhash, substring_dedup, token_counts
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -38,6 +38,10 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n - len(k) AS BIGINT) AS n_rem
        sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
 """
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.source_mix(_table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"))
 
@@ -85,6 +89,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def op8_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+OP8 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+), p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v))) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p
+)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"))
 
@@ -95,12 +116,14 @@ def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_source_mix": op2_source_mix,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_quality_rules": op6_quality_rules,
+    "op8_one_bit_neighbours": op8_one_bit_neighbours,
     "op9_token_counts": op9_token_counts,
     "op10_simhash_bktree": op10_simhash_bktree,
 }
-_ORACLES = {"op1_substring_dedup": OP1, "op6_quality_rules": OP6}
+_ORACLES = {"op1_substring_dedup": OP1, "op6_quality_rules": OP6, "op8_one_bit_neighbours": OP8}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
