@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, mixing, quality, simhash, substring_dedup, token_counts
+from . import ann, bpe, chat, licenses, mixing, quality, simhash, substring_dedup, token_counts, warc
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -42,6 +42,40 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.source_mix(_table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(_table(spark, sf_dir, "documents"))
+
+
+def _canonical_sql(x: str) -> str:
+    lines = r"(?m)^[^\p{L}\p{N}\n©]*(?:(?:copyright|\(c\)|©)\s*(?:\(c\)|©|\d{4}|by\b|<|\[)[^\n]*|all rights reserved\.?[ \t]*)$"
+    x = f"regexp_replace(lower(coalesce({x}, '')), '{lines}', ' ', 'g')"
+    for old, new in licenses.SPELLINGS:
+        x = f"replace({x}, '{old}', '{new}')"
+    return f"trim(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ')"
+
+
+def _known_sql() -> str:
+    return ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in licenses.KNOWN)
+
+
+OP3 = rf"""
+WITH known AS (
+  SELECT sha256({_canonical_sql("t")}) AS digest, min(i) AS license_id FROM (VALUES {_known_sql()}) k(i, t) GROUP BY 1
+), d AS (
+  SELECT row_number() OVER () AS r, doc_id, text FROM documents
+), l AS (
+  SELECT r, list_sort(list(DISTINCT license_id)) AS ids
+  FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) JOIN known ON sha256({_canonical_sql("line")}) = known.digest GROUP BY r
+)
+SELECT doc_id, sha256({_canonical_sql("text")}) AS digest, license_id, coalesce(ids, []) AS line_licenses
+FROM d LEFT JOIN l USING (r) LEFT JOIN known ON sha256({_canonical_sql("text")}) = known.digest
+"""
+
+
+def op4_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repaired_chats(_table(spark, sf_dir, "conversations"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"))
 
@@ -89,6 +123,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def op7_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_audit(_table(spark, sf_dir, "pages"))
+
+
 def op8_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"))
 
@@ -117,13 +155,21 @@ def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_source_mix": op2_source_mix,
+    "op3_license_scan": op3_license_scan,
+    "op4_chat_repair": op4_chat_repair,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_quality_rules": op6_quality_rules,
+    "op7_warc_audit": op7_warc_audit,
     "op8_one_bit_neighbours": op8_one_bit_neighbours,
     "op9_token_counts": op9_token_counts,
     "op10_simhash_bktree": op10_simhash_bktree,
 }
-_ORACLES = {"op1_substring_dedup": OP1, "op6_quality_rules": OP6, "op8_one_bit_neighbours": OP8}
+_ORACLES = {
+    "op1_substring_dedup": OP1,
+    "op3_license_scan": OP3,
+    "op6_quality_rules": OP6,
+    "op8_one_bit_neighbours": OP8,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
