@@ -1 +1 @@
-
+"""Queries composed of operators."""
