@@ -33,7 +33,7 @@ PIECE_TURNS, PIECE_CHARS = 1024, 4 << 20
 OPEN, CLOSE, JOINT = "<|im_start|>{}\n", "<|im_end|>\n", "\n\n"
 
 _PIECE = "conv_id long, part int, k int, turns array<struct<turn:long,role:string,text:string>>, costs array<long>"
-_OUT = "conv_id long, turn long, place int, role_before string, role string, action string, rendered string"
+_OUT = "conv_id long, seq long, turn long, place int, role_before string, role string, action string, rendered string"
 
 
 def _chain(state: int, role: int) -> list[int] | None:
@@ -134,12 +134,13 @@ def _pieces(table):
 def _costs_before(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["part", "k"])
     cost, out = [0, NEVER, NEVER, NEVER], []
+    pdf["skip"] = pdf["n"].cumsum() - pdf["n"]
     for m in pdf["costs"]:
         out.append(cost)
         cost = [min(NEVER, min(cost[p] + int(m[4 * p + q]) for p in range(4))) for q in range(4)]
     pdf["before"] = out
     pdf["last"] = [False] * (len(pdf) - 1) + [True]
-    return pdf[["conv_id", "part", "k", "before", "last"]]
+    return pdf[["conv_id", "part", "k", "before", "last", "skip"]]
 
 
 def _entries(table):
@@ -175,28 +176,29 @@ def _exits(ending):
 
 
 def render(turns: list[dict], path: list[int], table, last: bool, ending) -> list[tuple]:
-    """(turn, place, role before, role, action, text) for a piece: place 0 is the turn, others are empty ones beside it."""
+    """(seq in the piece, turn, place, role before, role, action, text): place 0 is the turn, others are empty ones
+    beside it."""
 
     def opened(role: int, state: int) -> str:
         return (CLOSE if state != START else "") + OPEN.format(NAMES[role])
 
     out = []
-    for t, p, q in zip(turns, path, path[1:]):
+    for i, (t, p, q) in enumerate(zip(turns, path, path[1:])):
         r = role_code(t["role"])
         _, merged, chain = table[r][p][q]
         text = (t["text"] or "").replace("<|im_", "<| im_")
         state = p
         for n, empty in enumerate(chain):
-            out.append((t["turn"], n - len(chain), None, NAMES[empty], "insert", opened(empty, state)))
+            out.append((i, t["turn"], n - len(chain), None, NAMES[empty], "insert", opened(empty, state)))
             state = empty
         what = ["relabel"] * (r != q) + ["merge"] * merged
-        out.append((t["turn"], 0, t["role"], NAMES[q], "+".join(what) or "keep", (JOINT if merged else opened(q, state)) + text))
+        out.append((i, t["turn"], 0, t["role"], NAMES[q], "+".join(what) or "keep", (JOINT if merged else opened(q, state)) + text))
     if last:
         state = path[-1]
         for n, empty in enumerate(ending[state][1]):
-            out.append((turns[-1]["turn"], n + 1, None, NAMES[empty], "insert", opened(empty, state)))
+            out.append((len(turns) - 1, turns[-1]["turn"], n + 1, None, NAMES[empty], "insert", opened(empty, state)))
             state = empty
-        out[-1] = (*out[-1][:5], out[-1][5] + CLOSE)
+        out[-1] = (*out[-1][:6], out[-1][6] + CLOSE)
     return out
 
 
@@ -209,18 +211,20 @@ def _repair(table, ending):
                 before = [0, NEVER, NEVER, NEVER] if whole else r["before"]
                 after, back = forward([role_code(t["role"]) for t in r["turns"]], before, table)
                 end = _best_end(after, ending) if whole else r["exit"]
-                rows += [(r["conv_id"], *x) for x in render(r["turns"], states(back, end), table, whole or r["last"], ending)]
-            cols = list(zip(*rows)) or [()] * 7
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string())
+                skip = 0 if whole else r["skip"]
+                rows += [(r["conv_id"], skip + n, *x) for n, *x in render(r["turns"], states(back, end), table, whole or r["last"], ending)]
+            cols = list(zip(*rows)) or [()] * 8
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], [x.split()[0] for x in _OUT.split(", ")])
 
     return run
 
 
 def repaired_chats(turns: DataFrame, merge: int = MERGE, relabel: int = RELABEL, insert: int = INSERT) -> DataFrame:
-    """(conv_id, turn, place, role_before, role, action, rendered): a row for each turn, and for each empty one inserted.
+    """(conv_id, seq, turn, place, role_before, role, action, rendered): a row for each turn, and for each empty one
+    inserted. seq numbers a conversation's turns from 0.
 
-    A conversation's text is rendered in order of (turn, place). action: keep, merge (into the turn before), relabel,
+    A conversation's text is rendered in order of (seq, place). action: keep, merge (into the turn before), relabel,
     relabel+merge or insert. Turns are in order of turn (null last), then role, then text; repeated rows are turns like
     others (they merge). Unknown and null roles are relabelled; null texts are empty. Rows with null conv_id are one
     conversation. The markers of the format are broken up inside texts. Other columns are ignored.
@@ -234,10 +238,10 @@ def repaired_chats(turns: DataFrame, merge: int = MERGE, relabel: int = RELABEL,
     key = ["conv_id", "part", "k"]
     many = pieces.groupBy("conv_id").count().where("count > 1").select(F.col("conv_id").alias("_conv"))
     cut = pieces.join(many, F.col("conv_id").eqNullSafe(F.col("_conv")), "left_semi")
-    before = staged(cut.select(*key, "costs").groupBy("conv_id").applyInPandas(_costs_before, "conv_id long, part int, k int, before array<long>, last boolean"), "before")
+    before = staged(cut.select(*key, F.size("turns").alias("n"), "costs").groupBy("conv_id").applyInPandas(_costs_before, "conv_id long, part int, k int, before array<long>, last boolean, skip long"), "before")
     place = before.select(F.col("part").alias("_part"), F.col("k").alias("_k"), "before", "last")
     at = (F.col("part") == F.col("_part")) & (F.col("k") == F.col("_k"))
     entries = pieces.join(place, at).mapInArrow(_entries(table), "conv_id long, part int, k int, last boolean, after array<long>, frm array<int>")
     exits = entries.groupBy("conv_id").applyInPandas(_exits(ending), "conv_id long, part int, k int, exit int")
-    place = before.join(exits.select("part", "k", "exit"), ["part", "k"]).select(F.col("part").alias("_part"), F.col("k").alias("_k"), "before", "last", "exit")
+    place = before.join(exits.select("part", "k", "exit"), ["part", "k"]).select(F.col("part").alias("_part"), F.col("k").alias("_k"), "before", "last", "skip", "exit")
     return pieces.join(place, at, "left").drop("_part", "_k").mapInArrow(_repair(table, ending), _OUT)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import staged
+from .staging import packed, staged, unpacked
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2
@@ -155,5 +155,5 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFram
     counts = counts.where("size > 0").select(F.col("hash").alias("_hash"), F.col("source").alias("_source"), F.col("doc_id").alias("_id"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_times")).where("_times > 0")
     hashed = F.xxhash64(F.xxhash64("text"), F.col("doc_id"), F.lit(17))
     on = (hashed == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-    rows = docs.join(counts, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = packed(docs, "doc_id", "text", "source").join(counts, on)
+    return unpacked(rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))))

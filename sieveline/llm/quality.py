@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .staging import packed
+
 BLANK = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -127,9 +129,7 @@ def quality_report(docs: DataFrame, thresholds=THRESHOLDS, min_words: int = MIN_
 
 def accepted(docs: DataFrame, thresholds=THRESHOLDS, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of docs that quality_report keeps, with all their columns. Works on each row alone: no join."""
-    names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row"), F.col("text").alias("text"))
-    rows = figures(packed.select(F.col("_row").alias("doc_id"), "text"))
+    rows = figures(packed(docs, "text").select(F.col("_row").alias("doc_id"), "text"))
     good = ~((F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     for _, bad in compiled(thresholds):
         good = good & ~bad

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .staging import staged
+from .staging import packed, staged, unpacked
 from .words import U64, Words, slices
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -237,5 +237,5 @@ def one_of_each_group(docs: DataFrame, n: int = SHINGLE, radius: int = RADIUS, s
     firsts = ids.groupBy("root").agg(F.min(F.struct("key", "doc_id")).alias("f"))
     firsts = staged(firsts.select(F.col("f.doc_id").alias("_id"), F.col("f.key").alias("_key")), "firsts")
     again = ids.groupBy("doc_id", "key").count().where("count > 1").join(firsts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left_semi")
-    rows = docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_semi")
-    return rows if again.isEmpty() else rows.dropDuplicates(["doc_id", "text"])
+    rows = packed(docs, "doc_id", "text").join(firsts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_semi")
+    return unpacked(rows if again.isEmpty() else rows.dropDuplicates(["doc_id", "text"]))

@@ -12,6 +12,7 @@ import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules["sieveline.llm"])
 
@@ -73,3 +74,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def process_cache() -> dict:
     """One dictionary for each Python process, whichever way this code was shipped to it."""
     return sys.modules.setdefault("_sieveline_process_cache", types.ModuleType("_sieveline_process_cache")).__dict__
+
+
+def packed(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and all columns as one struct _row: other names can't clash with those an operator adds."""
+    return df.select(*names, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    return df.select("_row.*")

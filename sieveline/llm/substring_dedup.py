@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import shuffle_partitions, staged
+from .staging import packed, shuffle_partitions, staged, unpacked
 from .words import U64, Words, mixed, slices, sliding_min, tuple_hashes
 
 WINDOW, RUN = 20, 3
@@ -315,10 +315,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     All columns stay, n_chars (where there is one) is the new length. Documents of which nothing is left stay with an
     empty text. Null texts stay null.
     """
-    rows = _with_ranges(docs, window)
-    fields = [f for f in docs.schema.fields if f.name != "text"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "_n_words long, _n_removed long, _kept string"])
-    out = rows.mapInArrow(lambda b: _cutter(b, True), schema).withColumnRenamed("_kept", "text")
+    rows = _with_ranges(packed(docs, "doc_id", "text"), window)
+    kinds = f"doc_id long, _row {docs.select(F.struct('*').alias('r')).schema['r'].dataType.simpleString()}"
+    out = rows.select("doc_id", "_row", "text", "_ranges").mapInArrow(lambda b: _cutter(b, True), f"{kinds}, _n_words long, _n_removed long, _kept string")
+    row = F.col("_row").withField("text", F.col("_kept"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        row = row.withField("n_chars", F.length("_kept").cast(docs.schema["n_chars"].dataType))
+    return unpacked(out.select(row.alias("_row")))
