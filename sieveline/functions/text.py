@@ -139,9 +139,13 @@ def layered_cleanup(x: Column, limit: int = 75) -> Column:
     return F.struct(text.alias("text"), found.alias("delimiter_found"), (~found).alias("delimiter_missing"), at.isNotNull().alias("heuristic_cutoff"), (n_words(text) >= limit).alias("hit_token_limit"), contains_any(text, (HASHES, *RUNAWAY_CHAT)).alias("forbidden_markers"))
 
 
-def first_answer_line(x: Column, echoes: Sequence[str]) -> Column:
+# Phrases of a prompt that its continuation repeats.
+PROMPT_ECHOES = ("here are examples", "prompt:", "response:", "another", "would be:")
+
+
+def first_answer_line(x: Column, echoes: Sequence[str] = PROMPT_ECHOES) -> Column:
     """The first line that repeats nothing of the prompt; the whole stripped text if there is none."""
-    lines = F.filter(F.transform(F.split(x, "\n"), strip), lambda line: (line != "") & ~contains_any(line, echoes))
+    lines = F.filter(F.transform(F.split(x, "\n"), strip), lambda line: (line != "") & ~contains_any(F.lower(line), echoes))
     return F.coalesce(F.try_element_at(lines, F.lit(1)), strip(x))
 
 

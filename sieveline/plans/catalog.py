@@ -710,7 +710,7 @@ PAIRED = f"""WITH c AS (SELECT CASE WHEN grouping(type) = 1 THEN 'overall' ELSE
   count(*) FILTER (a = 0 AND b = 1) AS n01, count(*) FILTER (a = 1 AND b = 0) AS n10 FROM ({OUTCOMES}) GROUP BY ROLLUP (type)), s AS (
 SELECT *, n_a / n AS a_rate, n_b / n AS b_rate, n_b / n - n_a / n AS lift, 2 * (asin(sqrt(n_b / n)) - asin(sqrt(n_a / n))) AS cohens_h, {A_CI[0]} AS a_low, {A_CI[1]} AS a_high, {B_CI[0]} AS b_low, {B_CI[1]} AS b_high,
   CASE WHEN {DISCORD} = 0 THEN 0.0 WHEN {DISCORD} < 25 THEN CAST(least(n01, n10) AS DOUBLE) ELSE {CHI2} END AS statistic,
-  CASE WHEN {DISCORD} = 0 THEN 1.0 WHEN {DISCORD} < 25 THEN {q.binomial_p('n01', 'n10')} ELSE {q.chi2_p(CHI2)} END AS p,
+  CASE WHEN {DISCORD} = 0 THEN 1.0 WHEN {DISCORD} < 25 THEN round({q.binomial_p('n01', 'n10')}, 12) ELSE {q.chi2_p(CHI2)} END AS p,
   CASE WHEN {DISCORD} = 0 THEN 'none' WHEN {DISCORD} < 25 THEN 'exact' ELSE 'chi2' END AS method FROM c)"""
 STATS = ("a_rate", "b_rate", "lift", "cohens_h", "a_low", "a_high", "b_low", "b_high", "statistic", "p")
 ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in STATS)
@@ -822,7 +822,7 @@ def capability_matrix(spark, d):
 
 @query(f"""WITH m AS ({MATRIX}), p AS (SELECT model, max(primary_score) FILTER (category = 'pure_instruction') AS instruction, max(primary_score) FILTER (category = 'question_answer') AS answer, max(primary_score) FILTER (category = 'pure_completion') AS completion, avg(overall_score) AS overall FROM m WHERE temperature = 0.5 GROUP BY model)
 SELECT p.model, round(p.instruction, 6) AS instruction, round(p.answer, 6) AS answer, round(p.completion, 6) AS completion, round(p.overall, 6) AS overall, round(p.instruction - b.instruction, 6) AS improvement,
-  p.instruction >= 0.7 AS instruction_ok, p.instruction - b.instruction >= 0.4 AS improvement_ok, p.overall >= 0.6 AS overall_ok, p.instruction >= 0.7 AND p.instruction - b.instruction >= 0.4 AND p.overall >= 0.6 AS ready,
+  p.instruction >= 0.7 AS instruction_ok, p.instruction - b.instruction >= 0.4 AS improvement_ok, p.overall >= 0.6 AS overall_ok, coalesce(p.instruction >= 0.7 AND p.instruction - b.instruction >= 0.4 AND p.overall >= 0.6, false) AS ready,
   CASE WHEN p.instruction >= 0.7 AND p.answer >= 0.6 AND p.completion >= 0.8 THEN ['ready for the next stage'] ELSE list_filter([CASE WHEN p.instruction < 0.7 THEN 'train on more diverse commands' END, CASE WHEN p.answer < 0.6 THEN 'add question and answer pairs' END, CASE WHEN p.completion < 0.8 THEN 'preserve completion ability' END], lambda x: x IS NOT NULL) END AS advice
 FROM p, (SELECT * FROM p WHERE model = 'en') b WHERE p.model <> 'en'""")
 def stage_readiness(spark, d):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,13 +22,18 @@ def read_tolerant(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 
 def read_checked(spark: SparkSession, path: str, schema: T.StructType, validator: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, bad): bad holds file, line number (from 1, blank lines counted) and text of lines that aren't JSON of the
-    schema. Files are read as whole lines; numbers come from positions in each file, read as one piece."""
-    lines = spark.read.option("wholetext", "true").text(path).withColumn(FILE, F.input_file_name())
-    lines = lines.select(FILE, F.posexplode(F.split("value", "\r?\n")).alias("_at", "_line")).where(F.trim("_line") != "")
+    schema. Lines of a split are numbered by their ids there, after the counts of the file's splits before it; only
+    counts of splits are joined."""
+    m = F.col("_metadata")
+    lines = spark.read.text(path).select("value", m["file_path"].alias(FILE), m["file_block_start"].alias("_block"), F.monotonically_increasing_id().alias("_id"))
     full = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
-    parsed = lines.withColumn("_row", F.from_json("_line", full, {"columnNameOfCorruptRecord": BAD, "mode": "PERMISSIVE"}))
+    parsed = lines.where(F.trim("value") != "").withColumn("_row", F.from_json("value", full, {"columnNameOfCorruptRecord": BAD, "mode": "PERMISSIVE"}))
     rows = parsed.where(F.col(f"_row.{BAD}").isNull()).select("_row.*").drop(BAD)
-    bad = parsed.where(F.col(f"_row.{BAD}").isNotNull()).select(F.col(FILE).alias("file"), (F.col("_at") + 1).alias("line"), F.col("_line").alias("text"))
+    blocks = lines.groupBy(FILE, "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy(FILE).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    bad = parsed.where(F.col(f"_row.{BAD}").isNotNull()).join(blocks, [FILE, "_block"])
+    bad = bad.select(F.col(FILE).alias("file"), (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line"), F.col("value").alias("text"))
     return (validator(rows) if validator else rows), bad
 
 
