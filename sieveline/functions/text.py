@@ -337,6 +337,16 @@ def critic_prompt(instruction: Column, response: Column, most: int = 500) -> Col
     return F.concat(F.lit("Instruction: "), instruction, F.lit("\nResponse: "), first_paragraph(response, most), F.lit("\n\nIs this response A (good) or B (bad)?\nAnswer:"))
 
 
+def improvement_prompt(instruction: Column, response: Column, critique: Column) -> Column:
+    """What a model completes with a better response."""
+    return F.concat(F.lit("Instruction: "), instruction, F.lit("\nDraft: "), first_paragraph(response), F.lit("\nCritique: "), critique, F.lit("\nBetter response:"))
+
+
+def principle_prompt(instruction: Column, response: Column, principle: Column) -> Column:
+    """What a model completes with a critique of a response in the light of a principle."""
+    return F.concat(F.lit("Principle: "), principle, F.lit("\nInstruction: "), instruction, F.lit("\nResponse: "), first_paragraph(response), F.lit("\nCritique:"))
+
+
 # Critic verdicts
 
 

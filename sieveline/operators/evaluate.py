@@ -51,6 +51,16 @@ def condition_contrasts(results: DataFrame) -> DataFrame:
     return out.select("*", *[(F.col(a) - F.col(b)).alias(n) for n, (a, b) in gaps.items()])
 
 
+def stage_summary(rows: DataFrame, kind: str, error: str, order: str, k: int = 3) -> DataFrame:
+    """(kind, n, n_ok, samples): rows of a stage and those without an error, with the first k of these by order."""
+    ok = F.col(error).isNull()
+    counts = rows.groupBy(kind).agg(F.count("*").alias("n"), F.count_if(ok).alias("n_ok"))
+    from .ranking import first_of_each
+
+    samples = first_of_each(rows.where(ok), [kind], [order], k).groupBy(kind).agg(F.array_sort(F.collect_list(order)).alias("samples"))
+    return counts.join(samples, kind, "left")
+
+
 def previews(df: DataFrame, kind: str, order: str, k: int = 3) -> DataFrame:
     """The first k successes and failures of each kind."""
     from .ranking import first_of_each

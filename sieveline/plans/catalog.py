@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scorers, stats, text
 from ..operators import capability, conversation, dedup, evaluate, generate, leakage, models, pairs, qc, ranking, validate
+from ..sources import files
+from ..streaming import dedup as streaming
 from . import sql as q
 from .views import OUTCOMES, PROBES, VERDICTS, table, view
 
@@ -1033,3 +1035,100 @@ def turn_checks(spark, d):
     words = F.array(F.lit("the"), F.lit("der"))
     t = F.col("text")
     return table(spark, d, "conversations").select("conv_id", "turn", conversation.respects(t, words).alias("respects"), conversation.asks_to_clarify(t).alias("clarifies"), conversation.sane_length(t, 10, 500).alias("sane"))
+
+
+# Sources, sinks and plans of runs
+
+
+@query("SELECT doc_id, text, lang, source, n_chars FROM documents")
+def jsonl_round_trip(spark, d):
+    x = docs(spark, d)
+    path = files.scratch(spark, "jsonl")
+    files.write_jsonl(x, path)
+    return files.read_strict(spark, path, x.schema)
+
+
+@query("SELECT source, count(*) AS n, sum(n_chars) AS n_chars FROM documents WHERE source IN ('src0', 'src1', 'src2') GROUP BY source")
+def shard_files(spark, d):
+    """Shards written apart, read again by one pattern with their path as key."""
+    x, root = docs(spark, d), files.scratch(spark, "shards")
+    for name in ("src0", "src1", "src2"):
+        files.write_jsonl(x.where(F.col("source") == name), f"{root}/shard_{name}.jsonl")
+    files.require_shards(spark, root, [f"shard_{n}.jsonl" for n in ("src0", "src1", "src2")])
+    rows = files.read_shards(spark, root, x.schema)
+    return rows.groupBy(F.regexp_extract(files.FILE, r"shard_(\w+)\.jsonl", 1).alias("source")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))
+
+
+@query("SELECT doc_id + 1 AS line FROM documents WHERE doc_id % 50 = 7")
+def quarantined_lines(spark, d):
+    """Lines that aren't JSON, with their numbers."""
+    path = files.scratch(spark, "lines")
+    line = F.when(F.col("doc_id") % 50 == 7, F.lit("{broken")).otherwise(F.to_json(F.struct("doc_id")))
+    docs(spark, d).orderBy("doc_id").select(line.alias("value")).coalesce(1).write.text(path)
+    return files.read_checked(spark, path, docs(spark, d).select("doc_id").schema)[1].select("line")
+
+
+@query("SELECT n_nationkey AS test, m AS model, t AS temperature FROM nation, (VALUES ('base'), ('sft')) a(m), (VALUES (0.1::DOUBLE), (0.5), (0.9)) b(t)")
+def run_plan(spark, d):
+    tests = table(spark, d, "nation").select(F.col("n_nationkey").alias("test"))
+    return capability.fan_out_runs(tests, spark.range(1).select(F.explode(F.array(F.lit("base"), F.lit("sft"))).alias("model")))
+
+
+@query(f"""SELECT kind, count(*) AS n, count(*) FILTER (doc_id % 3 > 0) AS n_ok, list_sort(list(doc_id) FILTER (k <= 3 AND doc_id % 3 > 0)) AS samples
+FROM (SELECT *, row_number() OVER (PARTITION BY kind, doc_id % 3 > 0 ORDER BY doc_id) AS k FROM ({PROBES})) GROUP BY kind""")
+def stage_summary(spark, d):
+    p = probes(spark, d).withColumn("error", F.when(F.col("doc_id") % 3 == 0, "failed"))
+    return evaluate.stage_summary(p, "kind", "error", "doc_id")
+
+
+IMPROVED = f"SELECT doc_id, instruction, response AS original, CASE WHEN doc_id % 4 = 0 THEN response ELSE 'Better: ' || substr(response, 1, 30) END AS improved, n_chars % 2 = 0 AS original_good, n_chars % 3 > 0 AS improved_good FROM ({PROBES})"
+
+
+@query(f"""SELECT instruction, CASE WHEN original_good AND NOT improved_good THEN original ELSE improved END AS chosen, CASE WHEN original_good AND NOT improved_good THEN improved ELSE original END AS rejected,
+  CASE WHEN original_good AND NOT improved_good THEN 'only the original is good' WHEN original_good THEN 'both good, improved preferred' ELSE 'only the improved is good' END AS reason
+FROM ({IMPROVED}) WHERE {q.strip('original')} <> {q.strip('improved')} AND (original_good OR improved_good)""")
+def improvement_pairs(spark, d):
+    return pairs.improvement_pairs(view(spark, d, IMPROVED))
+
+
+@query(f"SELECT doc_id, CASE WHEN original_good THEN original ELSE improved END AS final FROM ({IMPROVED})")
+def improve_failures(spark, d):
+    return pairs.repaired_responses(view(spark, d, IMPROVED).withColumn("success", F.col("original_good"))).select("doc_id", "final")
+
+
+@query(f"""SELECT doc_id, 'Instruction: ' || instruction || chr(10) || 'Response: ' || substr(string_split(response, chr(10) || chr(10))[1], 1, 500) || chr(10) || chr(10) || 'Is this response A (good) or B (bad)?' || chr(10) || 'Answer:' AS critic,
+  'Principle: be kind' || chr(10) || 'Instruction: ' || instruction || chr(10) || 'Response: ' || string_split(response, chr(10) || chr(10))[1] || chr(10) || 'Critique:' AS principle FROM ({PROBES})""")
+def critic_prompts(spark, d):
+    return probes(spark, d).select("doc_id", text.critic_prompt(I(), R()).alias("critic"), text.principle_prompt(I(), R(), F.lit("be kind")).alias("principle"))
+
+
+@query(f"""WITH l AS (SELECT doc_id, {q.strip('response')} AS s, list_filter({LINES}, lambda l: l <> '' AND NOT {q.has('lower(l)', 'here are examples', 'prompt:', 'response:', 'another', 'would be:')}) AS ls FROM ({PROBES}))
+SELECT doc_id, coalesce(ls[1], s) AS line FROM l""")
+def first_answer_line(spark, d):
+    return probes(spark, d).select("doc_id", text.first_answer_line(R()).alias("line"))
+
+
+@query(f"""WITH r AS (SELECT type AS condition, count(*) AS n, sum(b) AS x FROM ({OUTCOMES}) GROUP BY type)
+SELECT bool_and(x / n BETWEEN 0.5 AND 1.0) AS within_bounds FROM r""")
+def condition_bounds(spark, d):
+    o = view(spark, d, OUTCOMES).groupBy(F.col("type").alias("condition")).agg(F.count("*").alias("n"), F.sum("b").alias("n_success"))
+    bounds = {k: (0.5, 1.0) for k in ("en", "fr", "de", "es")}
+    return evaluate.condition_gate(o, bounds, "en", "fr").select("within_bounds")
+
+
+@query(f"SELECT doc_id, instruction AS prompt, response AS chosen, kind AS instruction_type, 0.5::DOUBLE AS margin FROM ({PROBES}) WHERE n_chars % 2 = 0 OR n_chars % 5 = 0")
+def normalized_pairs(spark, d):
+    p = probes(spark, d).select("doc_id", I().alias("prompt"), R().alias("chosen"), F.lit("x").alias("rejected"), K().alias("instruction_type"), F.lit(0.5).alias("margin"), F.when(F.col("n_chars") % 5 == 0, F.lit(None).cast("boolean")).otherwise(F.col("n_chars") % 2 == 0).alias("confident"))
+    ids = p.select("doc_id", "prompt", "chosen", "rejected", "instruction_type", "margin", "confident")
+    out = pairs.normalized_pairs(ids.withColumn("prompt", F.concat_ws("\u0001", F.col("doc_id").cast("string"), "prompt")))
+    return out.select(F.split("prompt", "\u0001")[0].cast("long").alias("doc_id"), F.split("prompt", "\u0001")[1].alias("prompt"), "chosen", "instruction_type", "margin")
+
+
+@query(f"SELECT DISTINCT md5({q.norm('text')}) AS key FROM documents")
+def streaming_dedup(spark, d):
+    """The growing pool as a stream: each batch of files adds the rows whose key hasn't come before."""
+    x, root = docs(spark, d).select("doc_id", "text"), files.scratch(spark, "stream")
+    files.write_jsonl(x.repartition(6), f"{root}/in")
+    fresh = streaming.unseen(streaming.read_shards(spark, f"{root}/in", x.schema, files_per_trigger=3), "text")
+    streaming.append_to(fresh, f"{root}/out", f"{root}/state").awaitTermination()
+    return spark.read.schema(x.schema).parquet(f"{root}/out").select(F.md5(text.norm_key(F.col("text"))).alias("key"))

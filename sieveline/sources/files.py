@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,6 +13,22 @@ from pyspark.sql import types as T
 FILE, BAD = "_file", "_bad_line"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for files that one run makes: in the folder named by spark.checkpoint.dir, which all machines share;
+    a temporary one only where it is unset and all is on one machine."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if root is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='sieveline-')}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def column(df: DataFrame, name: str = "instruction") -> DataFrame:
+    """One column only; the scan reads no other."""
+    return df.select(name)
+
+
 def read_strict(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """JSON lines where a bad line is an error when it is read. Blank lines are skipped."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
