@@ -264,7 +264,7 @@ def sentinels(spark, d):
     return p.select("doc_id", "expected", text.sentinel_passed(R(), F.col("expected")).alias("passed"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, list_transform({q.words('response')}, lambda w: length(w)) AS ids FROM ({PROBES}))
+@query(f"""WITH t AS (SELECT doc_id, list_transform({q.words('response')}, lambda w: CAST(length(w) AS INT)) AS ids FROM ({PROBES}))
 SELECT doc_id, list_transform(ids, lambda t, i: CASE WHEN i <= 3 THEN -100 ELSE t END) AS labels, len(ids) AS n FROM t""")
 def loss_masks(spark, d):
     ids = F.transform(text.words(R()), F.length)
@@ -1048,7 +1048,7 @@ def jsonl_round_trip(spark, d):
     return files.read_strict(spark, path, x.schema)
 
 
-@query("SELECT source, count(*) AS n, sum(n_chars) AS n_chars FROM documents WHERE source IN ('src0', 'src1', 'src2') GROUP BY source")
+@query("SELECT source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents WHERE source IN ('src0', 'src1', 'src2') GROUP BY source")
 def shard_files(spark, d):
     """Shards written apart, read again by one pattern with their path as key."""
     x, root = docs(spark, d), files.scratch(spark, "shards")
