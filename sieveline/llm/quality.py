@@ -11,8 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import packed
-
 BLANK = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -78,31 +76,42 @@ def _repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < 3, F.lit(0).cast("long")).otherwise(let(windows(words), count))
 
 
-def figures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id and the counts that rules refer to, for each row."""
-    plain = F.coalesce(F.col(text), F.lit(""))
-    bare = _without(plain, BLANK)
+def counted(text: Column) -> Column:
+    """A struct of all counts that rules refer to; words and lines of the text are made once."""
+    plain = F.coalesce(text, F.lit(""))
     stops = sorted({w for words in STOP_WORDS.values() for w in words})
     lines = F.filter(F.split(plain, "\n"), lambda x: _without(x, BLANK) != "")
-    rows = docs.select("doc_id", _words(plain).alias("w"), lines.alias("l"), F.length(bare).cast("long").alias("word_chars"), (F.length(plain) - F.length(_without(plain, SYMBOLS))).cast("long").alias("n_symbols"))
-    return rows.select(
-        "doc_id",
-        F.size("w").cast("long").alias("n_words"),
-        "word_chars",
-        "n_symbols",
-        F.size("l").cast("long").alias("n_lines"),
-        (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
-        _repeated_words(F.col("w")).alias("n_repeat_words"),
-        F.size(F.filter("w", lambda x: F.lower(x).isin(stops))).cast("long").alias("n_stop_words"),
-    )
-
-
-def compiled(thresholds=THRESHOLDS) -> list[tuple[str, Column]]:
-    """A failure flag for each rule of a threshold table; a ratio over nothing fails nothing."""
-    out = []
+    long = lambda c: c.cast("long")
+
+    def body(w: Column, l: Column) -> Column:  # noqa: E741
+        return F.struct(
+            long(F.size(w)).alias("n_words"),
+            long(F.length(_without(plain, BLANK))).alias("word_chars"),
+            long(F.length(plain) - F.length(_without(plain, SYMBOLS))).alias("n_symbols"),
+            long(F.size(l)).alias("n_lines"),
+            long(F.size(l) - F.size(F.array_distinct(l))).alias("n_dup_lines"),
+            _repeated_words(w).alias("n_repeat_words"),
+            long(F.size(F.filter(w, lambda x: F.lower(x).isin(stops)))).alias("n_stop_words"),
+        )
+
+    return let(_words(plain), lambda w: let(lines, lambda l: body(w, l)))  # noqa: E741
+
+
+def figures(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id and the counts that rules refer to, for each row."""
+    return docs.select("doc_id", counted(F.col(text)).alias("f")).select("doc_id", "f.*")
+
+
+def _base_failed(get: Callable[[str], Column], min_words: int) -> Column:
+    return (get("n_words") < min_words) | (100 * get("n_repeat_words") > 50 * get("n_words"))
+
+
+def compiled(thresholds=THRESHOLDS, get: Callable[[str], Column] | None = None) -> list[tuple[str, Column]]:
+    """A failure flag for each rule of a threshold table; a ratio over nothing fails nothing. get: a figure by name."""
+    out, get = [], get or F.col
     for name, ratio, least, most in thresholds:
         over, under = ratio.split(" / ")
-        x = F.try_divide(F.col(over).cast("double"), F.col(under))
+        x = F.try_divide(get(over).cast("double"), get(under))
         bad = F.lit(False)
         if least is not None:
             bad = bad | F.coalesce(x < least, F.lit(False))
@@ -120,7 +129,7 @@ def quality_report(docs: DataFrame, thresholds=THRESHOLDS, min_words: int = MIN_
     and null doc_ids stay; other columns of docs are ignored.
     """
     rows = figures(docs)
-    base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    base = _base_failed(F.col, min_words)
     failed = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in compiled(thresholds)]))
     counts = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     rows = rows.select(*counts, base.alias("base_failed"), failed.alias("failed"))
@@ -129,8 +138,12 @@ def quality_report(docs: DataFrame, thresholds=THRESHOLDS, min_words: int = MIN_
 
 def accepted(docs: DataFrame, thresholds=THRESHOLDS, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of docs that quality_report keeps, with all their columns. Works on each row alone: no join."""
-    rows = figures(packed(docs, "text").select(F.col("_row").alias("doc_id"), "text"))
-    good = ~((F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    for _, bad in compiled(thresholds):
-        good = good & ~bad
-    return rows.where(good).select("doc_id.*")
+
+    def verdict(f: Column) -> Column:
+        bad = _base_failed(lambda n: f[n], min_words)
+        for _, failed in compiled(thresholds, lambda n: f[n]):
+            bad = bad | failed
+        return ~bad
+
+    # one expression: a filter over columns would be pushed down with each of them computed again
+    return docs.where(let(counted(F.col("text")), verdict))
