@@ -213,9 +213,10 @@ def grouped(docs: DataFrame, n: int = SHINGLE, radius: int = RADIUS, seed: int =
     owners = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     owners = staged(owners, "owners")
     roots = components(links(owners.select("fp"), radius))
-    roots = owners.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = roots.join(ids, "root").select("fp", "root", "component_id")
+    roots = staged(owners.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+    # written first: joins of two plain shuffles can split a root or fingerprint that very many rows share
+    ids = staged(roots.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
+    ids = staged(roots.join(ids, "root").select("fp", "root", "component_id"), "members")
     return rows.join(ids, "fp").select("doc_id", "key", "fp", "root", "component_id")
 
 
@@ -233,7 +234,7 @@ def near_duplicate_groups(docs: DataFrame, n: int = SHINGLE, radius: int = RADIU
 def one_of_each_group(docs: DataFrame, n: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
     """The rows of docs that stay: of each group the one with the smallest doc_id (ties: one of the rows with that id,
     the least by hash of the text; of rows the same in both, one). Groups of rows without any doc_id keep one row."""
-    ids = grouped(docs, n, radius, seed).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    ids = staged(grouped(docs, n, radius, seed), "groups").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     firsts = ids.groupBy("root").agg(F.min(F.struct("key", "doc_id")).alias("f"))
     firsts = staged(firsts.select(F.col("f.doc_id").alias("_id"), F.col("f.key").alias("_key")), "firsts")
     again = ids.groupBy("doc_id", "key").count().where("count > 1").join(firsts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left_semi")
