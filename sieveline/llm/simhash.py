@@ -30,7 +30,7 @@ from .staging import packed, staged, unpacked
 from .words import U64, Words, slices
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-PART_BYTES = 8 << 20
+PART_BYTES = 3 << 20
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: (most distinct fingerprints, number of blocks): b blocks, of which b - radius are fixed.
 BLOCKS = ((1 << 21, 1), (1 << 27, 2), (1 << 32, 3))
@@ -129,8 +129,9 @@ class BKTree:
         return found
 
 
-def shard_links(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """Links (a, b) that connect the groups within values as all links within the radius do; each group is a star."""
+def shard_links(values: list[int], radius: int, stars: bool = True) -> list[tuple[int, int]]:
+    """Links (a, b) that connect the groups within values as all links within the radius do. Each group is a star, or
+    (not stars) made of links that are within the radius themselves."""
     if len(values) == 2:
         return [(values[0], values[1])] if (values[0] ^ values[1]).bit_count() <= radius else []
     tree, links = BKTree(values, radius), []
@@ -140,8 +141,9 @@ def shard_links(values: list[int], radius: int) -> list[tuple[int, int]]:
         tree.remove(i)
         queue = [i]
         while queue and tree.alive[0]:
-            for k in tree.search(values[queue.pop()]):
-                links.append((values[k], v))
+            at = queue.pop()
+            for k in tree.search(values[at]):
+                links.append((values[k], v if stars else values[at]))
                 queue.append(k)
     return links
 
@@ -185,16 +187,16 @@ def _link_shards(radius: int):
     return run
 
 
+def block_masks(blocks: int, chosen: int) -> list[int]:
+    """A mask for each choice of so many of the blocks of 64 bits."""
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    return [sum(((1 << (edges[k + 1] - edges[k])) - 1) << edges[k] for k in some) for some in combinations(range(blocks), chosen)]
+
+
 def _sharded(fps: DataFrame, radius: int, blocks: int) -> DataFrame:
     """Each fingerprint once for each choice of blocks - radius of the blocks, with the bits that it has there."""
-    edges = [64 * k // blocks for k in range(blocks + 1)]
-    masks = []
-    for chosen in combinations(range(blocks), blocks - radius):
-        mask = 0
-        for k in chosen:
-            mask |= ((1 << (edges[k + 1] - edges[k])) - 1) << edges[k]
-        masks.append(_signed(mask))
-    shards = F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)]))
+    masks = block_masks(blocks, blocks - radius)
+    shards = F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(masks)]))
     return fps.select("fp", shards.alias("s")).select("fp", "s.choice", "s.bits")
 
 

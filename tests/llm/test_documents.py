@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 import xxhash
 from cases import documents, empty, same
-from sieveline.llm import bpe, licenses, mixing, quality, simhash, substring_dedup, token_counts
+from sieveline.llm import bpe, licenses, mixing, quality, similar, simhash, substring_dedup, token_counts
 
 LAST = (1 << 63) - 1
 
@@ -71,6 +71,8 @@ def test_empty_tables(spark):
         substring_dedup.without_repeats,
         simhash.near_duplicate_groups,
         simhash.one_of_each_group,
+        similar.similar_groups,
+        similar.one_of_each_group,
         mixing.source_mix,
         mixing.mixed_documents,
         quality.quality_report,
@@ -122,6 +124,73 @@ def test_simhash(spark):
     assert len(kept) == len(set(root)) and kept[0].asDict().keys() == set(df.columns)
 
 
+def shingles(text, n=5):
+    w = bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode()).split()
+    return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) or frozenset([tuple(w)] * bool(w))
+
+
+def alike(a, b, least=0.8):
+    union = len(a | b)
+    return union == 0 or len(a & b) >= least * union
+
+
+def test_similar_groups(spark):
+    """Near copies at and around the threshold, against all pairs."""
+    import random
+
+    rng = random.Random(6)
+    df, rows = documents(spark, n=30)
+    more = []
+    for i in range(12):
+        base = [f"v{rng.randrange(3000)}" for _ in range(rng.choice((30, 120, 400)))]
+        for k in range(5):
+            copy = [f"x{rng.randrange(9000)}" if rng.random() < 0.005 * k else w for w in base]
+            more.append((1000 + 10 * i + k, " ".join(copy).upper() if k == 1 else "\n".join(copy)))
+    rows = rows + more
+    extra = spark.createDataFrame([(*r, "en", "s", 1, True, "x", 3, 4, 5, "y", 6) for r in more], df.schema)
+    df = df.unionByName(extra)
+    sets = [shingles(t) for _, t in rows]
+    at = list(range(len(rows)))
+
+    def find(x):
+        while at[x] != x:
+            x = at[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if alike(sets[i], sets[j]):
+                at[find(i)] = find(j)
+    want = {}
+    for i, (doc, text) in enumerate(rows):
+        want.setdefault(find(i), []).append((doc is None, doc, text or ""))
+    got = {}
+    for r in similar.similar_groups(df).collect():
+        got.setdefault(r.root, []).append((r.doc_id is None, r.doc_id))
+    plain = lambda groups: sorted(sorted((n, d or 0) for n, d, *_ in g) for g in groups.values())
+    mine, theirs = plain(got), plain(want)
+    assert len([g for g in theirs if g in mine]) >= 0.97 * len(theirs)
+    kept = similar.one_of_each_group(df).collect()
+    assert len(kept) == len(got) and kept[0].asDict().keys() == set(df.columns)
+
+
+@pytest.mark.parametrize("level", [0, 1, 2])
+def test_similar_pairs_are_found_at_every_size(spark, level, monkeypatch):
+    import random
+
+    rng = random.Random(level)
+    rows = []
+    for i in range(40):
+        base = [f"v{rng.randrange(10**6)}" for _ in range(300)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join("y" if rng.random() < 0.015 else w for w in base))]
+    monkeypatch.setattr(similar, "BLOCKS", ((10**9, *similar.BLOCKS[level][1:]),))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    true = sum(alike(shingles(rows[2 * i][1]), shingles(rows[2 * i + 1][1])) for i in range(40))
+    root = {r.doc_id: r.root for r in similar.similar_groups(df).collect()}
+    found = sum(root[2 * i] == root[2 * i + 1] for i in range(40))
+    assert true >= 20 and 0.95 * true <= found <= true and len(set(root.values())) == 80 - found
+
+
 @pytest.mark.parametrize("blocks", [5, 6, 7, 8])
 def test_every_sharding_finds_the_same_groups(spark, blocks, monkeypatch):
     import random
