@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules["sieveline.llm"])
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of an Arrow batch in staged steps: batches of long texts must fit beside a worker's arrays.
+ARROW_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 _OWN: list[str] = []
 
 
@@ -62,7 +64,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    with setting(spark, CLEANUP, "true"):
+    with setting(spark, CLEANUP, "true"), setting(spark, *ARROW_ROWS):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -28,7 +28,7 @@ from .staging import packed, shuffle_partitions, staged, unpacked
 from .words import U64, Words, mixed, slices, sliding_min, tuple_hashes
 
 WINDOW, RUN = 20, 3
-BATCH_BYTES, BUCKET_BYTES = 16 << 20, 16 << 20
+BATCH_BYTES, BUCKET_BYTES = 6 << 20, 12 << 20
 NO_ID = (1 << 63) - 1
 _HOT = U64(1 << 63)
 
