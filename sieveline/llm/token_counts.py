@@ -17,14 +17,14 @@ from collections import Counter
 import public_tokenizers
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .staging import new_path, process_cache, staged
+from .staging import ARROW_ROWS, CLEANUP, new_path, process_cache, setting, staged
 
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
-MEMORY = 300_000
+MEMORY = 200_000
 CACHE = "digest binary, tokenizer string, n_tokens long"
 
 
@@ -85,13 +85,15 @@ def _count_misses(path: str, tokenizer: str):
     return run
 
 
-def _stored(docs: DataFrame, cache: str) -> DataFrame:
+def _stored(spark: SparkSession, cache: str, tokenizer: str) -> DataFrame | None:
+    """(digest, n_tokens) of this tokenizer; None where there is no cache yet."""
     try:
-        return docs.sparkSession.read.schema(CACHE).parquet(cache)
+        stored = spark.read.schema(CACHE).parquet(cache)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return docs.sparkSession.createDataFrame([], CACHE)
+        return None
+    return stored.where(F.col("tokenizer") == tokenizer).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
 
 
 def token_counts(docs: DataFrame, cache: str | None = None, path: str | None = None, limit: int = LIMIT) -> DataFrame:
@@ -106,10 +108,15 @@ def token_counts(docs: DataFrame, cache: str | None = None, path: str | None = N
     tokenizer = tokenizer_digest(path)
     rows = docs.select("doc_id", "text", content_digest(F.col("text")).alias("digest"))
     keys = staged(rows.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "digest"), "keys")
-    stored = _stored(docs, cache).where(F.col("tokenizer") == tokenizer)
-    misses = rows.select("digest", "text").join(stored.select("digest"), "digest", "left_anti")
-    misses = misses.groupBy("digest").agg(F.first("text").alias("text"))
-    misses.mapInArrow(_count_misses(path, tokenizer), CACHE).write.mode("append").parquet(cache)
-    stored = _stored(docs, cache).where(F.col("tokenizer") == tokenizer).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
+    stored = _stored(docs.sparkSession, cache, tokenizer)
+    if stored is not None:
+        new = staged(keys.select("digest").distinct().join(stored, "digest", "left_anti"), "misses")
+        rows = rows.join(new, "digest", "left_semi")
+    # one text of each digest, and of each task's copies one before the shuffle
+    misses = rows.groupBy("digest").agg(F.first("text").alias("text"))
+    with setting(docs.sparkSession, CLEANUP, "true"), setting(docs.sparkSession, *ARROW_ROWS):
+        misses.mapInArrow(_count_misses(path, tokenizer), CACHE).write.mode("append").parquet(cache)
+    # written first: a join of two plain shuffles can split a digest that very many rows share
+    stored = staged(_stored(docs.sparkSession, cache, tokenizer), "counts")
     out = keys.join(stored, "digest")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
