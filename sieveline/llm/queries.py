@@ -42,6 +42,45 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.source_mix(_table(spark, sf_dir, "documents"))
 
 
+# doc_ids don't occur again in the table
+OP2 = rf"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORDS}')) AS size,
+         md5(concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), ''), md5(coalesce(text, '')))) AS h FROM documents
+), z AS (
+  SELECT source, sum(size) AS n, row_number() OVER (ORDER BY source NULLS LAST) AS ord FROM d GROUP BY source
+), w AS (
+  SELECT *, CASE (ord - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight, 2.0::DOUBLE * n AS cap FROM z
+), v AS (
+  SELECT *, (1.5::DOUBLE * (SELECT sum(n) FROM w) - coalesce(sum(cap) OVER (ORDER BY cap / weight, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY cap / weight, ord ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w
+), t AS (
+  SELECT source, ord, CAST(n AS BIGINT) AS n, least(cap, (SELECT max(level) FROM v) * weight) AS target FROM w
+), g AS (
+  SELECT *, CAST(ceil(n / 256) AS BIGINT) AS n_blocks, CAST(round(target) AS BIGINT) AS goal FROM t
+), c AS (
+  SELECT *, coalesce(goal // nullif(n, 0), 0) * n_blocks + CAST(ceil(coalesce(goal % nullif(n, 0), 0) / 256) AS BIGINT) AS n_slots FROM g
+), e AS (
+  SELECT *, CAST(sum(n_slots) OVER (ORDER BY ord) AS BIGINT) AS high FROM c
+), b AS (
+  SELECT min(k) AS bits FROM range(1, 62) r(k) WHERE (1::BIGINT << k) >= (SELECT sum(n_slots) FROM c)
+), s AS (
+  SELECT i AS slot, CAST(list_sum(list_transform(range(0, bits), lambda k: ((i >> k) & 1) << (bits - 1 - k))) AS BIGINT) AS cell
+  FROM b, range(0, (SELECT 1::BIGINT << bits FROM b)) r(i)
+), k AS (
+  SELECT slot, e.*, row_number() OVER (PARTITION BY ord ORDER BY slot) - 1 AS r FROM s JOIN e ON cell >= high - n_slots AND cell < high
+), m AS (
+  SELECT slot, ord, r % n_blocks * 256 AS start, least(r % n_blocks * 256 + 256, n, goal - r // n_blocks * n) AS stop FROM k
+), p AS (
+  SELECT d.*, n, target, ord, coalesce(sum(size) OVER (PARTITION BY ord ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, CAST(any_value(size) AS BIGINT) AS size, any_value(n) AS source_size, any_value(target) AS target,
+       CAST(coalesce(sum(CASE WHEN slot IS NOT NULL THEN least(stop, begin + size) - greatest(start, begin) END), 0) AS BIGINT) AS taken, min(slot) AS first_slot, max(slot) AS last_slot
+FROM p LEFT JOIN m ON p.ord = m.ord AND start < begin + size AND stop > begin AND size > 0 GROUP BY doc_id
+"""
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_matches(_table(spark, sf_dir, "documents"))
 
@@ -166,6 +205,7 @@ _QUERIES = {
 }
 _ORACLES = {
     "op1_substring_dedup": OP1,
+    "op2_source_mix": OP2,
     "op3_license_scan": OP3,
     "op6_quality_rules": OP6,
     "op8_one_bit_neighbours": OP8,

@@ -269,15 +269,93 @@ def test_mix(spark):
         same(got, mixing.source_mix(df.repartition(9), block).collect())
 
 
+def schedule(spark, n=64):
+    return spark.createDataFrame([(i, "ab"[i % 2], 1000, 1, hashlib.md5(str(i).encode()).hexdigest()) for i in range(n)], "doc_id long, source string, size long, copies long, hash string")
+
+
+def test_van_der_corput(spark):
+    for bits in (1, 5, 40):
+        rows = spark.range(0, 1 << min(bits, 10)).select("id", mixing.van_der_corput(mixing.F.col("id"), bits).alias("x")).collect()
+        assert all(r.x == int(f"{r.id:0{bits}b}"[::-1], 2) for r in rows)
+
+
 def test_schedule_is_spread_out(spark):
     """Any stretch of the schedule holds about the source's share of slots."""
-    rows = spark.createDataFrame([(i, "ab"[i % 2], 1000, i) for i in range(64)], "doc_id long, source string, size long, hash long")
-    _, _, mix = mixing.mix_plan(rows, 100)
-    slots = [r.ord for r in mix.where("slot IS NOT NULL").orderBy("slot").collect()]
+    _, _, mix = mixing.mix_plan(schedule(spark), 100)
+    slots = [r.ord for r in mix.orderBy("slot").collect()]
     share = slots.count(1) / len(slots)
     assert all(abs(slots[i : i + 64].count(1) / 64 - share) < 0.1 for i in range(0, len(slots) - 64, 16))
 
 
+def test_the_points_decide_what_is_taken(spark, monkeypatch):
+    """With points that are all the same, only the first source has slots."""
+    right = {r.doc_id: (r.source, r.taken) for r in mixing.taken_words(schedule(spark), 100).collect()}
+    assert all(t > 0 for s, t in right.values() if s == "a") and any(t > 0 for s, t in right.values() if s == "b")
+    monkeypatch.setattr(mixing, "van_der_corput", lambda i, bits: mixing.F.lit(0).cast("long"))
+    wrong = {r.doc_id: (r.source, r.taken) for r in mixing.taken_words(schedule(spark), 100).collect()}
+    assert wrong != right and all(t == 0 for s, t in wrong.values() if s == "b")
+
+
+def test_mix_word_by_word(spark):
+    """Taken words against the schedule played slot by slot."""
+    df, _ = documents(spark)
+    docs = [(r.doc_id, r.source, len((r.text or "").encode().split()), hashlib.md5(f"{'' if r.doc_id is None else r.doc_id}:{hashlib.md5((r.text or '').encode()).hexdigest()}".encode()).hexdigest()) for r in df.collect()]
+    got = mixing.source_mix(df, 16).collect()
+    target = {}
+    for r, d in zip(sorted(got, key=lambda r: (r.doc_id is None, r.doc_id, r.size)), sorted(docs, key=lambda d: (d[0] is None, d[0], d[2]))):
+        target[d[1]] = r.target
+    names = sorted(target, key=lambda s: (s is None, (s or "").encode()))
+    streams = {s: [d for d in sorted(docs, key=lambda d: d[3]) if d[1] == s for _ in range(d[2])] for s in names}
+    need, line = {s: round(target[s]) for s in names}, []
+    for s in names:
+        n = len(streams[s])
+        line += [s] * (need[s] // n * -(-n // 16) + -(-(need[s] % n) // 16) if n else 0)
+    bits, rank, taken, slots = (len(line) - 1).bit_length(), Counter(), Counter(), {}
+    for i in range(1 << bits):
+        at = int(f"{i:0{bits}b}"[::-1], 2)
+        if at >= len(line):
+            continue
+        s, stream = line[at], streams[line[at]]
+        blocks = [stream[k : k + 16] for k in range(0, len(stream), 16)]
+        block = blocks[rank[s] % len(blocks)]
+        before = rank[s] // len(blocks) * len(stream) + rank[s] % len(blocks) * 16
+        rank[s] += 1
+        for d in block[: need[s] - before]:
+            taken[d] += 1
+            slots.setdefault(d, set()).add(i)
+    assert sum(taken.values()) == sum(need.values())
+    mine = Counter()
+    for d in set(docs):
+        n = docs.count(d)
+        mine.update([(d[0], d[2], taken[d] // n + (k < taken[d] % n), min(slots.get(d, {None})), max(slots.get(d, {None}))) for k in range(n)])
+    assert mine == Counter((r.doc_id, r.size, r.taken, r.first_slot, r.last_slot) for r in got)
+
+
+def test_equal_rows_are_counted_before_chunks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 8)
+    rows = [(1, "one two three", "a")] * 50 + [(i, f"w{i} x y z", "ab"[i % 2]) for i in range(2, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert mixing._rows(df).agg(mixing.F.max("copies")).first()[0] == 8
+    out = mixing.source_mix(df, 4).collect()
+    assert len(out) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in out)
+    for s in ("a", "b"):
+        own = [r for r in out if (r.doc_id == 1 or r.doc_id % 2 == 0) == (s == "a")]
+        assert sum(r.taken for r in own) == round(own[0].target)
+
+
+def test_mixed_documents_are_in_order_of_the_schedule(spark, tmp_path):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(40)), "abc"[i % 3]) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first = {r.doc_id: r for r in mixing.source_mix(df, 8).collect()}
+    out = mixing.mixed_documents(df, 8).collect()
+    seen, places = Counter(), []
+    for r in out:
+        places.append(first[r.doc_id].last_slot if seen[r.doc_id] else first[r.doc_id].first_slot)
+        seen[r.doc_id] += 1
+    assert places == sorted(places)
+    assert seen == Counter({i: n for i, r in first.items() if (n := int(r.taken / r.size + 0.5))})
+
+
 def test_mixed_documents_keep_columns(spark):
     df, _ = documents(spark)
     out = mixing.mixed_documents(df)
