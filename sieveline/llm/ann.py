@@ -1,15 +1,20 @@
 """Nearest neighbours by cosine with randomly rotated one-bit codes.
 
-Each unit vector o is rotated by a fixed random orthogonal matrix and kept as the signs of its coordinates: packed bits,
-the code c, a unit vector of entries +-1/sqrt(d), and the correction <o, c>. For a query q, <c, q> / <o, c> estimates
-<o, q>; the error is sqrt((1 - <o, c>^2) / <o, c>^2) * sqrt(1 - <c, q>^2) times a coordinate of a random unit vector in
-d - 1 dimensions, so below EPSILON / sqrt(d - 1) of that with high probability (RaBitQ, Gao and Long, 2024). For each
-query and block of vectors, the best few estimates get their exact cosines; the k-th of these is a floor, and each
-vector whose upper bound reaches it is reranked by exact cosine.
-
-Vectors are dealt to blocks of bounded size, by hash, so that copies of a common vector spread, and queries to parts of
-bounded size; each part meets each block (the stated query set against all rows), and such a pair yields k rows for
-each query. All rows are indexed; the rotation is not fitted to data.
+Each unit vector o is padded with zeros to CODE_BITS dimensions where it has fewer, rotated by a fixed random orthogonal
+matrix and kept as the signs of its coordinates: packed bits, the code c, a unit vector of D entries +-1/sqrt(D), and the
+correction <o, c>. For a query q, <c, q> / <o, c> estimates <o, q>; the error is sqrt((1 - <o, c>^2) / <o, c>^2) *
+sqrt(1 - <c, q>^2) times a coordinate of a random unit vector in D - 1 dimensions, so below EPSILON / sqrt(D - 1) of that
+with high probability (RaBitQ, Gao and Long, 2024).
+
+Codes are built once. Only codes, corrections and queries travel: codes are dealt to blocks of bounded size and queries
+to parts of bounded size; each part meets each block (the stated query set against all rows). In a first pass such a
+pair yields the best few estimates, whose exact cosines give each query a floor, its k-th best so far. In a second pass
+it yields every vector whose upper bound reaches the floor. The vectors of these pairs, and no others, are fetched by a
+join and reranked by exact cosine.
+
+Equal vectors are one code with the smallest of their ids, as many as a result can hold, so a vector that very many rows
+share costs no more than any other. All rows are indexed; the rotation is not fitted to data. Estimates of a block are
+one product of matrices of signs: with numpy that takes less time than counting bits.
 """
 
 from __future__ import annotations
@@ -19,26 +24,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import shuffle_partitions, staged
+from .staging import process_cache, shuffle_partitions, staged
 
 K, EVERY = 5, 50
 EPSILON = 3.0
-BLOCK_ROWS, PART_ROWS, STEP_ROWS = 1 << 14, 1 << 14, 1 << 8
+CODE_BITS = 512
+BLOCK_ROWS, PART_ROWS, STEP_ROWS = 1 << 16, 1 << 14, 1 << 7
 FIRST = 4
 SEED = 20
 
+_CODES = "rid long, dim int, only long, code binary, correction double"
 
-def rotation(d: int, seed: int = SEED) -> np.ndarray:
-    """A random orthogonal d x d matrix, the same everywhere."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, d)))
-    return q * np.sign(np.diag(r))
+
+def rotation(d: int, bits: int | None = None, seed: int = SEED) -> np.ndarray:
+    """The first d rows of a random orthogonal matrix of as many dimensions as codes have bits, the same everywhere."""
+    bits = max(CODE_BITS, -(-d // 8) * 8) if bits is None else bits
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((bits, bits)))
+    return (q * np.sign(np.diag(r)))[:d]
+
+
+def _turn(d: int) -> np.ndarray:
+    cache = process_cache()
+    if ("turn", d, CODE_BITS) not in cache:
+        cache["turn", d, CODE_BITS] = rotation(d)
+    return cache["turn", d, CODE_BITS]
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
 def codes(x: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Packed sign bits of the rotated rows of x (unit vectors), and the inner product of each with its code."""
     y = x @ turn
-    bits = y >= 0
-    return np.packbits(bits, axis=1), np.abs(y).sum(axis=1) / np.sqrt(x.shape[1])
+    return np.packbits(y >= 0, axis=1), np.abs(y).sum(axis=1) / np.sqrt(turn.shape[1])
 
 
 def bounds(packed: np.ndarray, correction: np.ndarray, q: np.ndarray, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
@@ -57,59 +76,89 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
-def _top(qid: np.ndarray, vid: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    """Index of the k best of each query: by score, then smaller id."""
-    order = np.lexsort((vid, -score, qid))
-    q = qid[order]
-    lead = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, np.int64)
-    place = np.arange(len(q)) - np.repeat(lead, np.diff(np.append(lead, len(q))))
-    return order[place < k]
-
-
-def search_block(vid: np.ndarray, x: np.ndarray, qid: np.ndarray, q: np.ndarray, k: int, epsilon: float) -> tuple[np.ndarray, ...]:
-    """(query_id, vec_id, score): the k best vectors of a block for each query."""
-    turn = rotation(x.shape[1])
-    packed, correction = codes(x / np.sqrt((x * x).sum(axis=1))[:, None], turn)
-    out = []
-    for at in range(0, len(qid), STEP_ROWS):
-        ids, part = qid[at : at + STEP_ROWS], q[at : at + STEP_ROWS]
-        estimate, error = bounds(packed, correction, (part / np.sqrt((part * part).sum(axis=1))[:, None]) @ turn, epsilon)
-        estimate[ids[:, None] == vid[None, :]] = -np.inf  # the query itself
-        floor = np.full((len(ids), 1), -np.inf)
-        if len(vid) > FIRST * k + 1:
-            first = np.argpartition(-estimate, FIRST * k, axis=1)[:, : FIRST * k]
-            s = np.repeat(np.arange(len(ids)), FIRST * k)
-            exact = _cosines(part[s], x[first.ravel()]).reshape(first.shape)
-            exact[np.take_along_axis(estimate, first, axis=1) == -np.inf] = -np.inf
-            floor = np.sort(exact, axis=1)[:, -k][:, None]
-        i, j = np.nonzero((estimate + error >= floor - 1e-9) & (estimate > -np.inf))
-        for a in range(0, len(i), 1 << 17):
-            s, t = i[a : a + (1 << 17)], j[a : a + (1 << 17)]
-            found = (ids[s], vid[t], _cosines(part[s], x[t]))
-            best = _top(*found, k)
-            out.append(tuple(c[best] for c in found))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    found = tuple(np.concatenate(c) for c in zip(*out))
-    best = _top(*found, k)
-    return tuple(c[best] for c in found)
-
-
-def _searcher(k: int, epsilon: float):
-    def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids = table.column("vec_id").to_numpy().astype(np.int64)
-        flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return ids, flat.astype(np.float64).reshape(len(ids), -1)
+def _matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
+
+
+def _encode(batches):
+    """Codes of (rid, dim, only, v); rows arrive sorted by dim."""
+    for batch in batches:
+        dims = batch.column("dim").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(dims)) + 1).tolist(), len(dims)]
+        for a, b in zip(cuts, cuts[1:]):
+            part = batch.slice(a, b - a)
+            if part.num_rows:
+                packed, correction = codes(_unit(_matrix(part.column("v"), b - a)), _turn(int(dims[a])))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("rid", "dim", "only")), pa.array([p.tobytes() for p in packed], pa.binary()), pa.array(correction)], ["rid", "dim", "only", "code", "correction"])
+
+
+def _scan(left: pa.Table, right: pa.Table, epsilon: float):
+    """(query ids, rids, estimates, errors, table of the queries) for some queries at a time against a block of codes;
+    estimates of vectors that only the query itself has are -inf."""
+    rid = left.column("rid").to_numpy()
+    only = left.column("only").fill_null(-1).to_numpy()
+    known = left.column("only").is_valid().to_numpy()
+    packed = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(len(rid), -1)
+    correction = left.column("correction").to_numpy()
+    for at in range(0, right.num_rows, STEP_ROWS):
+        part = right.slice(at, STEP_ROWS)
+        ids, q = part.column("query_id").to_numpy(), _matrix(part.column("q"), part.num_rows)
+        estimate, error = bounds(packed, correction, _unit(q) @ _turn(q.shape[1]), epsilon)
+        estimate[(ids[:, None] == only[None, :]) & known[None, :]] = -np.inf
+        yield ids, rid, estimate, error, part
+
+
+def _pairs(found: list[tuple[np.ndarray, ...]], names: list[str]) -> pa.Table:
+    kinds = [np.int64, np.int64, np.float64]
+    return pa.table({n: pa.array(np.concatenate([f[k] for f in found]).astype(kind) if found else np.zeros(0, kind)) for k, (n, kind) in enumerate(zip(names, kinds))})
+
+
+def _first(k: int, epsilon: float):
+    """The best few estimates of a block for each query."""
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        cols = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        found = []
         if left.num_rows and right.num_rows:
-            cols = search_block(*matrix(left), *matrix(right), k, epsilon)
-        return pa.table({"query_id": pa.array(cols[0]), "vec_id": pa.array(cols[1]), "score": pa.array(cols[2])})
+            for ids, rid, estimate, _, _ in _scan(left, right, epsilon):
+                n = min(FIRST * k, len(rid))
+                best = np.argpartition(-estimate, n - 1, axis=1)[:, :n]
+                values = np.take_along_axis(estimate, best, axis=1).ravel()
+                there = values > -np.inf
+                found.append((np.repeat(ids, n)[there], rid[best.ravel()][there], values[there]))
+        return _pairs(found, ["query_id", "rid", "estimate"])
 
     return run
 
 
+def _reaching(epsilon: float):
+    """The vectors of a block whose upper bound reaches the floor of a query."""
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        if left.num_rows and right.num_rows:
+            for ids, rid, estimate, error, part in _scan(left, right, epsilon):
+                floor = part.column("floor").to_numpy()[:, None]
+                i, j = np.nonzero((estimate + error >= floor - 1e-9) & (estimate > -np.inf))
+                found.append((ids[i], rid[j]))
+        return _pairs(found, ["query_id", "rid"])
+
+    return run
+
+
+def _exact(batches):
+    for batch in batches:
+        if batch.num_rows:
+            score = np.empty(batch.num_rows)
+            # vectors of a pair are equally long; lengths may differ from pair to pair
+            sizes = np.diff(batch.column("v").offsets.to_numpy())
+            for d in np.unique(sizes):
+                at = np.flatnonzero(sizes == d)
+                some = batch.take(pa.array(at)) if len(at) < len(sizes) else batch
+                score[at] = _cosines(_matrix(some.column("q"), len(at)), _matrix(some.column("v"), len(at)))
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("ids"), pa.array(score)], ["query_id", "ids", "score"])
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, dim, v): vectors that are not null, zero or holding null or non-finite components; ids not null."""
     big = float("inf")
@@ -118,6 +167,27 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.size("embedding").alias("dim"), v.alias("v"))
 
 
+def _distinct(rows: DataFrame, k: int) -> DataFrame:
+    """(rid, dim, v, ids, only): each vector once with its k + 1 smallest ids and how often each occurs (k at most is
+    of use); only: the id, where there is but one."""
+    counted = rows.groupBy("v", "vec_id").agg(F.count("*").alias("n"), F.first("dim").alias("dim"))
+    place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    few = counted.withColumn("_place", place).where(F.col("_place") <= k + 1)
+    one = few.groupBy("v").agg(F.first("dim").alias("dim"), F.sort_array(F.collect_list(F.struct("vec_id", F.least("n", F.lit(k)).alias("n")))).alias("ids"))
+    only = F.when(F.size("ids") == 1, F.col("ids")[0]["vec_id"])
+    return staged(one.select(F.monotonically_increasing_id().alias("rid"), "dim", "v", "ids", only.alias("only")), "vectors")
+
+
+def _reranked(pairs: DataFrame, base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score, rank): the k best of the pairs (query_id, rid) by exact cosine."""
+    both = pairs.select("query_id", "rid").join(base.select("rid", "v", "ids"), "rid").join(queries.select("query_id", "q"), "query_id").select("query_id", "q", "v", "ids")
+    scored = both.mapInArrow(_exact, "query_id long, ids array<struct<vec_id:long,n:long>>, score double")
+    each = scored.select("query_id", "score", F.explode("ids").alias("i")).where(F.col("i.vec_id") != F.col("query_id"))
+    each = each.select("query_id", "score", F.col("i.vec_id").alias("vec_id"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("i.n"))).alias("_copy"))
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return each.select("query_id", "vec_id", "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, epsilon: float = EPSILON, block_rows: int = BLOCK_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each vector whose id is divisible by every, its k nearest by cosine.
 
@@ -128,19 +198,28 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, epsilon: float =
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
-    asks = F.col("vec_id") % every == 0
-    n, n_queries = rows.agg(F.count("*"), F.count_if(asks)).first()
+    base = _distinct(rows, k)
+    index = staged(base.select("rid", "dim", "only", "v").sortWithinPartitions("dim").mapInArrow(_encode, _CODES), "codes")
+    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("q"))
+    queries = staged(queries.select(F.col("vec_id").alias("query_id"), "q.dim", F.col("q.v").alias("q")), "queries")
+    n, n_queries = index.count(), queries.count()
     blocks = max(1, -(-n // block_rows), min(shuffle_partitions(spark), 2 * spark.sparkContext.defaultParallelism))
     parts = max(1, -(-n_queries // part_rows))
-    # by place in the table too, so that an id that occurs again and again doesn't fill one block
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
-    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    queries = rows.where(asks).groupBy("vec_id", "dim").agg(F.min("v").alias("v"))
-    queries = queries.groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("q")).select("vec_id", "q.dim", "q.v")
-    queries = queries.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = dealt.groupBy("dim", "block", "part").cogroup(queries.groupBy("dim", "block", "part")).applyInArrow(_searcher(k, epsilon), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    dealt = index.withColumn("block", F.pmod(F.xxhash64("rid"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def asked(q: DataFrame) -> DataFrame:
+        return q.withColumn("part", F.pmod(F.xxhash64("query_id", F.lit(5)), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def scanned(q: DataFrame, f, layout: str) -> DataFrame:
+        return dealt.groupBy("dim", "block", "part").cogroup(asked(q).groupBy("dim", "block", "part")).applyInArrow(f, layout)
+
+    first = scanned(queries, _first(k, epsilon), "query_id long, rid long, estimate double")
+    leading = Window.partitionBy("query_id").orderBy(F.col("estimate").desc(), "rid")
+    first = first.withColumn("_place", F.row_number().over(leading)).where(F.col("_place") <= FIRST * k)
+    floors = _reranked(first, base, queries, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+    floors = staged(queries.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))), "floors")
+    pairs = staged(scanned(floors, _reaching(epsilon), "query_id long, rid long"), "pairs")
+    return _reranked(pairs, base, queries, k).select("query_id", "rank", "vec_id", "score")
 
 
 def exact_nearest(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:

@@ -161,17 +161,49 @@ def test_neighbours(spark):
     assert sorted((r.query_id, r.rank) for r in few) == [(0, 1), (0, 2)]
 
 
+def test_equal_vectors_are_one_code_and_ties_go_to_smaller_ids(spark):
+    """A vector that most rows share: every query gets the smallest ids that aren't its own."""
+    rng = np.random.default_rng(8)
+    common = [float(x) for x in rng.standard_normal(12)]
+    rows = [(i, common if i % 3 else [float(x) for x in rng.standard_normal(12)]) for i in range(300)]
+    rows += [(50, common)] * 3 + [(1, common)] * 9
+    clash = [(*r, 1, b"x", 2, 3.0, [1.0], -1.0, [7]) for r in rows]
+    df = spark.createDataFrame(clash, "vec_id long, embedding array<float>, rid int, code binary, dim int, correction double, q array<double>, floor double, ids array<int>")
+    assert ann._distinct(ann.usable(df), 5).count() == 101
+    got = {}
+    for r in ann.nearest(df, 5, 50, block_rows=16).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, round(r.score, 9)))
+    assert {q: [i for i, _ in x] for q, x in got.items() if q % 3} == {50: [1] * 5, 100: [1] * 5, 200: [1] * 5, 250: [1] * 5}
+    vec = {i: np.array(np.float32(v), float) for i, v in rows}
+    for q in (0, 150):
+        cos = sorted((-round(float(vec[q] @ np.float32(v).astype(float) / np.linalg.norm(vec[q]) / np.linalg.norm(np.float32(v).astype(float))), 9), i) for i, v in rows if i != q)[:5]
+        assert got[q] == [(i, -c) for c, i in cos]
+
+
+def test_only_pairs_that_reach_the_floor_are_fetched(spark, monkeypatch):
+    """On clustered vectors few pairs go to the exact rerank."""
+    rng, seen = np.random.default_rng(9), []
+    centres = rng.standard_normal((20, 48))
+    rows = [(i, [float(x) for x in centres[i % 20] + 0.3 * rng.standard_normal(48)]) for i in range(1000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    plain = ann.staged
+    monkeypatch.setattr(ann, "staged", lambda d, label: seen.append((label, out := plain(d, label))) or out)
+    got = ann.nearest(df).collect()
+    assert len(got) == 100 and dict(seen)["pairs"].count() < 0.1 * 20 * 1000
+    assert {n: d.columns for n, d in seen}["codes"] == ["rid", "dim", "only", "code", "correction"]
+
+
 def test_bounds_hold(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((500, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    turn = ann.rotation(64)
-    assert np.allclose(turn @ turn.T, np.eye(64))
-    packed, correction = ann.codes(x, turn)
-    near, error = ann.bounds(packed, correction, x[:50] @ turn, 3.0)
-    assert (np.abs(near - x[:50] @ x.T) <= error).mean() > 0.995
-    near, error = ann.bounds(packed, correction, x[:50] @ turn, math.inf)
-    assert (np.abs(near - x[:50] @ x.T) <= error).all()
+    for turn in (ann.rotation(64), ann.rotation(64, 64)):
+        assert np.allclose(turn @ turn.T, np.eye(64))
+        packed, correction = ann.codes(x, turn)
+        near, error = ann.bounds(packed, correction, x[:50] @ turn, 3.0)
+        assert (np.abs(near - x[:50] @ x.T) <= error).mean() > 0.995
+        near, error = ann.bounds(packed, correction, x[:50] @ turn, math.inf)
+        assert (np.abs(near - x[:50] @ x.T) <= error).all()
 
 
 def test_pipeline(spark):
