@@ -9,7 +9,9 @@ Scale and skew
 * Runs that are so frequent that their bucket would stand out (copies, boilerplate lines, common phrases) are counted
   over all texts first and rank last as minimisers. A window that only touches a common passage goes where its own
   words send it. Their number is bounded by 18 times the number of shuffle partitions, whatever the input.
-* What is packed the same twice in one batch travels once: a common passage reaches its bucket once for each batch.
+* What is packed the same twice in one batch travels once. Strings all of whose runs are frequent are held back and
+  combined over all batches of a task (a bounded memory, HELD_BYTES): a passage that stands everywhere reaches its bucket
+  once for each task, however many texts the task has.
 * The texts are shuffled once more, to meet the removed ranges, after the files of the first shuffle are gone.
 """
 
@@ -29,6 +31,7 @@ from .words import U64, Words, mixed, slices, sliding_min, tuple_hashes
 
 WINDOW, RUN = 20, 3
 BATCH_BYTES, BUCKET_BYTES = 6 << 20, 12 << 20
+HELD_BYTES = 16 << 20
 NO_ID = (1 << 63) - 1
 _HOT = U64(1 << 63)
 
@@ -82,9 +85,11 @@ def _frequent(window: int, run: int, share: float):
 
 
 def _packer(window: int, run: int, hot: list[int], buckets: int):
-    """Super-k-mers of each batch, one row for each bucket; and the ranges whose words occur earlier in the batch."""
+    """Super-k-mers of each batch, one row for each bucket; and the ranges whose words occur earlier in the task."""
 
     def pack(batches):
+        held_back: dict[bytes, tuple[int, int, int, int]] = {}  # string: bucket, id, tag, start
+        held_bytes = 0
         rare = np.zeros(1 << 16, bool)
         heavy = np.sort(np.array(hot, U64))
         rare[(heavy & U64(0xFFFF)).astype(np.int64)] = True
@@ -93,6 +98,15 @@ def _packer(window: int, run: int, hot: list[int], buckets: int):
         def rows(bucket: int, ranges: bool, heads: np.ndarray, text: bytes) -> dict:
             return {"bucket": bucket, "ranges": ranges, "n": heads.shape[1], "heads": packer.compress(heads.tobytes()), "words": packer.compress(text)}
 
+        def released():
+            """The held strings, each with the place that counts as the first so far."""
+            by_bucket: dict[int, list[bytes]] = {}
+            for text, at in held_back.items():
+                by_bucket.setdefault(at[0], []).append(text)
+            for bucket, some in by_bucket.items():
+                places = np.array([held_back[text][1:] for text in some], np.int64).T
+                yield pa.RecordBatch.from_pylist([rows(bucket, False, np.stack([np.diff(places[0], prepend=0), places[1], places[2]]), b"\n".join(some))], schema=_PACKED_ARROW)
+
         for batch in batches:
             for ids, tags, texts in _batches(batch):
                 words = Words(texts)
@@ -133,8 +147,31 @@ def _packer(window: int, run: int, hot: list[int], buckets: int):
                     k = np.flatnonzero(fresh)
                     heads = np.stack([doc[i[k]], tag[i[k]].astype(np.int64), start[i[k]], stop[np.append(k[1:], len(i)) - 1]])
                     yield pa.RecordBatch.from_pylist([rows(int(doc[i[0]] % buckets), True, heads, b"")], schema=_PACKED_ARROW)
-                i = np.flatnonzero(~local)
-                bucket = ((least[s[i]] >> U64(20)) % U64(buckets)).astype(np.int64)
+                into = ((least[s] >> U64(20)) % U64(buckets)).astype(np.int64)
+                # only frequent runs: the first place so far stays here, later ones are ranges
+                kept, gone = np.zeros(len(s), bool), []
+                for i in np.flatnonzero(~local & (least[s] >= _HOT)).tolist():
+                    string, here = buf[a[i] : b[i]], (int(doc[i]), int(tag[i]), int(start[i]))
+                    before = held_back.get(string)
+                    if before is None:
+                        held_bytes += len(string)
+                    elif (before[1], before[3]) == (here[0], here[2]):
+                        continue  # rows that share an id tie
+                    else:
+                        late = before[1:] if (here[0], here[2]) < (before[1], before[3]) else here
+                        gone.append((*late, late[2] + int(e[i] - s[i])))
+                        if late is here:
+                            kept[i] = True
+                            continue
+                    kept[i] = True
+                    held_back[string] = (int(into[i]), *here)
+                if gone:
+                    yield pa.RecordBatch.from_pylist([rows(gone[0][0] % buckets, True, np.array(gone, np.int64).T.copy(), b"")], schema=_PACKED_ARROW)
+                if held_bytes > HELD_BYTES:
+                    yield from released()
+                    held_back, held_bytes = {}, 0
+                i = np.flatnonzero(~local & ~kept)
+                bucket = into[i]
                 order = np.argsort(bucket, kind="stable")
                 i, bucket = i[order], bucket[order]
                 cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -148,6 +185,7 @@ def _packer(window: int, run: int, hot: list[int], buckets: int):
                     if held > (4 << 20) or d == len(i):
                         yield pa.RecordBatch.from_pylist(out, schema=_PACKED_ARROW)
                         out, held = [], 0
+        yield from released()
 
     return pack
 

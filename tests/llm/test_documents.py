@@ -47,6 +47,36 @@ def test_substring_dedup_with_frequent_runs(spark, monkeypatch):
     same(substring_dedup.removal_digests(df).collect(), removal(rows, 20))
 
 
+def test_a_passage_in_every_text_travels_once_for_each_task():
+    """However many batches a task has, what its buckets get of a common passage stays the same."""
+    import numpy as np
+    import pyarrow as pa
+
+    passage = [f"p{i}" for i in range(60)]
+    words = substring_dedup.Words([" ".join(passage).encode()])
+    hot = [int(x) for x in substring_dedup.tuple_hashes(words.hashes(), 3) & ~substring_dedup._HOT]
+
+    def batch(k):
+        texts = [" ".join([f"a{k}x{i}", *passage, f"b{k}x{i}"]) for i in range(50)]
+        return pa.record_batch({"doc_id": pa.array(np.arange(50) + 50 * k), "tag": pa.array(np.zeros(50, np.int32)), "text": pa.array(texts)})
+
+    def sent(n, order=1):
+        rows = [r for out in substring_dedup._packer(20, 3, hot, 8)(iter([batch(k) for k in range(n)][::order])) for r in out.to_pylist()]
+        return sum(r["n"] for r in rows if not r["ranges"]), sum(r["n"] for r in rows if r["ranges"])
+
+    own = sent(1)[0] - 50 * 2
+    assert [sent(n)[0] - n * 50 * 2 for n in (1, 4, 16)] == [own] * 3 and sent(4, -1) == sent(4)
+
+
+def test_held_strings_are_released_in_time(spark, monkeypatch):
+    passage = " ".join(f"p{i}" for i in range(45))
+    rows = [(i, f"a{i} b{i} {passage} c{i}") for i in range(300, 0, -1)] + [(7, f"x {passage}"), (7, f"x {passage} y"), (None, passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for size in (1 << 24, 100):
+        monkeypatch.setattr(substring_dedup, "HELD_BYTES", size)
+        same(substring_dedup.removal_digests(df).collect(), removal(rows, 20))
+
+
 def test_equal_hashes_of_different_words_are_told_apart(monkeypatch):
     words = substring_dedup.Words([b"a b c d", b"x y z w", b"a b c d", b"x y z w"])
     import numpy as np
