@@ -1,19 +1,22 @@
 """Licence scans by canonical digest, in DataFrame functions only.
 
-A text is brought to canonical form (case, equivalent spellings, copyright lines, comment marks, punctuation and white
-space), hashed, and joined to the digests of known licence texts: the whole text, and each of its lines as a text of
-its own, which finds one-line notices. Both sides go through the same expressions. Nothing is shuffled while the table
-of known texts is small enough to broadcast; its rows are counted first.
+A text is brought to canonical form (case, copyright lines, comment marks, punctuation and white space, then equivalent
+spellings of whole words, also across line breaks), hashed, and joined to the digests of known licence texts: the whole
+text, and each of its lines as a text of its own, which finds one-line notices. Both sides go through the same
+expressions. Nothing is shuffled while the table of known texts is small enough to broadcast; its rows are counted first.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .quality import let
 from .staging import staged
 
-BROADCAST_ROWS = 50_000
+BROADCAST_ROWS = 4_096
 
 # Spellings to be treated as equal, after the matching guidelines of SPDX.
 SPELLINGS = (
@@ -77,14 +80,47 @@ KNOWN = (
 )
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form of a text; null counts as empty."""
+def _spellings() -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """Single words and phrases to replace, punctuation as spaces."""
+    pairs = list(dict((re.sub(r"[^a-z0-9]+", " ", old), new) for old, new in SPELLINGS).items())
+    return [p for p in pairs if " " not in p[0]], [p for p in pairs if " " in p[0]]
+
+
+def _respelled(x: Column, pairs: list[tuple[str, str]], gap: str) -> Column:
+    """x with words replaced, and their plurals; words have a space of their own on each side. Texts that hold a word
+    nowhere are scanned once for it: that is most of them, and a scan for a letter is faster than one for a space."""
+    def swapped(old: str, new: str):
+        both = lambda c: F.replace(F.replace(c, F.lit(f" {old} "), F.lit(f" {new} ")), F.lit(f" {old}s "), F.lit(f" {new}s "))
+        return lambda c: F.when(F.contains(c, F.lit(old)), both(c)).otherwise(c)
+
+    for old, new in pairs:
+        x = let(x, swapped(old.replace(" ", gap), new.replace(" ", gap)))
+    return x
+
+
+def _canonical_lines(text: Column) -> Column:
+    """The lines of a text in canonical form, each as a text of its own; lines that only state copyright are empty."""
     x = F.lower(F.coalesce(text, F.lit("")))
     # lines that only state copyright, with their comment marks
     x = F.regexp_replace(x, r"(?m)^[^\p{L}\p{N}\n©]*(?:(?:copyright|\(c\)|©)\s*(?:\(c\)|©|\d{4}|by\b|<|\[)[^\n]*|all rights reserved\.?[ \t]*)$", " ")
-    for old, new in SPELLINGS:
-        x = F.replace(x, F.lit(old), F.lit(new))
-    return F.btrim(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    # white space first, so that words are words; two spaces between, so that neighbours don't share one
+    x = F.concat(F.lit(" "), F.replace(F.regexp_replace(x, r"[^\p{L}\p{N}\n]+", "  "), F.lit("\n"), F.lit(" \n ")), F.lit(" "))
+    words, phrases = _spellings()
+    x = _respelled(_respelled(x, words, " "), phrases, "  ")
+    return F.transform(F.split(F.regexp_replace(x, " +", " "), "\n"), lambda c: F.btrim(c, F.lit(" ")))
+
+
+def _canonical_whole(lines: Column) -> Column:
+    """The canonical form of a text from that of its lines: phrases may span lines."""
+    x = F.concat(F.lit(" "), F.array_join(F.filter(lines, lambda c: c != ""), " "), F.lit(" "))
+    phrases = _spellings()[1]
+    # neighbours share a space: every other one goes the first time
+    return F.btrim(_respelled(_respelled(x, phrases, " "), phrases, " "), F.lit(" "))
+
+
+def canonical(text: Column) -> Column:
+    """The canonical form of a text; null counts as empty."""
+    return _canonical_whole(_canonical_lines(text))
 
 
 def digest(text: Column) -> Column:
@@ -97,6 +133,13 @@ def known_licenses(spark: SparkSession, known=KNOWN) -> DataFrame:
     return spark.range(1).select(F.inline(rows))
 
 
+def license_folder(spark: SparkSession, path: str) -> DataFrame:
+    """(license_id, text) of a folder of licence texts, one a file, named by their ids (with or without .txt or .md)."""
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    name = F.regexp_replace(F.url_decode(F.col("_metadata.file_name")), r"\.(?:txt|md)$", "")
+    return files.select(name.alias("license_id"), F.col("value").alias("text"))
+
+
 def license_digests(known: DataFrame) -> DataFrame:
     """(digest, license_id, size): one row for each digest; of licences with equal texts, the first by id. Texts that
     are null or empty in canonical form are left out."""
@@ -108,25 +151,29 @@ def license_matches(docs: DataFrame, known: DataFrame | None = None) -> DataFram
     """For each row: doc_id, digest (of the canonical text), license_id (of the whole text, or null), line_licenses
     (sorted ids of known texts that stand on a line of their own).
 
-    Null and empty texts have the digest of an empty text and match nothing. Repeated rows and null doc_ids stay; other
-    columns are ignored. With an empty table of known texts nothing matches.
+    known: (license_id, text), by default the built-in table; license_folder() reads more. Null and empty texts have the
+    digest of an empty text and match nothing. Repeated rows and null doc_ids stay; other columns are ignored. With an
+    empty table of known texts nothing matches.
     """
     known = staged(license_digests(known_licenses(docs.sparkSession) if known is None else known), "licenses")
-    small = known.count() <= BROADCAST_ROWS
-    table = F.broadcast(known) if small else known
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", digest(F.col("text")).alias("digest"), lines.alias("_lines"))
-    whole = rows.join(table.select("digest", "license_id"), "digest", "left")
-    if not small:
-        return _with_lines(whole, known)
-    pairs = known.select("digest", "license_id", "size").groupBy().agg(F.map_from_entries(F.collect_list(F.struct("digest", "license_id"))).alias("_known"), F.collect_set("size").alias("_sizes"))
-    found = F.transform(F.filter(F.transform("_lines", canonical), lambda c: F.array_contains("_sizes", F.length(c))), lambda c: F.try_element_at("_known", F.sha2(c, 256)))
+    lines = docs.select("doc_id", _canonical_lines(F.col("text")).alias("_lines"))
+    rows = lines.select("doc_id", F.sha2(_canonical_whole(F.col("_lines")), 256).alias("digest"), "_lines")
+    if known.count() > BROADCAST_ROWS:
+        return _by_shuffled_joins(rows, known)
+    whole = rows.join(F.broadcast(known.select("digest", "license_id")), "digest", "left")
+    # lines of a length that no known text has need no digest
+    pairs = known.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("digest", "license_id"))).alias("_known"), F.collect_set("size").alias("_sizes"))
+    some = F.filter("_lines", lambda c: F.array_contains("_sizes", F.length(c)))
+    found = F.transform(some, lambda c: F.try_element_at("_known", F.sha2(c, 256)))
     return whole.crossJoin(F.broadcast(pairs)).select("doc_id", "digest", "license_id", F.sort_array(F.array_distinct(F.array_compact(found))).alias("line_licenses"))
 
 
-def _with_lines(whole: DataFrame, known: DataFrame) -> DataFrame:
-    """The lines by a join too, for a table that can't be broadcast."""
-    lines = whole.select("_row", F.explode("_lines").alias("c")).select("_row", digest(F.col("c")).alias("digest"))
-    ids = lines.join(known.select("digest", "license_id"), "digest").groupBy("_row").agg(F.sort_array(F.collect_set("license_id")).alias("line_licenses"))
-    out = whole.join(ids, "_row", "left")
+def _by_shuffled_joins(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """The same for a table that can't be broadcast. Rows are numbered in a written table, digests in place of texts."""
+    lines = F.transform(F.array_distinct(F.filter("_lines", lambda c: c != "")), lambda c: F.unhex(F.sha2(c, 256)))
+    rows = staged(rows.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "digest", lines.alias("_lines")), "digests")
+    table = known.select("digest", "license_id")
+    each = rows.select("_row", F.explode("_lines").alias("_line")).select("_row", F.lower(F.hex("_line")).alias("digest"))
+    ids = each.join(table, "digest").groupBy("_row").agg(F.sort_array(F.collect_set("license_id")).alias("line_licenses"))
+    out = rows.join(table, "digest", "left").join(ids, "_row", "left")
     return out.select("doc_id", "digest", "license_id", F.coalesce("line_licenses", F.array().cast("array<string>")).alias("line_licenses"))

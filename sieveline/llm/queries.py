@@ -85,29 +85,57 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_matches(_table(spark, sf_dir, "documents"))
 
 
+# Constants of the SQL, written out apart from those of the operator. Equivalent spellings, with plurals.
+_SPELLED = """MAP {
+  'licence': 'license', 'licences': 'licenses', 'acknowledgement': 'acknowledgment', 'acknowledgements': 'acknowledgments',
+  'analogue': 'analog', 'analogues': 'analogs', 'authorisation': 'authorization', 'authorisations': 'authorizations',
+  'centre': 'center', 'centres': 'centers', 'favour': 'favor', 'favours': 'favors',
+  'fulfilment': 'fulfillment', 'fulfilments': 'fulfillments', 'initialise': 'initialize', 'initialises': 'initializes',
+  'judgement': 'judgment', 'judgements': 'judgments', 'modernise': 'modernize', 'modernises': 'modernizes',
+  'organisation': 'organization', 'organisations': 'organizations', 'practise': 'practice', 'practises': 'practices',
+  'programme': 'program', 'programmes': 'programs', 'utilisation': 'utilization', 'utilisations': 'utilizations',
+  'whilst': 'while', 'whilsts': 'whiles', 'wilful': 'willful', 'wilfuls': 'willfuls', 'https': 'http', 'httpss': 'https'}"""
+_PHRASES = (("sub license", "sublicense"), ("copyright owner", "copyright holder"), ("non commercial", "noncommercial"), ("per cent", "percent"))
+
+
 def _canonical_sql(x: str) -> str:
     lines = r"(?m)^[^\p{L}\p{N}\n©]*(?:(?:copyright|\(c\)|©)\s*(?:\(c\)|©|\d{4}|by\b|<|\[)[^\n]*|all rights reserved\.?[ \t]*)$"
     x = f"regexp_replace(lower(coalesce({x}, '')), '{lines}', ' ', 'g')"
-    for old, new in licenses.SPELLINGS:
-        x = f"replace({x}, '{old}', '{new}')"
-    return f"trim(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ')"
-
-
-def _known_sql() -> str:
-    return ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in licenses.KNOWN)
-
+    x = f"trim(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ')"
+    x = f"' ' || array_to_string(list_transform(string_split({x}, ' '), lambda w: coalesce({_SPELLED}[w], w)), ' ') || ' '"
+    for old, new in _PHRASES * 2:
+        x = f"replace(replace({x}, ' {old} ', ' {new} '), ' {old}s ', ' {new}s ')"
+    return f"trim({x}, ' ')"
+
+
+# Digests of the canonical forms of the built-in licence texts.
+_KNOWN_DIGESTS = """
+  ('35a446201226de6b27cfb7106d0f6c697f63bfeac2913dcf89024911e66ef164', 'MIT'),
+  ('f172f90a892d869d5d840d5f4363218a9b21bdb1bd3925ba9c752d1660134fee', 'ISC'),
+  ('a56fee4b2f66331ed54da4950ef9c9391453fd1490b4d8ea202bc29683bcbd30', 'BSD-2-Clause'),
+  ('1b8c5cd52eceb19ab0bc3cb40be110b1c0e7fa2671a3fe5866e59dd1502e69c7', 'Zlib'),
+  ('123a3b9fdc300d1b6f077f74b288de15d7f2c5b0b3b11e89fd799b48bfad5940', 'MIT'),
+  ('00217f00b903e5911b513ea1f36a2aeb7b8999ee6622cd67b2e675f98285e541', 'MIT'),
+  ('28de6b6f31af692f3276f4c7d7f809bc7d39d3206a71fe090d61d943447aabc6', 'Apache-2.0'),
+  ('37d45dc3b9135ed58bd277e14112dfea95629cda77a8d62cdb6bcd862e7b5bf5', 'GPL-3.0-only'),
+  ('e34399ae0e957e9bb9b4a0e3f615d05722861801f4e0718f35cefc762c349a16', 'CC-BY-NC-4.0'),
+  ('5aee400278b51606c2353a854f7d936ffffe555bf9c67e56d5db376a76b63bb2', 'CC-BY-4.0'),
+  ('2b112a6fd54caf2eae8e23516b628ad8ac20c00e407e568c503a16ef1eabaec2', 'CC-BY-SA-4.0'),
+  ('6574b7ebe0cb585e9b2f2c05d1e04a3181922d9bf36edf6c9f6a3cba7bac1564', 'MIT'),
+  ('eff9e05c9de2ebaf67a47336fef7135676ea38a388048f3f843195d9ee4d2e77', 'Apache-2.0'),
+  ('86cc14fde51d648e1d084ecc39341eefd11fedf263aba490c5b70924ca271986', 'GPL-3.0-only'),
+  ('89ca91930ea55aff34ba4afee0eaa74b51a1b961b85435e5e171c210eeda6c49', 'BSD-2-Clause')
+"""
 
 OP3 = rf"""
-WITH known AS (
-  SELECT sha256({_canonical_sql("t")}) AS digest, min(i) AS license_id FROM (VALUES {_known_sql()}) k(i, t) GROUP BY 1
-), d AS (
-  SELECT row_number() OVER () AS r, doc_id, text FROM documents
+WITH known(digest, license_id) AS (VALUES {_KNOWN_DIGESTS}), d AS (
+  SELECT row_number() OVER () AS r, doc_id, sha256({_canonical_sql("text")}) AS digest, text FROM documents
 ), l AS (
   SELECT r, list_sort(list(DISTINCT license_id)) AS ids
   FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) JOIN known ON sha256({_canonical_sql("line")}) = known.digest GROUP BY r
 )
-SELECT doc_id, sha256({_canonical_sql("text")}) AS digest, license_id, coalesce(ids, []) AS line_licenses
-FROM d LEFT JOIN l USING (r) LEFT JOIN known ON sha256({_canonical_sql("text")}) = known.digest
+SELECT doc_id, d.digest, license_id, coalesce(ids, []) AS line_licenses
+FROM d LEFT JOIN l USING (r) LEFT JOIN known ON d.digest = known.digest
 """
 
 
@@ -123,20 +151,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(_table(spark, sf_dir, "documents"))
 
 
-def _sql_list(words) -> str:
-    return ", ".join(f"'{w}'" for w in words)
-
-
-def _verdicts() -> str:
-    """A CASE for each rule of the threshold table."""
-    cases = []
-    for name, ratio, least, most in quality.THRESHOLDS:
-        over, under = ratio.split(" / ")
-        x = f"CAST({over} AS DOUBLE) / nullif({under}, 0)"
-        bad = [f"{x} < {least}"] * (least is not None) + [f"{x} > {most}"] * (most is not None)
-        cases.append(f"CASE WHEN {' OR '.join(bad)} THEN '{name}' END")
-    return f"list_filter([{', '.join(cases)}], lambda x: x IS NOT NULL)"
-
+# The stop words, written out apart from those of the operator.
+_STOP_WORDS = """
+  'the', 'of', 'and', 'to', 'in', 'is', 'that', 'was', 'with', 'for', 'on', 'as', 'are', 'by', 'this',
+  'le', 'la', 'les', 'de', 'des', 'et', 'en', 'un', 'une', 'que', 'est', 'dans', 'pour', 'par', 'au',
+  'der', 'die', 'das', 'und', 'zu', 'den', 'von', 'mit', 'ist', 'nicht', 'ein', 'eine', 'sich', 'auf',
+  'el', 'los', 'y', 'se', 'por', 'con', 'para', 'es', 'las'
+"""
 
 OP6 = rf"""
 WITH t AS (
@@ -152,10 +173,15 @@ WITH t AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
          CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(l) AS n_lines,
          CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
-         len(list_filter(w, lambda x: lower(x) IN ({_sql_list(sorted({w for ws in quality.STOP_WORDS.values() for w in ws}))}))) AS n_stop_words
+         len(list_filter(w, lambda x: lower(x) IN ({_STOP_WORDS}))) AS n_stop_words
   FROM t LEFT JOIN r USING (doc_id)
 ), v AS (
-  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {_verdicts()} AS failed FROM f
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, list_filter([
+    CASE WHEN CAST(word_chars AS DOUBLE) / nullif(n_words, 0) < 2.0 OR CAST(word_chars AS DOUBLE) / nullif(n_words, 0) > 15.0 THEN 'word_length' END,
+    CASE WHEN CAST(n_symbols AS DOUBLE) / nullif(n_words, 0) > 0.1 THEN 'symbols' END,
+    CASE WHEN CAST(n_stop_words AS DOUBLE) / nullif(n_words, 0) < 0.005 THEN 'stop_words' END,
+    CASE WHEN CAST(n_dup_lines AS DOUBLE) / nullif(n_lines, 0) > 0.5 THEN 'repeated_lines' END
+  ], lambda x: x IS NOT NULL) AS failed FROM f
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND len(failed) = 0 AS kept, failed FROM v

@@ -497,6 +497,78 @@ def test_licenses(spark):
     assert all(r.license_id is None and r.line_licenses == [] for r in licenses.license_matches(df, none).collect())
 
 
+def canonical(text):
+    """The canonical form, word by word."""
+    import regex
+
+    low = (text or "").lower()
+    low = re.sub(r"(?m)^[^\w\n©]*(?:(?:copyright|\(c\)|©)\s*(?:\(c\)|©|\d{4}|by\b|<|\[)[^\n]*|all rights reserved\.?[ \t]*)$", " ", low)
+    words = [w for w in regex.split(r"[^\p{L}\p{N}]+", low) if w]
+    table = {old: new for old, new in licenses.SPELLINGS if re.fullmatch("[a-z]+", old)}
+    words = [table.get(w) or (w[-1:] == "s" and w[:-1] in table and table[w[:-1]] + "s") or w for w in words]
+    pairs = {("sub", "license"): ["sublicense"], ("copyright", "owner"): ["copyright", "holder"], ("non", "commercial"): ["noncommercial"], ("per", "cent"): ["percent"]}
+    out, i = [], 0
+    while i < len(words):
+        two = tuple(words[i : i + 2])
+        one = tuple(w[:-1] if k and w[-1:] == "s" else w for k, w in enumerate(two))
+        if two in pairs or one in pairs:
+            new = pairs.get(two) or pairs[one]
+            out += [*new[:-1], new[-1] + ("" if two in pairs else "s")]
+            i += 2
+        else:
+            out.append(words[i])
+            i += 1
+    return " ".join(out)
+
+
+ODD = [
+    "the copyright\nowner and the copyright holder",
+    "per\ncent, PER CENT; per cents",
+    "programmer programmes programme sublicence",
+    "sub-license sub licences licence licence licence",
+    "copyright owner copyright owner copyright owners",
+    "non-commercial\n* Copyright 2020 Me\nAll rights reserved.\nÉlicence licenceé",
+    "https://x/ httpss",
+    " ",
+]
+
+
+def test_canonical_form(spark):
+    texts = [*ODD, None, "", *(t for _, t in licenses.KNOWN), "word " * 30_000 + "licence"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = dict(df.select("i", licenses.canonical(licenses.F.col("text")).alias("c")).collect())
+    assert [got[i] for i in range(len(texts))] == [canonical(t) for t in texts]
+    assert got[0] == "the copyright holder and the copyright holder" and got[2].startswith("programmer programs program")
+
+
+def wrapped(text, width):
+    import textwrap
+
+    return "\n".join(" # " + line for p in text.split("\n") for line in textwrap.wrap(p, width))
+
+
+def test_wrapped_licences_match(spark, monkeypatch):
+    """Whole licences with other line breaks, in both ways, on rows in any order."""
+    rows = [(i, wrapped(text, width)) for i, (text, width) in enumerate((t, w) for t in (licenses.MIT, licenses.ISC, licenses.BSD_2, licenses.ZLIB) for w in (20, 33, 79))]
+    rows += [(100 + i, f"line {i}\nReleased under the MIT License.\n" + "x\n" * i) for i in range(40)] + [(None, "SPDX-License-Identifier: MIT")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    small = licenses.license_matches(df).collect()
+    assert {r.license_id for r in small if r.doc_id is not None and r.doc_id < 12} == {"MIT", "ISC", "BSD-2-Clause", "Zlib"}
+    assert all(r.line_licenses == ["MIT"] for r in small if r.doc_id is None or r.doc_id >= 100)
+    monkeypatch.setattr(licenses, "BROADCAST_ROWS", 0)
+    same([(*r[:3], tuple(r[3])) for r in licenses.license_matches(df).collect()], [(*r[:3], tuple(r[3])) for r in small])
+
+
+def test_license_folder(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "My License-1.0.txt").write_text("You may do\nwhat you like.")
+    (tmp_path / "sub" / "Other-2").write_text("You may not.")
+    known = licenses.license_folder(spark, f"file://{tmp_path}")
+    same(known.collect(), [("My License-1.0", "You may do\nwhat you like."), ("Other-2", "You may not.")])
+    df = spark.createDataFrame([(1, "you MAY do what: you like"), (2, "a\nyou may not\n")], "doc_id long, text string")
+    same([(r.doc_id, r.license_id, tuple(r.line_licenses)) for r in licenses.license_matches(df, known).collect()], [(1, "My License-1.0", ("My License-1.0",)), (2, None, ("Other-2",))])
+
+
 def test_licenses_by_shuffled_join(spark, monkeypatch):
     df = spark.createDataFrame([(1, "Released under the MIT License."), (2, "prose\nLicensed under CC BY 4.0.")], "doc_id long, text string")
     monkeypatch.setattr(licenses, "BROADCAST_ROWS", 0)
