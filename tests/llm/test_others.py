@@ -1,5 +1,6 @@
 """Chats, archives, vectors, the pipeline and the registered queries."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -95,27 +96,69 @@ def test_archive_and_audit(spark):
         assert r.start == at.get(r.file, 0) and r.stop - r.start == len(r.record)
         at[r.file] = r.stop
     some = records[0].file
-    data = b"".join(bytes(r.record) for r in records if r.file == some)
-    assert [x[2] for x in warc.split_records(data)] == [bytes(r.record) for r in records if r.file == some]
-    zipped = b"".join(warc.gzip_record(bytes(r.record)) for r in records if r.file == some)
-    assert [x[2] for x in warc.split_records(zipped)] == [bytes(r.record) for r in records if r.file == some]
+    own = [bytes(r.record) for r in records if r.file == some]
+    assert [x[2:] for x in warc.split_records(b"".join(own))] == [(r, "whole") for r in own]
+    assert [x[2:] for x in warc.split_records(b"".join(map(warc.gzip_record, own)))] == [(r, "whole") for r in own]
     replica = warc.rotted(stored, share=4)
     bad = {(r.file, r.idx): r.record for r in replica.collect()}
     for fanout in (2, 16):
-        got = {(r.file, r.idx): r.status for r in warc.audit(stored, replica, fanout).collect()}
-        want = {(r.file, r.idx): "missing" if bad[r.file, r.idx] is None else "intact" if bad[r.file, r.idx] == r.record else "corrupt" for r in records}
-        assert got == want and {"missing", "corrupt", "intact"} == set(want.values())
+        got = {(r.file, r.idx): (r.status, r.record_sha256, r.page_id, r.copies) for r in warc.audit(stored, replica, fanout).collect()}
+        want = {(r.file, r.idx): ("missing" if bad[r.file, r.idx] is None else "intact" if bad[r.file, r.idx] == r.record else "corrupt", hashlib.sha256(r.record).hexdigest(), r.page_id, r.copies) for r in records}
+        assert got == want and {"missing", "corrupt", "intact"} == {x[0] for x in want.values()}
 
 
 def test_audit_of_equal_extra_and_empty(spark):
     df, _ = pages(spark)
     stored = warc.archive(df, file_records=40)
+    less = stored.where("idx <> 2 OR file <> 0")
     assert {r.status for r in warc.audit(stored, stored).collect()} == {"intact"}
-    a, b = warc.merkle_tree(stored, 4), warc.merkle_tree(stored.where("idx <> 2 OR file <> 0"), 4)
+    a, b = warc.merkle_tree(stored, 4), warc.merkle_tree(less, 4)
     assert [(r.file, r.idx, r.status) for r in warc.damaged_leaves(a, b, 4).collect()] == [(0, 2, "missing")]
     assert [(r.file, r.idx, r.status) for r in warc.damaged_leaves(b, a, 4).collect()] == [(0, 2, "extra")]
     assert warc.page_audit(df.limit(0)).collect() == []
     assert warc.page_audit(df).count() == stored.count()
+    # records that only the replica holds, also a whole file of them, are reported with its columns
+    place = lambda r: (r.file, r.idx)
+    whole = {place(r): r for r in warc.audit(stored, stored).collect()}
+    for part, fanout in (("idx <> 2 OR file <> 0", 2), ("file < 3", 16), ("file = 99", 16)):
+        some = stored.where(part)
+        kept = {place(r) for r in some.select("file", "idx").collect()}
+        out = {place(r): r for r in warc.audit(some, stored, fanout).collect()}
+        assert {p: r[:-1] for p, r in out.items()} == {p: r[:-1] for p, r in whole.items()}
+        assert {p: r.status for p, r in out.items()} == {p: "intact" if p in kept else "extra" for p in whole}
+        back = {place(r): r.status for r in warc.audit(stored, some, fanout).collect()}
+        assert back == {p: "intact" if p in kept else "missing" for p in whole}
+
+
+def test_audit_takes_any_columns(spark):
+    """Names that the trees use themselves, nulls, and replicas with no other columns."""
+    rows = [(f, i, 10 * i, 10 * i + 10, None if i == 3 else bytes([f, i]), "s", None, 1, "r", "d") for f in range(5) for i in range(7)]
+    df = spark.createDataFrame(rows, "file long, idx long, start long, stop long, record binary, sha string, rest string, level int, span string, digest string")
+    other = df.withColumn("record", warc.F.when(warc.F.col("file") == 2, warc.F.lit(b"x")).otherwise(warc.F.col("record")))
+    out = warc.audit(df, other, 2).collect()
+    assert len(out) == 35 and {r.status for r in out if r.file == 2} == {"corrupt"} == {r.status for r in out if r.status != "intact"}
+    assert {(r.sha, r.rest, r.level, r.span, r.digest) for r in out} == {("s", None, 1, "r", "d")}
+    bare = df.select("file", "idx", "start", "stop", "record")
+    assert warc.audit(bare, bare.where("file < 4"), 2).groupBy("status").count().orderBy("status").collect() == [("intact", 28), ("missing", 7)]
+
+
+def test_descent_reads_only_folders_that_differ(spark, monkeypatch):
+    rows = [(f, i, 10 * i, 10 * i + 10, bytes([f, i])) for f in range(60) for i in range(4)]
+    df = spark.createDataFrame(rows, "file long, idx long, start long, stop long, record binary")
+    one = df.withColumn("record", warc.F.when(warc.F.expr("file = 17 AND idx = 2"), warc.F.lit(b"x")).otherwise(warc.F.col("record")))
+    read, level = [], warc.Tree.level
+
+    def seen(self, n, files=None):
+        out = level(self, n, files)
+        read.append((n, out.select("span").distinct().count(), level(self, n).select("span").distinct().count()))
+        return out
+
+    a, b = warc.merkle_tree(df, 4), warc.merkle_tree(one, 4)
+    monkeypatch.setattr(warc.Tree, "level", seen)
+    assert [(r.file, r.idx, r.status) for r in warc.damaged_leaves(a, b, 4).collect()] == [(17, 2, "corrupt")]
+    assert [x[:2] for x in read if x[0] == 0] == [(0, 1)] * 2 and all(some <= 4 for n, some, _ in read) and max(x[2] for x in read) == 60
+    plan = a.level(0, [range(17, 18)])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "17" in plan.split("PartitionFilters")[1][:80]
 
 
 def test_read_warc(spark, tmp_path):
@@ -126,7 +169,64 @@ def test_read_warc(spark, tmp_path):
     (tmp_path / "c.warc").write_bytes(b"")
     got = warc.read_warc(spark, f"file://{tmp_path}").collect()
     assert sorted(bytes(r.record) for r in got if r.path.endswith("a.warc")) == sorted(bytes(r.record) for r in stored)
-    assert [bytes(r.record) for r in got if not r.path.endswith("a.warc")] == [b"no record at all"]
+    assert [(bytes(r.record), r.state) for r in got if not r.path.endswith("a.warc")] == [(b"no record at all", "damaged")]
+
+
+def record(i, body=b"some text "):
+    body = body * (i % 40)
+    return b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(body), body)
+
+
+def test_damaged_and_cut_files():
+    """Each damage is reported, and the records around it are found."""
+    records = [record(i) for i in range(1, 9)]
+    packed = [warc.gzip_record(r) for r in records]
+    data, at = b"".join(packed), [sum(map(len, packed[:k])) for k in range(9)]
+    for k in range(at[3], at[4]):
+        hurt = data[:k] + bytes([data[k] ^ 0x55]) + data[k + 1 :]
+        out = list(warc.split_records(hurt))
+        assert [x[0] for x in out][0] == 0 and out[-1][1] == len(data) and all(x[1] == y[0] for x, y in zip(out, out[1:]))
+        assert {x[2] for x in out if x[3] == "whole"} >= {r for i, r in enumerate(records) if i != 3}
+    assert sum(x[3] == "damaged" for x in warc.split_records(data[: at[3] + 15] + b"\xff" * 8 + data[at[3] + 23 :])) == 1
+    cut = list(warc.split_records(data[:-5]))
+    assert [x[3] for x in cut] == ["whole"] * 7 + ["truncated"]
+    plain = b"".join(records)
+    assert [x[3] for x in warc.split_records(plain[:-5])] == ["whole"] * 7 + ["truncated"]
+    wrong = plain.replace(b"Content-Length: 40\r", b"Content-Length: 41\r")
+    assert [x[3] for x in warc.split_records(wrong)] == ["whole"] * 3 + ["damaged"] + ["whole"] * 4
+    assert list(warc.split_records(b"")) == []
+
+
+def test_many_records_take_time_in_proportion():
+    import time
+
+    packed = b"".join(warc.gzip_record(record(i)) for i in range(100))
+    times = []
+    for n in (100, 1000):
+        began = time.perf_counter()
+        assert sum(1 for _ in warc.split_records(packed * n)) == 100 * n
+        times.append(time.perf_counter() - began)
+    assert times[1] < 40 * times[0]
+
+
+def test_stored_replicas_are_audited(spark, tmp_path):
+    """Two folders of packed files, one with a flipped byte, a cut end and a file more."""
+    files = {f"f{k}.warc.gz": [record(10 * k + i) for i in range(6)] for k in range(4)}
+    for side in "ab":
+        (tmp_path / side).mkdir()
+        for name, some in files.items():
+            data = b"".join(map(warc.gzip_record, some))
+            if side == "b" and name == "f1.warc.gz":
+                data = data[:-9]
+            if side == "b" and name == "f2.warc.gz":
+                k = sum(len(warc.gzip_record(r)) for r in some[:2]) + 20
+                data = data[:k] + bytes([data[k] ^ 0xFF]) + data[k + 1 :]
+            (tmp_path / side / name).write_bytes(data)
+    (tmp_path / "b" / "g.warc").write_bytes(record(1))
+    a, b = warc.numbered(*(warc.read_warc(spark, f"file://{tmp_path}/{side}") for side in "ab"))
+    got = {(r.name, r.idx): r.status for r in warc.audit(a, b, 4).collect() if r.status != "intact"}
+    assert got.pop(("g.warc", 0)) == "extra"
+    assert got == {("f1.warc.gz", 5): "missing", ("f2.warc.gz", 2): "missing"}
 
 
 def vectors(spark, n=400, d=16, seed=0):
