@@ -225,15 +225,16 @@ def repaired_chats(turns: DataFrame, merge: int = MERGE, relabel: int = RELABEL,
     inserted. seq numbers a conversation's turns from 0.
 
     A conversation's text is rendered in order of (seq, place). action: keep, merge (into the turn before), relabel,
-    relabel+merge or insert. Turns are in order of turn (null last), then role, then text; repeated rows are turns like
-    others (they merge). Unknown and null roles are relabelled; null texts are empty. Rows with null conv_id are one
+    relabel+merge or insert. Turns are in order of turn (null last), then role, then the text's XXH64 (null: null, last),
+    then text; repeated rows are turns like others (they merge). Texts of any length stay whole. Unknown and null roles are relabelled; null texts are empty. Rows with null conv_id are one
     conversation. The markers of the format are broken up inside texts. Other columns are ignored.
     """
     table, ending = actions(merge, relabel, insert), _ending(insert)
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    order = [F.col("conv_id").asc_nulls_last(), F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_last(), F.col("text").asc_nulls_last()]
-    # repeated rows are dealt out by their place in the table
-    rows = rows.withColumn("_at", F.monotonically_increasing_id()).repartitionByRange(*order, "_at").sortWithinPartitions(*order).drop("_at")
+    rows = rows.withColumn("_hash", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
+    order = [F.col(c).asc_nulls_last() for c in ("conv_id", "turn", "role", "_hash")]
+    # bounds of the ranges are sampled to the driver: hashes, not texts. Repeated rows are dealt out by place in the table
+    rows = rows.withColumn("_at", F.monotonically_increasing_id()).repartitionByRange(*order, "_at").sortWithinPartitions(*order, F.col("text").asc_nulls_last()).drop("_at", "_hash")
     pieces = staged(rows.mapInArrow(_pieces(table), _PIECE), "pieces")
     key = ["conv_id", "part", "k"]
     many = pieces.groupBy("conv_id").count().where("count > 1").select(F.col("conv_id").alias("_conv"))

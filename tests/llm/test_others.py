@@ -73,6 +73,46 @@ def test_chats_are_legal_and_whole(spark, monkeypatch):
     assert chat.repaired_chats(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("piece", [1024, 2])
+def test_repaired_rows_against_all_ways(spark, piece, monkeypatch):
+    """Of whole conversations: every turn once and in order, a legal sequence, the least cost, the rendered texts."""
+    monkeypatch.setattr(chat, "PIECE_TURNS", piece)
+    rng, rows = random.Random(12), []
+    names = ["user", "assistant", "system", "Human", " GPT", None, "tool", ""]
+    for conv in range(120):
+        rows += [(conv, k, rng.choice(names), rng.choice(["hi", None, "", f"t{k} <|im_start|>"])) for k in range(rng.randrange(1, 6))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    out = {}
+    for r in chat.repaired_chats(df).collect():
+        out.setdefault(r.conv_id, []).append(r)
+    assert sorted(out) == sorted({r[0] for r in rows})
+    code = {"user": 2, "human": 2, "assistant": 3, "gpt": 3, "system": 1}
+    for conv, got in out.items():
+        got.sort(key=lambda r: (r.seq, r.place))
+        turns = [r for r in rows if r[0] == conv]
+        assert [(r.seq, r.turn, r.role_before) for r in got if r.place == 0] == [(k, k, t[2]) for k, t in enumerate(turns)]
+        assert legal(got) and all((r.action == "insert") == (r.place != 0) for r in got)
+        wrong = [r for r in got if r.place == 0 and code.get((r.role_before or "").strip().lower()) != {"system": 1, "user": 2, "assistant": 3}[r.role]]
+        assert [r.seq for r in got if "relabel" in r.action] == [r.seq for r in wrong]
+        cost = sum(chat.INSERT * (r.action == "insert") + chat.RELABEL * ("relabel" in r.action) + chat.MERGE * ("merge" in r.action) for r in got)
+        assert cost == cheapest([code.get((t[2] or "").strip().lower(), 0) for t in turns])
+        text = ""
+        for k, r in enumerate(got):
+            own = (turns[r.seq][3] or "").replace("<|im_", "<| im_") if r.place == 0 else ""
+            text += "\n\n" + own if "merge" in r.action else ("<|im_end|>\n" if k else "") + f"<|im_start|>{r.role}\n" + own
+        assert "".join(r.rendered for r in got) == text + "<|im_end|>\n"
+
+
+def test_long_turns_are_cut_into_pieces(spark, monkeypatch):
+    """Turns of a million characters, and pieces cut by their size, change nothing."""
+    rows = [(1, k, ("user", "assistant", "user")[k % 3], ("x" if k else "é") * (1_000_000 if k == 4 else 3000)) for k in range(12)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = sorted(tuple(r) for r in chat.repaired_chats(df).collect())
+    monkeypatch.setattr(chat, "PIECE_CHARS", 5000)
+    assert sorted(tuple(r) for r in chat.repaired_chats(df).collect()) == whole
+    assert sum(len(r[-1]) for r in whole) > 1_000_000
+
+
 def test_chat_that_is_legal_stays(spark):
     df = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a")], "conv_id long, turn long, role string, text string")
     out = chat.repaired_chats(df).collect()
