@@ -6,8 +6,9 @@ radius r of a query at distance d from a node follows only the edges d - r .. d
 The trees are sharded by the pigeonhole rule: of b blocks of the 64 bits, two fingerprints with at most r differing
 bits agree in b - r of them or more, so for each choice of b - r blocks, those that agree there share a shard, and
 each link is found in one shard at least. b grows with the number of distinct fingerprints, so that shards stay small;
-each b is exact. A shard's tree is built in the task that gets the shard: broadcasting all of them would gather the
-fingerprints of all documents on the driver.
+each b is exact. Shards are counted, and what lies in one of more than SHARD_ROWS fingerprints is sharded again with more
+blocks: the bits of common text are far from even. A shard's tree is built in the task that gets the shard: broadcasting
+all of them would gather the fingerprints of all documents on the driver.
 
 Only connectivity is wanted: a shard's groups are explored from the tree, what is reached leaves the tree, and a
 search skips the subtrees that hold nothing more. A group of n yields n - 1 edges, never all its pairs. Exact copies
@@ -16,7 +17,7 @@ are one fingerprint before anything else.
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 from itertools import combinations
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .staging import packed, staged, unpacked
+from .staging import staged
 from .words import U64, Words, slices
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -34,6 +35,8 @@ PART_BYTES = 3 << 20
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: (most distinct fingerprints, number of blocks): b blocks, of which b - radius are fixed.
 BLOCKS = ((1 << 21, 1), (1 << 27, 2), (1 << 32, 3))
+#: Shards of more rows are sharded again, with up to so many blocks that must agree.
+SHARD_ROWS, MOST_BLOCKS = 1 << 16, 4
 
 
 def _fingerprints(words: Words, n: int, seed: int) -> np.ndarray:
@@ -203,9 +206,19 @@ def _sharded(fps: DataFrame, radius: int, blocks: int) -> DataFrame:
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): links that connect distinct fingerprints fps (column fp) as all links within the radius do."""
     n = fps.count()
-    blocks = radius + next((b for most, b in BLOCKS if n <= most), 4)
-    shards = _sharded(fps, radius, blocks).repartition("choice", "bits").sortWithinPartitions("choice", "bits")
-    return shards.mapInArrow(_link_shards(radius), "a long, b long")
+    fixed = next((b for most, b in BLOCKS if n <= most), MOST_BLOCKS)
+    found = []
+    while True:
+        shards, key = _sharded(fps, radius, radius + fixed), ["choice", "bits"]
+        large = shards.groupBy(*key).count().where(F.col("count") > SHARD_ROWS).select(*key)
+        more = fixed < MOST_BLOCKS and not (large := staged(large, "large")).isEmpty()
+        own = shards.join(large, key, "left_anti") if more else shards
+        found.append(own.repartition(*key).sortWithinPartitions(*key).mapInArrow(_link_shards(radius), "a long, b long"))
+        if not more:
+            return reduce(DataFrame.union, found)
+        # links within large shards: both ends are among these rows
+        fps = staged(shards.join(large, key, "left_semi").select("fp").distinct(), "crowded")
+        fixed += 1
 
 
 def grouped(docs: DataFrame, n: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
@@ -232,13 +245,3 @@ def near_duplicate_groups(docs: DataFrame, n: int = SHINGLE, radius: int = RADIU
     out = grouped(docs, n, radius, seed)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
-
-def one_of_each_group(docs: DataFrame, n: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
-    """The rows of docs that stay: of each group the one with the smallest doc_id (ties: one of the rows with that id,
-    the least by hash of the text; of rows the same in both, one). Groups of rows without any doc_id keep one row."""
-    ids = staged(grouped(docs, n, radius, seed), "groups").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    firsts = ids.groupBy("root").agg(F.min(F.struct("key", "doc_id")).alias("f"))
-    firsts = staged(firsts.select(F.col("f.doc_id").alias("_id"), F.col("f.key").alias("_key")), "firsts")
-    again = ids.groupBy("doc_id", "key").count().where("count > 1").join(firsts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left_semi")
-    rows = packed(docs, "doc_id", "text").join(firsts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_semi")
-    return unpacked(rows if again.isEmpty() else rows.dropDuplicates(["doc_id", "text"]))
