@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_key, words
@@ -33,32 +33,78 @@ def check_no_overlap(test: DataFrame, train: DataFrame, key: str) -> None:
         raise ValueError(f"{key}: test and train overlap")
 
 
-def ngrams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """(key, gram): hashes of the distinct n-word runs of each row; shorter texts have one run of all their words."""
-    w = df.select(key, words(F.lower(F.col(text))).alias("w"))
-    size = F.greatest(F.size("w") - (n - 1), F.lit(1))
-    grams = F.transform(F.sequence(F.lit(1), size), lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " ")))
-    return w.where(F.size("w") > 0).select(key, F.explode(F.array_distinct(grams)).alias("gram"))
+#: So many hashes go into the plan as one array; more are joined.
+FEW_HASHES = 4096
+
+
+def _runs(w: Column, n: Column | int) -> Column:
+    """Hashes of the n-word runs of an array of words."""
+    last = F.size(w) - n + 1
+    return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, n)))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _found(hashed: DataFrame, key: str, known: DataFrame) -> DataFrame:
+    """(key, gram): the distinct hashes of each row (an array, grams) that known (gram) has. Few known ones are looked
+    up in the row's own array, so that only what matches becomes rows; many are joined."""
+    some = [r[0] for r in known.select("gram").distinct().limit(FEW_HASHES + 1).collect()]
+    if len(some) <= FEW_HASHES:
+        own = F.array_intersect("grams", F.array(*[F.lit(x) for x in some]).cast("array<bigint>"))
+        return hashed.select(key, F.explode(own).alias("gram"))
+    return hashed.select(key, F.explode(F.array_distinct("grams")).alias("gram")).join(known.select("gram").distinct(), "gram", "left_semi")
+
+
+def _grams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """(key, grams): hashes of the n-word runs of each row; shorter texts have one run of all their words."""
+    w = df.select(key, words(F.lower(F.col(text))).alias("w")).where(F.size("w") > 0)
+    return w.select(key, F.when(F.size("w") >= n, _runs(F.col("w"), n)).otherwise(F.array(F.xxhash64("w"))).alias("grams"))
 
 
 def ngram_leakage(docs: DataFrame, benchmark: DataFrame, n: int = 8, key: str = "doc_id", item: str = "item_id") -> DataFrame:
     """(doc_id, item_id, n_shared, share): items that share n-word runs with a document; share is of the item's runs."""
-    theirs = ngrams(benchmark, item, "text", n)
+    theirs = _grams(benchmark, item, "text", n).select(item, F.explode(F.array_distinct("grams")).alias("gram"))
     sizes = theirs.groupBy(item).agg(F.count("*").alias("_size"))
-    shared = ngrams(docs, key, "text", n).join(theirs, "gram").groupBy(key, item).agg(F.count("*").alias("n_shared"))
+    found = _found(_grams(docs, key, "text", n), key, theirs)
+    shared = found.join(theirs, "gram").groupBy(key, item).agg(F.count("*").alias("n_shared"))
     return shared.join(sizes, item).select(key, item, "n_shared", (F.col("n_shared") / F.col("_size")).alias("share"))
 
 
 def containment(docs: DataFrame, benchmark: DataFrame, prefix: int = 5, key: str = "doc_id", item: str = "item_id") -> DataFrame:
-    """(doc_id, item_id): items whose text stands in a document as it is. Candidates share the item's first inner words
-    by hash, and the texts decide; no pair is compared without that. Items of fewer words are compared with all."""
-    inner = F.slice(words(F.col("text")), 2, prefix)
-    items = benchmark.select(item, F.col("text").alias("_item"), inner.alias("_w"))
-    long = items.where(F.size("_w") == prefix).select(item, "_item", F.xxhash64(F.array_join("_w", " ")).alias("gram"))
-    w = docs.select(key, words(F.col("text")).alias("w"))
-    n = F.size("w") - (prefix - 1)
-    grams = w.where(n > 0).select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.array_join(F.slice("w", i, prefix), " "))))).alias("gram"))
-    pairs = grams.join(long, "gram").select(key, item, "_item").distinct()
+    """(doc_id, item_id): items whose text stands in a document as it is, null and empty ones left out.
+
+    An item's inner words (all but the first and the last, which may be parts of longer words of the document) stand in
+    the document as whole words. Candidates share the item's first inner words by hash, up to prefix of them, and the
+    texts decide; no pair is compared without that. Items without inner words, of one or two words, are looked for by
+    their pieces between white space: the first ends a word and the second starts the next one, or the one lies within
+    a word, so that documents come to such an item by their distinct words.
+    """
+    w = words(F.col("text"))
+    items = benchmark.where("text <> ''").select(item, F.col("text").alias("_item"), w.alias("_w")).withColumn("_n", F.least(F.size("_w") - 2, F.lit(prefix)))
+    long = items.where("_n > 0").select(item, "_item", "_n", F.xxhash64(F.slice("_w", F.lit(2), F.col("_n"))).alias("gram"))
+    split = docs.select(key, w.alias("w"))
+    sizes = sorted(r[0] for r in long.select("_n").distinct().collect())  # prefix of them at most
+    found = docs.select(key).limit(0).crossJoin(items.select(item).limit(0))
+    if sizes:
+        hashed = split.select(key, F.concat(*[_runs(F.col("w"), n) for n in sizes]).alias("grams"))
+        pairs = _found(hashed, key, long).join(long, "gram").select(key, item, "_item").distinct()
+        found = pairs.join(docs.select(key, "text"), key).where(F.contains("text", F.col("_item"))).select(key, item)
+    short = items.where("_n <= 0")
+    if not short.isEmpty():
+        found = found.unionByName(_short_items(docs, short, key, item))
+    return found.distinct()
+
+
+def _short_items(docs: DataFrame, short: DataFrame, key: str, item: str) -> DataFrame:
+    """Items of one or two words. Distinct words of all documents meet the items' words first, once for each distinct
+    word and not for each document; then documents that hold such a word are compared as they are. Items that are white
+    space alone meet every document."""
+    blank = short.where(F.size("_w") == 0).select(item, "_item")
+    some = short.where(F.size("_w") > 0).select(item, "_item", F.element_at("_w", 1).alias("_word"))
+    split = docs.select(key, F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
+    vocabulary = split.select("word").distinct()
+    hit = vocabulary.join(F.broadcast(some) if some.count() <= FEW_HASHES else some, F.contains("word", F.col("_word"))).select("word", item, "_item")
+    pairs = split.join(hit, "word").select(key, item, "_item").distinct()
     found = pairs.join(docs.select(key, "text"), key).where(F.contains("text", F.col("_item"))).select(key, item)
-    short = items.where(F.size("_w") < prefix).select(item, "_item")
-    return found.unionByName(docs.select(key, "text").join(short, F.contains("text", F.col("_item"))).select(key, item))
+    if blank.isEmpty():
+        return found
+    every = docs.select(key, "text").join(blank, F.contains("text", F.col("_item")))
+    return found.unionByName(every.select(key, item))

@@ -42,12 +42,18 @@ def n_named(x: str, names: Sequence[str]) -> str:
     return "(" + " + ".join(f"CAST(contains({x}, {quoted(n)}) AS INT)" for n in names) + ")"
 
 
-Rule = tuple[str, bool, str]
+Rule = tuple[str, bool, "str | tuple[str, ...]"]
 
 
 def verdict(rules: Sequence[Rule], otherwise: tuple[bool, str]) -> str:
-    """'+reason' or '-reason' of the first rule that holds."""
-    sign = lambda ok, why: quoted(("+" if ok else "-") + why)
+    """'+reason' or '-reason' of the first rule that holds. A reason in parts has SQL in every second one."""
+
+    def sign(ok: bool, why: str | tuple[str, ...]) -> str:
+        mark = "+" if ok else "-"
+        if isinstance(why, str):
+            return quoted(mark + why)
+        return " || ".join([quoted(mark), *(f"CAST({p} AS VARCHAR)" if i % 2 else quoted(p) for i, p in enumerate(why))])
+
     if not rules:
         return sign(*otherwise)
     return "CASE " + " ".join(f"WHEN {c} THEN {sign(ok, why)}" for c, ok, why in rules) + f" ELSE {sign(*otherwise)} END"

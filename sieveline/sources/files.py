@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,6 +61,18 @@ def read_shards(spark: SparkSession, folder: str, schema: T.StructType, pattern:
     return rows.withColumn(FILE, F.col("_metadata.file_path"))
 
 
+def write_shards(df: DataFrame, key: str, folder: str) -> None:
+    """JSON lines in one folder for each value of key (shard=value; null and empty have one too), in one pass; key stays
+    a column."""
+    df.withColumn("shard", F.col(key)).write.mode("overwrite").partitionBy("shard").json(folder)
+
+
+def shard_of(file: Column) -> Column:
+    """The value of key that write_shards gave a file its folder for."""
+    value = F.url_decode(F.regexp_extract(F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B"))), r"/shard=([^/]*)/", 1))
+    return F.nullif(value, F.lit("__HIVE_DEFAULT_PARTITION__"))
+
+
 def files(spark: SparkSession, pattern: str) -> list[tuple[str, int]]:
     """(path, modification time) of files that match, from the file system's listing."""
     jvm = spark.sparkContext._jvm

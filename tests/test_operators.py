@@ -37,6 +37,43 @@ def test_containment_with_short_items(spark):
     assert sorted(map(tuple, leakage.containment(docs, items).collect())) == [(1, 1), (1, 2), (2, 2), (3, 1), (3, 2), (3, 3)]
 
 
+@pytest.mark.parametrize("few", [leakage.FEW_HASHES, 3])
+def test_containment_against_all_pairs(spark, few, monkeypatch):
+    """Items of one to nine words, cut out of texts at any character, with odd white space and ends inside longer words."""
+    import random
+
+    monkeypatch.setattr(leakage, "FEW_HASHES", few)
+    rng = random.Random(11)
+    vocabulary = ["one", "two", "three", "four", "five", "cat", "cats", "a", "b", "é", "x\u00a0y"]
+    texts = ["".join(rng.choice(vocabulary) + rng.choice([" ", " ", "\n", "  "]) for _ in range(rng.randrange(40))) for _ in range(60)]
+    items = ["one two three four five cat", "one two three four five cat a", "cat", "a", " a ", "ne two", "\n", "one  two", "zebra"]
+    for n in range(1, 10):
+        for _ in range(6):
+            words = rng.choice([t for t in texts if len(t.split()) > n]).split(" ")
+            at = rng.randrange(max(1, len(words) - n))
+            cut = " ".join(words[at : at + n])
+            items.append(cut[rng.randrange(2) : len(cut) - rng.randrange(2)])
+    texts += ["one two three four five cats y", "xone two three four five cat ab", "", None]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id int, text string, word int")
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate([*items, "", None])], "item_id int, text string")
+    got = sorted(map(tuple, leakage.containment(docs, bench).collect()))
+    assert got == [(i, j) for i, t in enumerate(texts) if t for j, x in enumerate(items) if x and x in t]
+
+
+@pytest.mark.parametrize("few", [leakage.FEW_HASHES, 3])
+def test_ngram_leakage_against_all_pairs(spark, few, monkeypatch):
+    monkeypatch.setattr(leakage, "FEW_HASHES", few)
+    texts, items = ["A b c d e f g", "b c d", "", "x y", None, "a B c a b c"], ["a b c d", "c d e f", "x y", "q"]
+    docs, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+
+    def grams(t, n=3):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+    want = [(i, j, len(grams(t) & grams(x)), len(grams(t) & grams(x)) / len(grams(x))) for i, t in enumerate(texts) for j, x in enumerate(items) if grams(t) & grams(x)]
+    assert sorted(map(tuple, leakage.ngram_leakage(docs, bench, 3).collect())) == want
+
+
 def test_overlap_check(spark):
     a, b = spark.createDataFrame([("x",), ("y",)], "k string"), spark.createDataFrame([(" X",)], "k string")
     with pytest.raises(ValueError):
