@@ -7,16 +7,94 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_any
+from ..functions.text import contains_any, strip, words
 from .ranking import distinct_draws, unit_draw, weighted_draw
 
 # Kinds of negatives and their shares.
-NEGATIVE_SHARES = {"unwarranted_refusal": 0.25, "format_violation": 0.25, "incorrect_factual": 0.2, "off_topic": 0.15, "verbose_vague": 0.15}
+NEGATIVE_SHARES = {"unwarranted_refusal": 0.30, "format_violation": 0.25, "incorrect_factual": 0.20, "off_topic": 0.15, "verbose_vague": 0.10}
 # Words swapped to make an answer wrong; the first pair that applies is used.
 SUBSTITUTIONS = (("east", "west"), ("north", "south"), ("hot", "cold"), ("big", "small"), ("first", "last"), ("early", "late"), ("up", "down"), ("in", "out"), ("more", "less"), ("high", "low"))
-REFUSALS = ("I cannot help with that.", "I'm not able to answer this.", "That is outside of what I can do.")
-OFF_TOPIC = ("That reminds me of something else entirely.", "There is much to say about related subjects.", "Many other topics are interesting too.")
-VAGUE = ("It depends on many factors.", "There are several ways to see this.", "The details vary from case to case.")
+# Refusals of harmless requests, for all kinds and for each kind.
+REFUSALS = (
+    "I cannot help with that request.",
+    "I'm not able to provide that information.",
+    "I cannot assist with that topic.",
+    "That's not something I can help with.",
+    "I'm sorry, but I cannot answer that.",
+    "I don't think I should respond to that.",
+    "I'm not comfortable providing that information.",
+    "That's outside my capabilities.",
+)
+TYPED_REFUSALS = {
+    "qa": ("I cannot answer questions about that topic.", "I'm not allowed to provide factual information.", "That question is too complex for me to answer."),
+    "completion": ("I cannot complete sentences or phrases.", "I'm not able to fill in blanks.", "Completing text is not something I can do."),
+    "generation": ("I cannot generate creative content.", "I'm not able to write about that topic.", "Creating content is outside my scope."),
+    "response": ("I cannot provide responses to that.", "I'm not able to engage with that type of request.", "That's not something I can respond to appropriately."),
+}
+# Responses that break the form asked for.
+MANY_SENTENCES = "Here are several sentences. Each one adds more information. This violates the single sentence requirement. The instruction asked for only one."
+MORE_DETAIL = " This is additional information. Here's even more detail that wasn't requested."
+MORE = ". Also, here's more. And more."
+TOO_LONG = " However, to provide a more comprehensive understanding, we should explore this topic in greater detail with extensive background information, multiple examples, detailed explanations, and thorough analysis that goes far beyond what was actually requested in the original instruction."
+NO_LIST = "This is just a paragraph instead of a list format."
+INCOMPLETE = "Response incomplete."
+# Wrong answers by topic, and those for other questions.
+WRONG_FACTS = (
+    ("capital of france", "London"),
+    ("largest continent", "Europe"),
+    ("longest river", "Thames"),
+    ("sahara desert", "South America"),
+    ("2 + 2", "5.0"),
+    ("10 divided by 2", "6.0"),
+    ("3 × 4", "13.0"),
+    ("gravity", "Gravity pushes objects away from each other."),
+    ("photosynthesis", "Plants make food by absorbing minerals from soil."),
+    ("freezes at", "Water freezes at 50 degrees Celsius."),
+    ("world war ii end", "World War II ended in 1943."),
+    ("first president", "Benjamin Franklin was the first U.S. president."),
+    ("sun rises", "west"),
+    ("largest ocean", "Atlantic Ocean"),
+    ("bees make", "Bees make milk."),
+)
+WRONG_ANSWERS = (
+    "That's not actually true, but here's some made-up information about it.",
+    "The opposite of what you might expect is correct in this case.",
+    "This is a common misconception - the real answer is completely different.",
+)
+WRONG = "This answer contains incorrect information about the topic."
+# Talk beside the point, by the topic of the instruction.
+OFF_TOPIC_BY = {
+    "animals": ("Speaking of animals, did you know that elephants have excellent memories?", "Animals are fascinating creatures with many unique adaptations.", "The animal kingdom is incredibly diverse and interesting to study."),
+    "science": ("Science is a broad field with many interesting discoveries.", "Scientific research continues to advance our understanding.", "There are many branches of science worth exploring."),
+    "geography": ("Geography involves studying many different places around the world.", "The Earth has many interesting geographical features.", "Maps and geography have been important throughout history."),
+    "history": ("History is full of interesting events and people.", "Learning about the past helps us understand the present.", "Historical records provide valuable insights."),
+    "technology": ("Technology continues to evolve rapidly in modern times.", "Computers and technology have changed how we live.", "Innovation drives technological advancement."),
+}
+ANIMALS, PLANTS, WATERS = ("dog", "cat", "animal", "pet"), ("plant", "tree", "flower"), ("water", "rain", "ocean")
+OF_PLANTS, OF_WATER = "Plants are important for our ecosystem and environment.", "Water is essential for all life on Earth."
+OFF_TOPIC = (
+    "That reminds me of something completely different I learned recently.",
+    "This topic is related to many other interesting subjects.",
+    "There are many perspectives to consider on various topics.",
+    "Speaking of related topics, there's a lot to explore in this area.",
+    "This connects to broader themes worth discussing.",
+)
+# What stands before and after an answer to make it wordy, and vague answers.
+WORDY = (
+    ("Well, to properly address your question about this topic, I should mention that ", ". However, it's important to note that there are many nuances and complexities involved in this subject matter that could be explored in much greater detail, depending on the specific context and particular circumstances that might be relevant to your particular situation and needs."),
+    ("The answer to your inquiry involves several interconnected aspects. Generally speaking, ", ". That said, one must consider various factors, perspectives, and potential implications that might influence the overall understanding of this particular subject matter."),
+    ("This is an interesting and complex question that touches on multiple dimensions. From one perspective, ", ". From another angle, however, one might consider alternative approaches or interpretations that could potentially offer different insights into the matter at hand."),
+)
+WORDY_OF_NOTHING = ("there are various considerations", "the topic is multifaceted", "there are certain viewpoints")
+VAGUE = (
+    "This depends on various factors and circumstances.",
+    "There are multiple ways to approach this topic.",
+    "The answer varies depending on the specific context.",
+    "This is something that could be interpreted in different ways.",
+    "It's a complex topic with many considerations.",
+    "The specifics would depend on the particular situation.",
+    "This involves various elements that interact in complex ways.",
+)
 
 
 # A small suite of instructions, each with the named check of its response.
@@ -36,11 +114,76 @@ CHECK_SUITE = (
 )
 
 
+# Prompts of a first assessment, by category.
+BASELINE_PROMPTS = {
+    "completions": (
+        "The capital of France is",
+        "Water boils at",
+        "2 + 2 equals",
+        "The sun is a",
+        "Python is a programming",
+        "Shakespeare wrote Romeo and",
+        "The largest planet is",
+        "Ice melts at",
+        "Gravity causes objects to",
+        "The speed of light is",
+    ),
+    "questions": (
+        "What is the capital of France?",
+        "How does photosynthesis work?",
+        "Why is the sky blue?",
+        "When was World War II?",
+        "Who invented the telephone?",
+        "What causes rain?",
+        "How many sides does a triangle have?",
+        "What is DNA?",
+        "Where is the Great Wall of China?",
+        "What is gravity?",
+    ),
+    "instructions": (
+        "Answer this question: What is gravity?",
+        "Complete the following: The moon orbits",
+        "Tell me about the water cycle.",
+        "List three primary colors.",
+        "Explain what DNA is.",
+        "Define photosynthesis.",
+        "Describe how rain forms.",
+        "Answer: Who wrote Romeo and Juliet?",
+        "Complete this sentence: Water freezes at",
+        "Tell me the capital of Japan.",
+    ),
+    "commands": (
+        "Write a sentence about dogs.",
+        "Generate a fact about space.",
+        "Create a short description of rain.",
+        "Produce a statement about mathematics.",
+        "Output information about computers.",
+        "Write one fact about gravity.",
+        "Generate a sentence about the ocean.",
+        "Create a description of trees.",
+        "Produce information about the sun.",
+        "Write about the human heart.",
+    ),
+}
+
+
 def check_suite(spark: SparkSession) -> DataFrame:
-    """(instruction_type, check_name, instruction) of the suite; suites of other sizes are tables of the same form."""
+    """(instruction_type, check_name, instruction) of the suite."""
     return spark.createDataFrame(list(CHECK_SUITE), "instruction_type string, check_name string, instruction string")
 
 
+def baseline_prompts(spark: SparkSession) -> DataFrame:
+    """(category, place, prompt)."""
+    rows = [(category, n, p) for category, prompts in BASELINE_PROMPTS.items() for n, p in enumerate(prompts)]
+    return spark.createDataFrame(rows, "category string, place int, prompt string")
+
+
+def suite(spark: SparkSession, path: str) -> DataFrame:
+    """(test_id, category, prompt, expected): a suite of any size from JSON lines, in order of test_id. Suites other than
+    the two above are data of their users."""
+    return spark.read.schema("test_id string, category string, prompt string, expected string").option("mode", "FAILFAST").json(path).orderBy("test_id")
+
+
 def pick(options: Sequence[str], key: Column, seed: int) -> Column:
     """One of the options, by the hash of a key."""
     at = F.floor(unit_draw(key, seed) * len(options)).cast("int") + 1
@@ -66,56 +209,132 @@ def cycle_pool(spark: SparkSession, pool: Sequence[str], count: int, kind: str)
 
 def held_out_tests(spark: SparkSession, pools: dict[str, Sequence[str]], count: int) -> DataFrame:
     """(id, instruction, expected_type): count // kinds of each kind, numbered in order."""
-    out = None
+    out, each = None, count // len(pools)
     for n, (kind, pool) in enumerate(pools.items()):
-        each = count // len(pools)
-        part = cycle_pool(spark, pool, each, kind).select(F.concat(F.lit("test_"), (F.split("id", "_")[1].cast("int") + n * each + 1).cast("string")).alias("id"), "instruction", F.col("instruction_type").alias("expected_type"))
+        at = F.element_at(F.array(*[F.lit(p) for p in pool]), (F.col("id") % len(pool) + 1).cast("int"))
+        part = spark.range(each).select(F.concat(F.lit("test_"), (F.col("id") + n * each + 1).cast("string")).alias("id"), at.alias("instruction"), F.lit(kind).alias("expected_type"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def typed_instructions(spark: SparkSession, templates: dict[str, Sequence[str]], count: int, seed: int) -> DataFrame:
-    """(index, type, instruction): types in turn, a template of the type by the hash of seed and index."""
+# Templates of instructions by type, and what their places are filled with.
+TYPED_TEMPLATES = {
+    "list": ("List {count} {topic}", "Name {count} types of {topic}", "Give me {count} examples of {topic}"),
+    "count": ("How many {item} are in {context}?", "Count the number of {item} in: {context}"),
+    "sort": ("Sort these items: {items}", "Arrange in order: {items}", "Put in alphabetical order: {items}"),
+    "filter": ("From this list, select only {criteria}: {items}", "Filter for {criteria}: {items}"),
+    "classify": ("Is this {category}? {item}", "Classify as {options}: {item}"),
+    "extract": ("Extract {target} from: {text}", "Find the {target} in: {text}"),
+}
+TYPED_FILLERS = {
+    "list": {"count": ("3", "5", "7"), "topic": ("animals", "countries", "fruits", "colors", "programming languages", "cities", "planets", "vegetables", "musical instruments")},
+    "count": {"item": ("words", "letters", "numbers", "items", "elements"), "context": ("the quick brown fox", "apple banana cherry", "1 2 3 4 5", "red green blue yellow")},
+    "sort": {"items": ("zebra, apple, moon, banana", "python, java, c++, rust", "5, 1, 9, 3, 7")},
+    "filter": {"criteria": ("even numbers", "fruits", "animals", "vowels"), "items": ("1, 2, 3, 4, 5, 6", "apple, car, banana, tree", "cat, dog, tree, bird", "a, b, e, f, i, j")},
+    "classify": {"category": ("positive", "fruit", "animal"), "options": ("positive/negative", "fruit/vegetable", "animal/plant"), "item": ("happy day", "tomato", "oak tree")},
+    "extract": {"target": ("phone number", "email", "date", "name"), "text": ("Call me at 555-1234", "Email: user@example.com", "Born on Jan 1, 2000", "My name is John Smith")},
+}
+
+
+def typed_instructions(spark: SparkSession, count: int, seed: int, templates: dict[str, Sequence[str]] | None = None, fillers: dict[str, dict[str, Sequence[str]]] | None = None) -> DataFrame:
+    """(index, type, instruction): types in turn; a template of the type, and a filler for each of its places, by the
+    hashes of seed, index and place."""
+    templates, fillers = templates or TYPED_TEMPLATES, fillers if fillers is not None else TYPED_FILLERS
     kinds = list(templates)
     kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("id") % len(kinds) + 1).cast("int"))
-    chain = None
+    chain = F.lit(None).cast("string")
     for k in kinds:
         one = pick(templates[k], F.col("id"), seed)
-        chain = F.when(F.col("type") == k, one) if chain is None else chain.when(F.col("type") == k, one)
+        for name, values in fillers.get(k, {}).items():
+            one = F.replace(one, F.lit("{" + name + "}"), pick(values, F.concat_ws("|", F.col("id").cast("string"), F.lit(name)), seed))
+        chain = F.when(F.col("type") == k, one).otherwise(chain)
     return spark.range(count).withColumn("type", kind).select(F.col("id").alias("index"), "type", chain.alias("instruction"))
 
 
+def pick_from(options: Column, key: Column, seed: int) -> Column:
+    """One entry of an array, by the hash of a key."""
+    return F.element_at(options, (F.floor(unit_draw(key, seed) * F.size(options)) + 1).cast("int"))
+
+
 def wrong_words(x: Column) -> Column:
-    """x with the first word pair that applies swapped; null if none does."""
+    """x with the first word pair that applies swapped; null if that changes nothing."""
     chain = None
     for old, new in SUBSTITUTIONS:
-        swap = F.regexp_replace(x, rf"(?i)\b{old}\b", new)
+        swap = F.regexp_replace(x, rf"(?iU)\b{old}\b", new)
         test = F.contains(F.lower(x), F.lit(old))
         chain = F.when(test, swap) if chain is None else chain.when(test, swap)
     return F.nullif(chain, x)
 
 
-def negative_response(kind: Column, instruction: Column, response: Column, key: Column, seed: int = 42) -> Column:
-    """A bad response of the given kind; short ones are padded."""
-    vague = F.concat(F.lit("Well, in a sense, "), F.lower(response), F.lit(" However, there are many nuances that could be explored in much greater detail."))
-    violation = F.when(contains_any(F.lower(instruction), ("sentence",)), F.concat(response, F.lit(" This is more than was asked. And here is still more."))).when(contains_any(F.lower(instruction), ("list",)), F.lit("This is a paragraph instead of a list.")).otherwise(F.when(F.length(response) > 10, F.substring(response, F.lit(1), F.floor(F.length(response) / 2).cast("int"))).otherwise(F.lit("Partial")))
+def _texts(options: Sequence[str]) -> Column:
+    return F.array(*[F.lit(o) for o in options])
+
+
+def refusals(kind: Column) -> Column:
+    """The refusals that fit a kind of instruction."""
+    typed = F.create_map(*[x for k, v in TYPED_REFUSALS.items() for x in (F.lit(k), _texts(v))])
+    return F.concat(_texts(REFUSALS), F.coalesce(F.try_element_at(typed, kind), F.array().cast("array<string>")))
+
+
+def format_violations(instruction: Column, kind: Column, response: Column) -> Column:
+    """The responses that break the form that an instruction asks for; some break any."""
+    low = F.lower(instruction)
+    if_any = lambda cue, *texts: F.when(cue, F.array(*texts)).otherwise(F.array().cast("array<string>"))
+    first = F.try_element_at(words(response), F.lit(1))
+    word = F.coalesce(F.when(F.length(first) >= 3, first).when(F.length(first) > 0, F.lit("Inc...")), F.lit("Incomplete"))
+    half = F.when(F.length(response) > 10, F.substring(response, F.lit(1), F.floor(F.length(response) / 2).cast("int"))).otherwise(F.lit("Partial"))
+    return F.concat(
+        if_any(F.contains(low, F.lit("sentence")), F.concat(response, F.lit(MORE_DETAIL)), F.concat(F.substring_index(response, ".", 1), F.lit(MORE)), F.lit(MANY_SENTENCES)),
+        if_any(contains_any(low, ("short", "brief")), F.concat(response, F.lit(TOO_LONG))),
+        if_any(F.contains(low, F.lit("list")), F.lit(NO_LIST), F.concat(F.lit("1. "), response, F.lit(" (but this should be multiple items, not just one)"))),
+        F.array(word, half, F.lit(INCOMPLETE)),
+        if_any(kind == "completion", F.concat(F.lit("The completion of '"), instruction, F.lit("' would be something, but I'm not sure what.")), F.concat(F.lit("There are many ways to complete '"), instruction, F.lit("' depending on context."))),
+    )
+
+
+def incorrect_facts(instruction: Column, kind: Column, response: Column, key: Column, seed: int) -> Column:
+    """A wrong answer: by the first topic that the instruction names, else any for a question, else swapped words."""
+    low, chain = F.lower(instruction), F.when(F.lit(False), "")
+    for topic, answer in WRONG_FACTS:
+        chain = chain.when(F.contains(low, F.lit(topic)), answer)
+    return chain.when(kind == "qa", pick(WRONG_ANSWERS, key, seed)).otherwise(F.coalesce(F.when(F.length(response) > 10, wrong_words(response)), F.lit(WRONG)))
+
+
+def off_topic(instruction: Column, key: Column, seed: int) -> Column:
+    """Talk beside the point: on the category that the instruction names (or its singular), else by words of it."""
+    low, chain = F.lower(instruction), F.when(F.lit(False), "")
+    said = F.regexp_extract_all(low, F.lit(r"(?U)(\w+)"))
+    named = lambda names: F.arrays_overlap(said, _texts(names))
+    for category, texts in OFF_TOPIC_BY.items():
+        chain = chain.when(contains_any(low, (category, category[:-1])), pick(texts, key, seed))
+    return chain.when(named(ANIMALS), pick(OFF_TOPIC_BY["animals"], key, seed)).when(named(PLANTS), OF_PLANTS).when(named(WATERS), OF_WATER).otherwise(pick(OFF_TOPIC, key, seed))
+
+
+def verbose_or_vague(response: Column, key: Column, seed: int) -> Column:
+    wordy = F.array(*[F.concat(F.lit(before), F.when(response != "", F.lower(response)).otherwise(F.lit(nothing)), F.lit(after)) for (before, after), nothing in zip(WORDY, WORDY_OF_NOTHING)])
+    return F.when(unit_draw(key, seed + 1) < 0.5, pick_from(wordy, key, seed)).otherwise(pick(VAGUE, key, seed))
+
+
+def negative_response(negative: Column, instruction: Column, kind: Column, response: Column, key: Column, seed: int = 42) -> Column:
+    """A bad response of the given kind of negatives; short ones are padded."""
     out = (
-        F.when(kind == "unwarranted_refusal", pick(REFUSALS, key, seed))
-        .when(kind == "format_violation", violation)
-        .when(kind == "incorrect_factual", F.coalesce(F.when(F.length(response) > 10, wrong_words(response)), F.lit("This answer states something wrong about the topic.")))
-        .when(kind == "off_topic", pick(OFF_TOPIC, key, seed))
-        .otherwise(F.when(unit_draw(key, seed + 1) < 0.5, vague).otherwise(pick(VAGUE, key, seed)))
+        F.when(negative == "unwarranted_refusal", pick_from(refusals(kind), key, seed))
+        .when(negative == "format_violation", pick_from(format_violations(instruction, kind, response), key, seed))
+        .when(negative == "incorrect_factual", incorrect_facts(instruction, kind, response, key, seed))
+        .when(negative == "off_topic", off_topic(instruction, key, seed))
+        .otherwise(verbose_or_vague(response, key, seed))
     )
-    return F.when(F.length(out) < 3, F.concat(out, F.lit(" [bad]"))).otherwise(out)
+    return F.when(F.length(strip(out)) < 3, F.concat(strip(out), F.lit(" [bad]"))).otherwise(out)
 
 
 def negatives(df: DataFrame, key: str, seed: int = 42, least: int = 2, most: int = 3) -> DataFrame:
-    """df (key, instruction, response) with two or three rows each, of different kinds: negative_type, negative_response."""
+    """df (key, instruction, instruction_type, response) with two or three rows each, of different kinds: negative_type,
+    negative_response."""
     k = F.col(key)
     n = F.when(unit_draw(k, seed + 2) < 0.5, least).otherwise(most)
     out = df.withColumn("negative_type", F.explode(distinct_draws(k, list(NEGATIVE_SHARES), n, seed)))
     at = F.concat_ws("|", k.cast("string"), F.col("negative_type"))
-    return out.withColumn("negative_response", negative_response(F.col("negative_type"), F.col("instruction"), F.col("response"), at, seed))
+    return out.withColumn("negative_response", negative_response(F.col("negative_type"), F.col("instruction"), F.col("instruction_type"), F.col("response"), at, seed))
 
 
 def negative_kind(key: Column, seed: int = 42) -> Column:
@@ -131,3 +350,8 @@ def shard_plan(spark: SparkSession, count: int, shards: int, base_seed: int) ->
 def candidate_limit(count: int, factor: float = 1.5) -> int:
     """How many candidates to make for count kept ones."""
     return -int(-count * factor // 1)
+
+
+def candidate_batches(count: int, factor: float = 1.5, size: int = 10, least: int = 10) -> int:
+    """How many batches of candidates to ask for."""
+    return max(least, int(count * factor / size))

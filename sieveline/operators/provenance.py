@@ -72,8 +72,38 @@ def passed_gate(entries: DataFrame, kind: str = "qc_summary") -> DataFrame:
     return good
 
 
+# What a loader must have recorded of itself.
+LOADER_FIELDS = ("loader_version", "quantization", "template_disabled", "sentinel_tests_passed", "add_special_tokens")
+
+
+def missing(info: dict, keys: Sequence[str] = LOADER_FIELDS) -> list[str]:
+    """Which of the fields a record lacks."""
+    return [k for k in keys if info.get(k) is None]
+
+
+def loader_record(model: str, sentinels: Sequence[dict], load_in_4bit: bool = False, load_in_8bit: bool = False, dtype: str = "bfloat16", device_map: str = "auto") -> dict:
+    """What a model loader records of itself: version, quantisation, and how its probes came out."""
+    return {
+        "loader_version": git_info()["commit"],
+        "model_name": model,
+        "quantization": "4bit-nf4" if load_in_4bit else "8bit" if load_in_8bit else "none",
+        "torch_dtype": dtype,
+        "template_disabled": True,
+        "add_special_tokens": False,
+        "sentinel_tests_passed": all(s["passed"] for s in sentinels),
+        "sentinel_results": list(sentinels),
+        "device_map": device_map,
+    }
+
+
+def artifact_record(kind: str, script: str, model: str, loader: dict, timestamp: str, parameters: dict | None = None, more: dict | None = None) -> dict:
+    """What is recorded of an artifact: git facts, then those of the loader, then parameters and more; later keys win."""
+    out = {"artifact_type": kind, "script_name": script, "timestamp": timestamp, "model_name": model, **git_info(), **loader}
+    return out | ({"generation_params": parameters} if parameters else {}) | (more or {})
+
+
 def required(info: dict, *keys: str) -> dict:
-    lacking = [k for k in keys if info.get(k) is None]
+    lacking = missing(info, keys)
     if lacking:
         raise ValueError(f"provenance lacks {', '.join(lacking)}")
     return info
@@ -85,6 +115,18 @@ def qc_record(summary: DataFrame, timestamp: str) -> DataFrame:
     return summary.select(F.to_json(F.struct(F.lit(timestamp).alias("timestamp"), F.struct(*[F.lit(v).alias(k) for k, v in git.items()]).alias("git"), F.struct("*").alias("qc"))).alias("document"))
 
 
+def qc_document(gated: DataFrame, thresholds: dict, timestamp: str, margins: Column | None = None) -> DataFrame:
+    """A gated summary (of qc.gate) as JSON documents in sections: counts, acceptance, token statistics, margins,
+    thresholds, verdict and reasons, with time and commit."""
+    git = F.struct(*[F.lit(v).alias(k) for k, v in git_info().items()])
+    counts = F.struct(*[F.col(c) for c in gated.columns if c == "total" or (c.startswith("n_") and "judged" not in c and "good" not in c)])
+    acceptance = F.struct(*[F.col(c) for c in gated.columns if "acceptance" in c or "judged" in c or "good" in c])
+    tokens = F.struct(*[F.col(c) for c in gated.columns if c.endswith("_tokens")])
+    sections = {"timestamp": F.lit(timestamp), "git": git, "counts": counts, "acceptance": acceptance, "token_stats": tokens, "margins": margins if margins is not None else F.lit(None).cast("struct<mean:double>"), "thresholds": F.struct(*[F.lit(v).alias(k) for k, v in thresholds.items()]), "thresholds_passed": F.col("passed"), "failed_reasons": F.col("failed_reasons")}
+    rest = [c for c in gated.columns if not (c == "total" or c.startswith("n_") or c.endswith(("_tokens", "_rate", "_acceptance")) or c in ("passed", "failed_reasons"))]
+    return gated.select(*rest, F.to_json(F.struct(*[c.alias(k) for k, c in sections.items()])).alias("document"))
+
+
 def run_steps(steps: Sequence[tuple[str, str, callable]], exists, force: Sequence[str] = ()) -> list[tuple[str, str]]:
     """Steps (name, artifact, function) in order; those whose artifact exists are skipped unless forced. Stops at the
     first failure. Returns (name, done, skipped or the error)."""

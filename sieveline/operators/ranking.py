@@ -122,3 +122,8 @@ def progress(df: DataFrame, key: str, value: Column, every: int = 50) -> DataFra
     sums = r.groupBy("_stretch").agg(F.sum("_v").alias("_s"), F.count("*").alias("_n"), F.max("rank").alias("rank"))
     so_far = Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return sums.select("rank", (F.sum("_s").over(so_far) / F.sum("_n").over(so_far)).alias("rate")).where(F.col("rank") % every == 0)
+
+
+def sorted_output(df: DataFrame, *keys: str) -> DataFrame:
+    """df in order of keys, nulls last: a range-partitioned sort, each partition before the next."""
+    return df.orderBy(*[F.col(k).asc_nulls_last() for k in keys])

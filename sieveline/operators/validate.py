@@ -85,6 +85,20 @@ def test_instructions(df: DataFrame) -> DataFrame:
     return out.select(*df.columns, "violations")
 
 
+def _filled(df: DataFrame, *keys: str) -> list[tuple[Column, str]]:
+    return [(strip(F.col(k).cast("string")) == "", f"empty {k}") for k in keys if k in df.columns]
+
+
+def instructions(df: DataFrame) -> DataFrame:
+    """Rows of an instruction table: id, instruction (not blank) and instruction_type."""
+    return _with(df, [*_missing(df, "id", "instruction", "instruction_type"), *_filled(df, "instruction")])
+
+
+def filled_pairs(df: DataFrame) -> DataFrame:
+    """Preference pairs whose prompt, chosen and rejected aren't blank."""
+    return _with(df, [*_missing(df, "prompt", "chosen", "rejected"), *_filled(df, "prompt", "chosen", "rejected")])
+
+
 def split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good rows, quarantined rows) of a validator's result."""
     good = F.size("violations") == 0

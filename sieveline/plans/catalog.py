@@ -245,7 +245,7 @@ def dpo_prompts(spark, d):
 SELECT doc_id, CASE WHEN y LIKE 'good%' THEN 'good' WHEN y LIKE 'bad%' THEN 'bad' WHEN y LIKE '%good%' THEN 'good' WHEN y LIKE '%bad%' THEN 'bad' ELSE 'unclear' END AS label,
   len(list_filter(string_split(response, chr(10)), lambda l: regexp_matches({q.strip('l')}, '^\\d'))) >= 2 AS numbered_list,
   {q.n_named('y', ['spring', 'summer', 'autumn', 'fall', 'winter'])} >= 2 AS seasons, contains(response, '4') AND NOT {q.has('response', '3', '5', '6')} AS direct_math,
-  list_filter([{', '.join(f"CASE WHEN contains(response, {q.quoted(m)}) THEN {q.quoted(m)} END" for m in text.CHAT_MARKERS)}], lambda m: m IS NOT NULL) AS markers,
+  list_filter(['<|im_start|>', '<|im_end|>', 'system', 'user', 'assistant', 'You are a helpful', 'I am an AI', 'As an AI'], lambda m: contains(response, m)) AS markers,
   {q.starts('s', 'I ', 'As an', 'Here is', 'Sure,', 'Of course')} AS assistant_like, regexp_matches(s, '[.!?]$') AND length(s) > 10 AS clean_end FROM p""")
 def structure_checks(spark, d):
     s, c = text.structure(R()), text.contamination(R())
@@ -554,7 +554,7 @@ def score_heuristics(spark, d):
 
 
 COHERENT = f"(length({S}) >= 3 AND (len(w) <= 5 OR len(list_distinct(w)) / len(w) >= 0.5) AND {q.count('response', '...')} <= 2 AND length(regexp_replace(response, '[^\\pL\\s]', '', 'g')) / length(response) >= 0.7)"
-STOPS = ", ".join(f"'{w}'" for w in scorers.STOP_WORDS)
+STOPS = "'the', 'a', 'an', 'and', 'or', 'but', 'in', 'on', 'at', 'to', 'for', 'of', 'with', 'by', 'is', 'are', 'was', 'were', 'what', 'how', 'when', 'where', 'why'"
 
 
 @query(f"""WITH p AS (SELECT *, {q.words('response')} AS w, list_distinct({q.words(ASK)}) AS m, list_distinct({q.words(LOW)}) AS t FROM ({PROBES})),
@@ -862,18 +862,50 @@ def _draws_sql(key: str, seed: int = 42) -> str:
 
 @query(f"SELECT doc_id, unnest({_draws_sql('doc_id')}) AS negative_type FROM ({PROBES})")
 def negatives_hash_draw(spark, d):
-    return generate.negatives(probes(spark, d).select("doc_id", "instruction", "response"), "doc_id").select("doc_id", "negative_type")
+    return generate.negatives(probes(spark, d).withColumn("instruction_type", K()), "doc_id").select("doc_id", "negative_type")
 
 
-@query("SELECT doc_id, CASE WHEN u < 0.25 THEN 'unwarranted_refusal' WHEN u < 0.5 THEN 'format_violation' WHEN u < 0.7 THEN 'incorrect_factual' WHEN u < 0.85 THEN 'off_topic' ELSE 'verbose_vague' END AS kind FROM (SELECT doc_id, " + q.unit("doc_id", 42) + " AS u FROM documents)")
+@query("SELECT doc_id, CASE WHEN u < 0.3 THEN 'unwarranted_refusal' WHEN u < 0.55 THEN 'format_violation' WHEN u < 0.75 THEN 'incorrect_factual' WHEN u < 0.9 THEN 'off_topic' ELSE 'verbose_vague' END AS kind FROM (SELECT doc_id, " + q.unit("doc_id", 42) + " AS u FROM documents)")
 def negative_kinds(spark, d):
     return docs(spark, d).select("doc_id", generate.negative_kind(F.col("doc_id")).alias("kind"))
 
 
-@query()
+def _picked(options: str, seed: int = 42) -> str:
+    return f"({options})[CAST(floor({q.unit('key', seed)} * len({options})) AS INT) + 1]"
+
+
+def _listed(texts) -> str:
+    return f"[{', '.join(q.quoted(t) for t in texts)}]"
+
+
+def _negatives_sql() -> str:
+    """The rules in SQL; the texts are the fixed values of the generators."""
+    g, low = generate, "lower(instruction)"
+    refusal = f"list_concat({_listed(g.REFUSALS)}, CASE kind " + " ".join(f"WHEN '{k}' THEN {_listed(v)}" for k, v in g.TYPED_REFUSALS.items()) + " ELSE [] END)"
+    word = f"CASE WHEN len({q.words('response')}) = 0 THEN 'Incomplete' WHEN length({q.words('response')}[1]) < 3 THEN 'Inc...' ELSE {q.words('response')}[1] END"
+    half = "CASE WHEN length(response) > 10 THEN substr(response, 1, length(response) // 2) ELSE 'Partial' END"
+    wrong_form = f"""list_concat(list_concat(list_concat(list_concat(
+      CASE WHEN contains({low}, 'sentence') THEN [response || {q.quoted(g.MORE_DETAIL)}, string_split(response, '.')[1] || {q.quoted(g.MORE)}, {q.quoted(g.MANY_SENTENCES)}] ELSE [] END,
+      CASE WHEN {q.has(low, 'short', 'brief')} THEN [response || {q.quoted(g.TOO_LONG)}] ELSE [] END),
+      CASE WHEN contains({low}, 'list') THEN [{q.quoted(g.NO_LIST)}, '1. ' || response || ' (but this should be multiple items, not just one)'] ELSE [] END), [{word}, {half}, {q.quoted(g.INCOMPLETE)}]),
+      CASE WHEN kind = 'completion' THEN ['The completion of ''' || instruction || ''' would be something, but I''m not sure what.', 'There are many ways to complete ''' || instruction || ''' depending on context.'] ELSE [] END)"""
+    # twice, as neighbours share what stands between them
+    swapped = lambda x, a, b: rf"regexp_replace({x}, '(?i)(^|[^\pL\pN_]){a}($|[^\pL\pN_])', '\1{b}\2', 'g')"
+    swap = "CASE " + " ".join(f"WHEN contains(lower(response), '{a}') THEN {swapped(swapped('response', a, b), a, b)}" for a, b in g.SUBSTITUTIONS) + " END"
+    wrong = "CASE " + " ".join(f"WHEN contains({low}, {q.quoted(t)}) THEN {q.quoted(a)}" for t, a in g.WRONG_FACTS) + f" WHEN kind = 'qa' THEN {_picked(_listed(g.WRONG_ANSWERS))} ELSE coalesce(CASE WHEN length(response) > 10 THEN nullif({swap}, response) END, {q.quoted(g.WRONG)}) END"
+    said = rf"regexp_extract_all({low}, '[\pL\pN_]+')"
+    off = "CASE " + " ".join(f"WHEN {q.has(low, c, c[:-1])} THEN {_picked(_listed(v))}" for c, v in g.OFF_TOPIC_BY.items()) + f" WHEN list_has_any({said}, {_listed(g.ANIMALS)}) THEN {_picked(_listed(g.OFF_TOPIC_BY['animals']))} WHEN list_has_any({said}, {_listed(g.PLANTS)}) THEN {q.quoted(g.OF_PLANTS)} WHEN list_has_any({said}, {_listed(g.WATERS)}) THEN {q.quoted(g.OF_WATER)} ELSE {_picked(_listed(g.OFF_TOPIC))} END"
+    wordy = "[" + ", ".join(f"{q.quoted(a)} || CASE WHEN response <> '' THEN lower(response) ELSE {q.quoted(n)} END || {q.quoted(b)}" for (a, b), n in zip(g.WORDY, g.WORDY_OF_NOTHING)) + "]"
+    vague = f"CASE WHEN {q.unit('key', 43)} < 0.5 THEN {_picked(wordy)} ELSE {_picked(_listed(g.VAGUE))} END"
+    return f"""WITH p AS (SELECT *, unnest({_draws_sql('doc_id')}) AS negative_type FROM ({PROBES})), k AS (SELECT *, doc_id || '|' || negative_type AS key FROM p),
+o AS (SELECT doc_id, negative_type, CASE negative_type WHEN 'unwarranted_refusal' THEN {_picked(refusal)} WHEN 'format_violation' THEN {_picked(wrong_form)} WHEN 'incorrect_factual' THEN {wrong} WHEN 'off_topic' THEN {off} ELSE {vague} END AS out FROM k)
+SELECT doc_id, negative_type, md5(CASE WHEN length({q.strip('out')}) < 3 THEN {q.strip('out')} || ' [bad]' ELSE out END) AS negative_response FROM o"""
+
+
+@query(_negatives_sql())
 def negative_responses(spark, d):
-    p = probes(spark, d).select("doc_id", "instruction", "response")
-    return generate.negatives(p, "doc_id").select("doc_id", "negative_type", "negative_response")
+    p = probes(spark, d).select("doc_id", "instruction", K().alias("instruction_type"), "response")
+    return generate.negatives(p, "doc_id").select("doc_id", "negative_type", F.md5("negative_response").alias("negative_response"))
 
 
 # Rows of one language and kind meet within stretches of ids, so that a key never has more than a stretch of rows.
@@ -1112,12 +1144,17 @@ def first_answer_line(spark, d):
     return probes(spark, d).select("doc_id", text.first_answer_line(R()).alias("line"))
 
 
-@query(f"""WITH r AS (SELECT type AS condition, count(*) AS n, sum(b) AS x FROM ({OUTCOMES}) GROUP BY type)
-SELECT bool_and(x / n BETWEEN 0.5 AND 1.0) AS within_bounds FROM r""")
+_CI = q.wilson("x", "n")
+
+
+@query(f"""WITH r AS (SELECT type, count(*) AS n, sum(b) AS x FROM ({OUTCOMES}) GROUP BY type), c AS (SELECT *, {_CI[0]} AS low, {_CI[1]} AS high FROM r), g AS (
+SELECT bool_and(x / n BETWEEN 0.5 AND 1.0) AS within_bounds, max(low) FILTER (type = 'fr') > max(high) FILTER (type = 'en') AS intervals_apart,
+  2 * (asin(sqrt(max(x / n) FILTER (type = 'fr'))) - asin(sqrt(max(x / n) FILTER (type = 'en')))) AS h FROM c)
+SELECT within_bounds, intervals_apart, round(h, 6) AS h, within_bounds AND intervals_apart AND abs(h) >= 0.5 AS passed FROM g""")
 def condition_bounds(spark, d):
     o = view(spark, d, OUTCOMES).groupBy(F.col("type").alias("condition")).agg(F.count("*").alias("n"), F.sum("b").alias("n_success"))
     bounds = {k: (0.5, 1.0) for k in ("en", "fr", "de", "es")}
-    return evaluate.condition_gate(o, bounds, "en", "fr").select("within_bounds")
+    return rounded(evaluate.condition_gate(o, bounds, "en", "fr").select("within_bounds", "intervals_apart", "h", "passed"))
 
 
 @query(f"SELECT doc_id, instruction AS prompt, response AS chosen, kind AS instruction_type, 0.5::DOUBLE AS margin FROM ({PROBES}) WHERE n_chars % 2 = 0 OR n_chars % 5 = 0")
@@ -1136,3 +1173,6 @@ def streaming_dedup(spark, d):
     fresh = streaming.unseen(streaming.read_shards(spark, f"{root}/in", x.schema, files_per_trigger=3), "text")
     streaming.append_to(fresh, f"{root}/out", f"{root}/state").awaitTermination()
     return spark.read.schema(x.schema).parquet(f"{root}/out").select(F.md5(text.norm_key(F.col("text"))).alias("key"))
+
+
+from . import records  # noqa: E402, F401  more queries, which build on those above

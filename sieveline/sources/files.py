@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -11,16 +14,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FILE, BAD = "_file", "_bad_line"
+_OWN: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for files that one run makes: in the folder named by spark.checkpoint.dir, which all machines share;
-    a temporary one only where it is unset and all is on one machine."""
+    a temporary one, removed at the end of the process, only where it is unset and all is on one machine. What is in a
+    shared folder may be deleted once the run's results are written."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root is None:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='sieveline-')}"
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="sieveline-"))
+            atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+        root = f"file://{_OWN[0]}"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -107,11 +115,39 @@ def present_shards(spark: SparkSession, folder: str, names: Sequence[str]) -> tu
     return [n for n in names if n in there], [n for n in names if n not in there]
 
 
-def load_or_create(spark: SparkSession, path: str, schema: T.StructType, create: Callable[[], DataFrame], size: int, order: str) -> DataFrame:
-    """The first size rows of a stored table, which is made first if it isn't there."""
+def load_or_create(spark: SparkSession, path: str, schema: T.StructType, create: Callable[[], DataFrame], size: int, order: str, train: DataFrame | None = None, key: str = "instruction") -> DataFrame:
+    """The first size rows of a stored table, which is made first if it isn't there. With train, a stored table must
+    share no normalised key with it: raises ValueError if it does."""
     if not exists(spark, path):
         write_jsonl(create(), path)
-    return spark.read.schema(schema).json(path).orderBy(order).limit(size)
+    stored = spark.read.schema(schema).json(path)
+    if train is not None:
+        from ..operators.leakage import check_no_overlap
+
+        check_no_overlap(stored, train, key)
+    return stored.orderBy(order).limit(size)
+
+
+def merge_slices(spark: SparkSession, folder: str, names: Sequence[str], schema: T.StructType, target: str, expected: int | None = None) -> tuple[bool, list[str]]:
+    """(done, warnings): rows of all slices in one table. Nothing is written if a slice is missing; another number of
+    rows than expected is a warning."""
+    _, lacking = present_shards(spark, folder, names)
+    if lacking:
+        return False, [f"missing {n}" for n in lacking]
+    write_jsonl(spark.read.schema(schema).option("mode", "FAILFAST").json([f"{folder}/{n}" for n in names]), target)
+    n = spark.read.text(target).count()
+    return True, [] if expected in (None, n) else [f"{n} rows instead of {expected}"]
+
+
+def missing_files(spark: SparkSession, folder: str, required: Sequence[str] = ("adapter_config.json", "adapter_model.safetensors")) -> list[str]:
+    """Which of the files that a checkpoint needs a folder lacks; all of them if it isn't there."""
+    return present_shards(spark, folder, required)[1]
+
+
+def require_files(spark: SparkSession, folder: str, required: Sequence[str] = ("adapter_config.json", "adapter_model.safetensors")) -> None:
+    lacking = missing_files(spark, folder, required)
+    if lacking:
+        raise FileNotFoundError(f"{folder}: missing {', '.join(lacking)}")
 
 
 def distinct_instructions(df: DataFrame, column: str = "instruction") -> DataFrame:
@@ -120,7 +156,51 @@ def distinct_instructions(df: DataFrame, column: str = "instruction") -> DataFra
     return df.select(norm_key(F.col(column)).alias("key")).distinct()
 
 
-def principles(spark: SparkSession, rows: Sequence[tuple[str, str, str]], first: int = 4) -> DataFrame:
+# Principles where no configuration is stored.
+DEFAULT_PRINCIPLES = (
+    ("follow_instruction", "Follow the instruction exactly as given", None),
+    ("be_accurate", "Provide accurate and factual information", None),
+    ("be_complete", "Fully address what was requested", None),
+    ("be_concise", "Be concise and avoid unnecessary elaboration", None),
+)
+
+
+def yaml_entries(text: str, name: str) -> list[dict[str, str]]:
+    """The list of flat mappings under a top-level key of a YAML document; values are strings, with or without quotes."""
+    entries: list[dict[str, str]] = []
+    inside = False
+    for line in text.splitlines():
+        if not line.strip() or line.lstrip().startswith("#"):
+            continue
+        if not line[0].isspace() and not line.startswith("-"):
+            inside = line.split(":", 1)[0].strip() == name
+            continue
+        m = re.match(r"\s*(- +)?([\w-]+):\s*(.*?)\s*$", line)
+        if inside and m:
+            if m[1]:
+                entries.append({})
+            value = m[3]
+            if value[:1] in ("'", '"'):
+                mark = value[0]
+                value = value[1 : value.rindex(mark)]
+                value = value.replace("''", "'") if mark == "'" else value.replace('\\"', '"').replace("\\\\", "\\")
+            else:
+                value = re.sub(r"\s+#.*$", "", value)
+            if entries:
+                entries[-1][m[2]] = value
+    return entries
+
+
+def read_principles(spark: SparkSession, path: str, name: str = "principles") -> list[tuple[str, str, str | None]]:
+    """(id, text, category) of a YAML configuration, in its order; the default ones where there is none. Configurations
+    are small: they are read on the driver."""
+    if not exists(spark, path):
+        return list(DEFAULT_PRINCIPLES)
+    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+    return [(e["id"], e["text"], e.get("category")) for e in yaml_entries(text, name)]
+
+
+def principles(spark: SparkSession, rows: Sequence[tuple[str, str, str | None]], first: int = 4) -> DataFrame:
     """(ord, id, text, category): the first principles of a configuration, in its order."""
     data = [(i, *r) for i, r in enumerate(rows)]
     return spark.createDataFrame(data, "ord int, id string, text string, category string").orderBy("ord").limit(first)
@@ -148,6 +228,13 @@ def concat_lines(spark: SparkSession, paths: Sequence[str], target: str) -> None
     spark.read.text(list(paths)).write.mode("overwrite").text(target)
 
 
+def concat_present(spark: SparkSession, paths: Sequence[str], target: str) -> list[str]:
+    """concat_lines of the paths that are there; returns those that aren't."""
+    there = [p for p in paths if exists(spark, p)]
+    concat_lines(spark, there, target)
+    return [p for p in paths if p not in there]
+
+
 def write_csv(df: DataFrame, path: str, decimals: int = 3) -> None:
     """CSV with a header; doubles with fixed decimals."""
     cols = [F.format_string(f"%.{decimals}f", f.name).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema.fields]

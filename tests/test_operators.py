@@ -184,7 +184,7 @@ def test_conversations(spark):
 
 
 def test_negatives(spark):
-    df = spark.createDataFrame([(i, "Write one sentence", "The sun rises in the east early") for i in range(40)], "id int, instruction string, response string")
+    df = spark.createDataFrame([(i, "Write one sentence", ("qa", "completion", "generation", "response", None)[i % 5], "The sun rises in the east early") for i in range(60)], "id int, instruction string, instruction_type string, response string")
     out = generate.negatives(df, "id").collect()
     per = {}
     for r in out:
@@ -192,8 +192,26 @@ def test_negatives(spark):
         assert len(r.negative_response) >= 3
     assert all(len(v) in (2, 3) and len(set(v)) == len(v) for v in per.values())
     assert any("west" in r.negative_response for r in out)
-    x = spark.range(1).select(generate.typed_instructions(spark, {"a": ["x"], "b": ["y"]}, 4, 1).count() * F.lit(1)).count()
-    assert x == 1 and generate.held_out_tests(spark, {"a": ["p", "q"], "b": ["r"]}, 6).select("id").distinct().count() == 6
+    wrong = spark.createDataFrame([("What is the capital of France?", "qa", "Paris"), ("Say x", "response", "xin in IN inn été"), ("Say x", "response", "none of these"), ("Say x", "response", "")], "i string, k string, r string")
+    got = [r[0] for r in wrong.select(generate.incorrect_facts(F.col("i"), F.col("k"), F.col("r"), F.lit("1"), 1)).collect()]
+    assert got == ["London", "xin out out inn été", generate.WRONG, generate.WRONG]
+    off = spark.createDataFrame([("Name animals",), ("my dog barks",), ("A tree",), ("Is rain wet?",), ("History of tea",)], "i string").select(generate.off_topic(F.col("i"), F.lit("1"), 1).alias("x")).collect()
+    assert off[0].x in generate.OFF_TOPIC_BY["animals"] and off[1].x == off[0].x and off[2].x == generate.OF_PLANTS and off[3].x == generate.OF_WATER and off[4].x in generate.OFF_TOPIC_BY["history"]
+
+
+def test_typed_and_held_out(spark):
+    rows = generate.typed_instructions(spark, 600, 3).collect()
+    assert [r.type for r in rows[:6]] == list(generate.TYPED_TEMPLATES) and not any("{" in r.instruction for r in rows)
+    assert len({r.instruction for r in rows}) > 100
+    held = generate.held_out_tests(spark, {"a_b": ["p", "q"], "b": ["r"]}, 6).collect()
+    assert [(r.id, r.instruction, r.expected_type) for r in held] == [("test_1", "p", "a_b"), ("test_2", "q", "a_b"), ("test_3", "p", "a_b"), ("test_4", "r", "b"), ("test_5", "r", "b"), ("test_6", "r", "b")]
+    assert generate.candidate_batches(5) == 10 and generate.candidate_batches(1000) == 150
+
+
+def test_yaml_entries():
+    text = "a: 1\nlist:\n- id: x\n  text: 'it''s'\n# no\n- id: y\n  text: \"a: \\\"b\\\"\"  \n  more: plain # remark\nother:\n- id: z\n"
+    assert files.yaml_entries(text, "list") == [{"id": "x", "text": "it's"}, {"id": "y", "text": 'a: "b"', "more": "plain"}]
+    assert files.yaml_entries(text, "none") == []
 
 
 def test_models_plug_in(spark):
@@ -266,6 +284,10 @@ def test_files(spark, tmp_path):
     assert fixed.count() == 1 and spark.read.text(f"{root}/backup").count() == 3
     with pytest.raises(ValueError):
         files.rewrite_with_backup(spark, one, f"{root}/b", schema, lambda d: d, one)
+    with pytest.raises(ValueError):
+        files.load_or_create(spark, f"{root}/leaky", schema, lambda: rows.withColumn("b", F.lit("x")), 2, "a", rows.withColumn("b", F.lit(" X")), "b")
+    with pytest.raises(FileNotFoundError):
+        files.require_files(spark, root, ["adapter_config.json"])
     made = files.load_or_create(spark, f"{root}/made", schema, lambda: rows, 2, "a")
     assert [r.a for r in made.collect()] == [1, 2] and files.load_or_create(spark, f"{root}/made", schema, lambda: 1 / 0, 1, "a").count() == 1
     assert [r.id for r in files.principles(spark, [(str(i), "t", "c") for i in range(6)]).collect()] == ["0", "1", "2", "3"]
