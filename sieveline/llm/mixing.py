@@ -179,8 +179,10 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFram
     times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
     counts = staged(counts.select(F.col("hash").alias("_hash"), F.col("source").alias("_source"), F.col("doc_id").alias("_id"), times.alias("_times"), "first", "last").where("_times > 0"), "counts")
     span = (counts.agg(F.max("last")).first()[0] or 0) + 1
-    on = (_hash(F.col("text"), F.col("doc_id")) == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-    rows = packed(docs, "doc_id", "text", "source").join(counts, on)
+    # hashed first: a join on the expression would shuffle the text beside the row that holds it
+    rows = packed(docs, "doc_id", "text", "source").select(_hash(F.col("text"), F.col("doc_id")).alias("_own"), "doc_id", "source", "_row")
+    on = (F.col("_own") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
+    rows = rows.join(counts, on)
     slots = F.when(F.col("_times") == 1, F.array("first")).otherwise(F.array("first", "last"))
     rows = rows.select("_row", "_hash", F.explode(slots).alias("_slot"))
     # slots are spread evenly, so equal stretches of the schedule are even partitions: no sample of the texts is needed

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import packed, shuffle_partitions, staged, unpacked
+from .staging import shuffle_partitions, staged
 from .words import U64, Words, mixed, slices, sliding_min, tuple_hashes
 
 WINDOW, RUN = 20, 3
@@ -353,10 +353,12 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     All columns stay, n_chars (where there is one) is the new length. Documents of which nothing is left stay with an
     empty text. Null texts stay null.
     """
-    rows = _with_ranges(packed(docs, "doc_id", "text"), window)
-    kinds = f"doc_id long, _row {docs.select(F.struct('*').alias('r')).schema['r'].dataType.simpleString()}"
+    # the text stands apart from the other columns, so that it is shuffled once
+    others = [c for c in docs.columns if c != "text"]
+    rows = _with_ranges(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row")), window)
+    kinds = f"doc_id long, _row {docs.select(F.struct(*[F.col(f'`{c}`') for c in others]).alias('r')).schema['r'].dataType.simpleString()}"
     out = rows.select("doc_id", "_row", "text", "_ranges").mapInArrow(lambda b: _cutter(b, True), f"{kinds}, _n_words long, _n_removed long, _kept string")
-    row = F.col("_row").withField("text", F.col("_kept"))
-    if "n_chars" in docs.columns:
-        row = row.withField("n_chars", F.length("_kept").cast(docs.schema["n_chars"].dataType))
-    return unpacked(out.select(row.alias("_row")))
+    values = {c: F.col("_kept") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns}
+    if "n_chars" in values:
+        values["n_chars"] = F.length("_kept").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[v.alias(c) for c, v in values.items()])
