@@ -106,12 +106,13 @@ def _encoder(path: str, most: int):
 
 
 def encoded(docs: DataFrame, path: str | None = None, part_chars: int = PART_CHARS) -> DataFrame:
-    """(doc_id, ids): the ids of each whole text; null for null."""
+    """(doc_id, ids): the ids of each whole text; null for null, none for empty. Repeated rows and null doc_ids stay."""
     return docs.select("doc_id", "text").mapInArrow(_encoder(path or public_tokenizers.path(RANKS), part_chars), "doc_id long, ids array<int>")
 
 
 def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, bytes): the raw bytes of ids; null for null. An unknown id is an error."""
+    """(doc_id, bytes): the raw bytes of ids (doc_id, ids); null for null, empty for none. They need not be valid UTF-8.
+    Repeated rows and null doc_ids stay. An unknown id is an error."""
     path = path or public_tokenizers.path(RANKS)
 
     def run(batches):

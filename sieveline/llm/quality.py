@@ -137,7 +137,11 @@ def quality_report(docs: DataFrame, thresholds=THRESHOLDS, min_words: int = MIN_
 
 
 def accepted(docs: DataFrame, thresholds=THRESHOLDS, min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows of docs that quality_report keeps, with all their columns. Works on each row alone: no join."""
+    """The rows of docs that quality_report keeps, with all their columns. Works on each row alone: no join.
+
+    Null and empty texts go; repeated rows are judged alike and stay or go together; null doc_ids make no difference;
+    an empty table stays one. Texts of any length are judged whole.
+    """
 
     def verdict(f: Column) -> Column:
         bad = _base_failed(lambda n: f[n], min_words)

@@ -44,7 +44,8 @@ def archive(pages: DataFrame, file_records: int = FILE_RECORDS) -> DataFrame:
     """(file, idx, start, stop, page_id, copies, record): pages as records of WARC files, on shared storage.
 
     Rows that are the same in page_id, url and html are one record with their number as copies. Pages are dealt to
-    files by hash, about file_records each, and stand in order of page_id, url, and digest.
+    files by hash, about file_records each, and stand in order of page_id, url, and digest. Null page_ids stand last in
+    their file; null urls and html make records with an empty one. Other columns are ignored; an empty table makes no file.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", warc_record(F.col("url"), F.col("html")).alias("record"))
     rows = rows.withColumn("sha", F.sha2("record", 256))

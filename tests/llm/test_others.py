@@ -170,6 +170,13 @@ def test_audit_of_equal_extra_and_empty(spark):
         assert back == {p: "intact" if p in kept else "missing" for p in whole}
 
 
+def test_long_pages_and_ties(spark):
+    """Pages of a million characters, and pages that share an id and url, are records like others."""
+    rows = [(1, "http://x", "é" * 1_000_000), (1, "http://x", "short"), (1, "http://x", "short"), (None, None, "z" * 500_000), (2, "", None)]
+    out = warc.page_audit(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(out) == 4 and sorted(r.copies for r in out) == [1, 1, 1, 2] and max(r.stop - r.start for r in out) > 2_000_000
+
+
 def test_audit_takes_any_columns(spark):
     """Names that the trees use themselves, nulls, and replicas with no other columns."""
     rows = [(f, i, 10 * i, 10 * i + 10, None if i == 3 else bytes([f, i]), "s", None, 1, "r", "d") for f in range(5) for i in range(7)]
