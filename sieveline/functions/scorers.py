@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import contains_any, count_of, n_named, n_words, starts_with_any, strip, words
+from .text import contains_any, count_of, let, n_named, n_words, starts_with_any, strip, words
 
 Rule = tuple[Column, bool, "str | Column"]
 
@@ -377,17 +377,18 @@ STOP_WORDS = ("the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for
 
 def coherent(response: Column) -> Column:
     """Varied words, few ellipses, and letters or white space for the most part."""
-    w = words(response)
-    varied = (F.size(w) <= 5) | (F.size(F.array_distinct(w)) / F.nullif(F.size(w), F.lit(0)) >= 0.5)
+    varied = let(words(response), lambda w: (F.size(w) <= 5) | (F.size(F.array_distinct(w)) / F.nullif(F.size(w), F.lit(0)) >= 0.5))
     letters = F.length(F.regexp_replace(response, r"(?U)[^\p{L}\s]", "")) / F.nullif(F.length(response), F.lit(0))
     return F.coalesce((F.length(strip(response)) >= 3) & varied & (count_of(response, "...") <= 2) & (letters >= 0.7), F.lit(False))
 
 
 def relevance(instruction: Column, response: Column) -> Column:
-    mine, theirs = F.array_distinct(words(_low(instruction))), F.array_distinct(words(_low(response)))
-    content = F.array_except(mine, F.array(*[F.lit(w) for w in STOP_WORDS]))
-    share = F.size(F.array_intersect(content, theirs)) / F.nullif(F.size(content), F.lit(0))
-    return points([((F.size(content) == 0) | (share >= 0.3), 2), (F.arrays_overlap(mine, theirs), 1)], 0)
+    def judged(v: Column) -> Column:
+        content = F.array_except(v["mine"], F.array(*[F.lit(w) for w in STOP_WORDS]))
+        share = F.size(F.array_intersect(content, v["theirs"])) / F.nullif(F.size(content), F.lit(0))
+        return points([((F.size(content) == 0) | (share >= 0.3), 2), (F.arrays_overlap(v["mine"], v["theirs"]), 1)], 0)
+
+    return let(F.struct(F.array_distinct(words(_low(instruction))).alias("mine"), F.array_distinct(words(_low(response))).alias("theirs")), judged)
 
 
 def follows(instruction: Column, response: Column) -> Column:
@@ -401,15 +402,19 @@ def follows(instruction: Column, response: Column) -> Column:
 
 
 def score_four(instruction: Column, response: Column) -> Column:
-    r, n = F.coalesce(response, F.lit("")), F.length(strip(F.coalesce(response, F.lit(""))))
-    ok = coherent(r)
-    high = ok & (n >= 15) & ~_any(_low(r), "i can't help", "i don't understand", "please clarify") & _any(r, ".", "!", "?")
-    return F.struct(
-        points([(n < 3, 0), (follows(instruction, r), 2)], 1).alias("instruction_following"),
-        points([(ok, 2), (n >= 3, 1)], 0).alias("coherence"),
-        relevance(instruction, r).alias("relevance"),
-        points([(high, 2), (ok & (n >= 5), 1)], 0).alias("quality"),
-    )
+    r = F.coalesce(response, F.lit(""))
+
+    def scored(v: Column) -> Column:
+        ok, n = v["ok"], v["n"]
+        high = ok & (n >= 15) & ~_any(_low(r), "i can't help", "i don't understand", "please clarify") & _any(r, ".", "!", "?")
+        return F.struct(
+            points([(n < 3, 0), (v["follows"], 2)], 1).alias("instruction_following"),
+            points([(ok, 2), (n >= 3, 1)], 0).alias("coherence"),
+            v["relevance"].alias("relevance"),
+            points([(high, 2), (ok & (n >= 5), 1)], 0).alias("quality"),
+        )
+
+    return let(F.struct(coherent(r).alias("ok"), F.length(strip(r)).alias("n"), follows(instruction, r).alias("follows"), relevance(instruction, r).alias("relevance")), scored)
 
 
 # Six dimensions, 0 to 1 each
@@ -422,11 +427,18 @@ MORE_DEFLECTIONS = ("i need more", "could you specify")
 def score_six(prompt: Column, response: Column, sequential: bool = False) -> Column:
     """Six scores from 0 to 1. sequential: the variant without step and one-word cues, and with fewer phrases (D-31)."""
     r = F.coalesce(response, F.lit(""))
-    low, ask = _low(r), _low(prompt)
-    rw, pw = words(low), words(ask)
-    n, rs, ps = F.size(rw), F.array_distinct(rw), F.array_distinct(pw)
+
+    def sets(v: Column) -> Column:
+        words_of = F.struct(v["low"].alias("low"), v["ask"].alias("ask"), F.size(v["rw"]).alias("n"), F.array_distinct(v["rw"]).alias("rs"), F.array_distinct(v["pw"]).alias("ps"))
+        return let(words_of, lambda u: let(F.size(F.array_intersect(u["ps"], u["rs"])), lambda shared: _six(r, u["low"], u["ask"], u["n"], u["rs"], u["ps"], shared, sequential)))
+
+    return let(F.struct(_low(r).alias("low"), _low(prompt).alias("ask"), words(_low(r)).alias("rw"), words(_low(prompt)).alias("pw")), sets)
+
+
+def _six(r: Column, low: Column, ask: Column, n: Column, rs: Column, ps: Column, shared: Column, sequential: bool) -> Column:
+    """The scores from a response r, lower-cased texts, the response's word count, both sets of words and what they share."""
     none = (r == "", 0.0)
-    repeated = F.size(F.array_intersect(ps, rs)) / F.greatest(F.size(ps), F.lit(1)) > 0.7
+    repeated = shared / F.greatest(F.size(ps), F.lit(1)) > 0.7
     completion = points([none, (n <= 5, 0.8), (repeated, 0.3), (n <= 10, 0.6)], 0.4)
     listing, shaped = _any(ask, "list", "name three", "give me"), _any(ask, "json", "table", "format", "bullet")
     making, stepping = _any(ask, "create", "generate", "invent", "write"), _any(ask, "step", "explain", "describe")
@@ -468,7 +480,7 @@ def score_six(prompt: Column, response: Column, sequential: bool = False) -> Col
         forms += [(_any(ask, "one word") & (n == 1), 1.0), (_any(ask, "one word"), 0.2)]
     phrases = DEFLECTIONS if sequential else DEFLECTIONS + MORE_DEFLECTIONS
     deflection = points([(r == "", 1.0), (contains_any(low, phrases), 0.8), ((n <= 2) & low.isin("maybe", "perhaps", "unknown", "unclear"), 0.7)], 0.0)
-    jaccard = F.size(F.array_intersect(ps, rs)) / F.greatest(F.size(F.array_union(ps, rs)), F.lit(1))
+    jaccard = shared / F.greatest(F.size(ps) + F.size(rs) - shared, F.lit(1))
     continuation = points([(n == 0, 1.0), (jaccard > 0.5, 0.8), (jaccard > 0.3, 0.4)], 0.0)
     scores = (completion, instruction, answer, points(forms, 0.5), 1.0 - deflection, 1.0 - continuation)
     return F.struct(*[s.alias(name) for s, name in zip(scores, SIX)])
