@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, licenses, mixing, quality, simhash, substring_dedup, token_counts, warc
+from . import ann, bpe, chat, licenses, mixing, quality, resampling, simhash, substring_dedup, token_counts, vector_codes, warc
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -217,6 +217,76 @@ def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_report(_table(spark, sf_dir, "embeddings"))
+
+
+def _lloyd_sql(k: int) -> str:
+    """Round k of the SQL: assignments by entry numbers b, then the entries of the next round."""
+    return f"""
+a{k} AS MATERIALIZED (
+  SELECT vec_id, part, any_value(x) AS x, CAST(min(d * 256 + b) % 256 AS BIGINT) AS b, min(d) AS d
+  FROM (SELECT vec_id, p.part, x, b, CAST(list_dot_product(x, x) - 2 * list_dot_product(x, c) + list_dot_product(c, c) AS BIGINT) AS d FROM p JOIN c{k} c ON p.part = c.part)
+  GROUP BY vec_id, part
+), m{k} AS (
+  SELECT part, b, list(CAST(floor(s / n) AS DOUBLE) ORDER BY j) AS c
+  FROM (SELECT part, b, j, sum(x) AS s, count(*) AS n FROM (SELECT part, b, unnest(x) AS x, unnest(range(1, len(x) + 1)) AS j FROM a{k}) GROUP BY part, b, j) GROUP BY part, b
+), c{k + 1} AS MATERIALIZED (
+  SELECT c.part, c.b, coalesce(m.c, c.c) AS c FROM c{k} c LEFT JOIN m{k} m ON c.part = m.part AND c.b = m.b
+),"""
+
+
+OP11 = f"""
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS MATERIALIZED (
+  SELECT vec_id, part, v[part * (len(v) // 4) + 1:(part + 1) * (len(v) // 4)] AS x FROM v, range(0, 4) r(part)
+), c0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS b, x AS c FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 256)
+),{"".join(_lloyd_sql(k) for k in range(5))} h AS (
+  SELECT sha256(string_agg(CAST(CAST(c AS BIGINT) AS VARCHAR), ',' ORDER BY part, b, j)) AS h FROM (SELECT part, b, unnest(c) AS c, unnest(range(1, len(c) + 1)) AS j FROM c4)
+), e AS (
+  SELECT vec_id, string_agg(printf('%02x', b), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a4 GROUP BY vec_id
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM e JOIN v USING (vec_id), h
+"""
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP12 = r"""
+WITH t AS (
+  SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce(list_prepend(n, range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(0, 256) r(n))
+), d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), g AS (
+  SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark
+), e AS (
+  SELECT doc_id, unnest(w) AS w FROM d
+), u AS MATERIALIZED (
+  SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(x) // 2), lambda i: CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS b
+  FROM (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM e UNION SELECT w FROM g)), t
+), s AS (
+  SELECT b, count(*) AS s FROM e JOIN u USING (w) GROUP BY b
+), z AS (
+  SELECT b, count(*) AS t FROM g JOIN u USING (w) GROUP BY b
+), k AS (
+  SELECT b, floor(1000 * ln((CAST(coalesce(t, 0) AS DOUBLE) + 1) * ((SELECT sum(s) FROM s) + 10000) / ((CAST(s AS DOUBLE) + 1) * ((SELECT coalesce(sum(t), 0) FROM z) + 10000)))) AS gain FROM s LEFT JOIN z USING (b)
+), x AS (
+  SELECT doc_id, sum(gain) AS weight FROM e JOIN u USING (w) JOIN k USING (b) GROUP BY doc_id
+), y AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+         CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || sha256('2024:' || doc_id)[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM d LEFT JOIN x USING (doc_id)
+), r AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () * 10 // 100 AS most FROM y WHERE n_features >= 20
+)
+SELECT y.*, CASE WHEN r <= most THEN r END AS rank FROM y LEFT JOIN r USING (doc_id)
+"""
+
+
 _QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_source_mix": op2_source_mix,
@@ -228,6 +298,8 @@ _QUERIES = {
     "op8_one_bit_neighbours": op8_one_bit_neighbours,
     "op9_token_counts": op9_token_counts,
     "op10_simhash_bktree": op10_simhash_bktree,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 _ORACLES = {
     "op1_substring_dedup": OP1,
@@ -235,6 +307,8 @@ _ORACLES = {
     "op3_license_scan": OP3,
     "op6_quality_rules": OP6,
     "op8_one_bit_neighbours": OP8,
+    "op11_vector_codes": OP11,
+    "op12_importance_resampling": OP12,
 }
 
 
