@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, licenses, mixing, quality, resampling, simhash, substring_dedup, token_counts, vector_codes, warc
+from . import ann, bpe, chat, jaccard, licenses, mixing, quality, resampling, simhash, substring_dedup, token_counts, vector_codes, warc
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -287,6 +287,10 @@ SELECT y.*, CASE WHEN r <= most THEN r END AS rank FROM y LEFT JOIN r USING (doc
 """
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 _QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_source_mix": op2_source_mix,
@@ -300,6 +304,7 @@ _QUERIES = {
     "op10_simhash_bktree": op10_simhash_bktree,
     "op11_vector_codes": op11_vector_codes,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_jaccard_join": op13_jaccard_join,
 }
 _ORACLES = {
     "op1_substring_dedup": OP1,
