@@ -14,10 +14,13 @@ that scanning would compare, and the cheapest boundary is taken. Candidates pass
 sketches, which reject no link, and are compared at last by their whole sets. What this can't find is no link, by 64-bit
 hashes of shingles and of texts.
 
-Only connectivity is wanted. Copies are one text before anything else. Lists are contracted first: neighbours in a list
-are compared, groups come together, and a list that lies within one group is done, so that a large group of near copies
-costs its rows, not its pairs; the boundary then looks at lists that are still open. Lists of more than LIST_ROWS rows are
-dealt to blocks of about as many rows, and each pair of blocks meets in a task of its own: no task holds a whole list.
+Only connectivity is wanted. Copies are one text before anything else. Then groups are contracted, so that a large group
+of near copies costs its rows, not its pairs: of each text's first lists, a few pivots that most texts of the list are near
+to are its stars, and each text is compared with the nearest star; then texts of smaller groups are compared with the
+nearest text of another group in their lists, as long as that joins any. What is contracted is compared whole, too, so no
+group is too large. The boundary and the join look at the lists in which several groups are left, and find all other links.
+Lists of more than LIST_ROWS rows are dealt to blocks of about as many rows, and each pair of blocks meets in a task of its
+own: no task holds a whole list.
 """
 
 from __future__ import annotations
@@ -31,16 +34,19 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .simhash import _LOWER
-from .staging import staged
+from .staging import drop_staged, staged
 from .words import U64, Words, mixed, slices, tuple_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 PART_BYTES = 3 << 20
-LEVEL_BITS = 20
+LEVEL_BITS = 18
 #: Rows of a list that meet in one task.
 LIST_ROWS = 1 << 12
-#: Neighbours that a text is compared with in each list before the boundary is chosen.
-NEIGHBOURS = 1
+#: Lists of a text in which it looks for a star, rows of a list that may be stars, stars of a list, and a list's size up to
+#: which each row meets the next one instead.
+FIRST_LISTS, PIVOTS, STARS, FEW = 2, 16, 4, 4
+#: Rounds of looking for the nearest text of another group, at most: what they leave, the join finds.
+ROUNDS = 4
 #: A subset that is written costs as much as so many pairs that are compared in a scan.
 SUBSET_COST = 40
 #: 256 parity bits that travel with a shingle, so that most pairs that can't link are never formed.
@@ -114,11 +120,6 @@ def _sketch(grams: np.ndarray, size: int) -> np.ndarray:
     return np.packbits(np.bincount((grams >> U64(64 - size)).astype(np.int64), minlength=1 << size) & 1)
 
 
-def _folded(sketch: np.ndarray, size: int) -> np.ndarray:
-    """Bits of neighbours come together: a shingle's bit is in the leading bits of its hash."""
-    return np.bitwise_xor.reduce(np.unpackbits(sketch).reshape(size, -1), axis=1)
-
-
 def marks(words: Words, n: int, least: float, level: np.ndarray) -> list[pa.Array]:
     """The columns MARKS of some texts; long sketches have two to four bits for each shingle, 256 at least."""
     sets = sets_of(words, n)
@@ -145,7 +146,7 @@ def _sets(n: int):
         for batch in batches:
             for i, j, words in texts_of(batch):
                 sets = sets_of(words, n)
-                yield pa.RecordBatch.from_arrays([batch.column("key").slice(i, j - i), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "size", "grams"])
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "grams"])
 
     return run
 
@@ -155,20 +156,6 @@ def _most_apart(least: float, sizes):
     return (1 - least) / (1 + least) * sizes + 1e-6
 
 
-def _near_sketches(least: float):
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y, m, n in zip(*[batch.column(c).to_pylist() for c in ("x", "y", "m", "n")]):
-                a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-                size = 8 * min(len(a), len(b))
-                keep.append(int((_folded(a, size) != _folded(b, size)).sum()) <= _most_apart(least, m + n))
-            kept = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], ["a", "b"])
-
-    return run
-
-
 def _similar(least: float):
     def run(batches):
         for batch in batches:
@@ -188,12 +175,13 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, similarity: float) -> Da
     ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
     # of each task's copies one text goes on, before anything is joined
     some = docs.select(F.xxhash64("text").alias("key"), "text").groupBy("key").agg(F.first("text").alias("text")).join(ends, "key", "left_semi")
-    sets = staged(some.mapInArrow(_sets(n), "key long, size int, grams binary"), "sets")
-    x = sets.select(F.col("key").alias("a"), F.col("size").alias("m"), F.col("grams").alias("x"))
-    y = sets.select(F.col("key").alias("b"), F.col("size").alias("n"), F.col("grams").alias("y"))
-    sizes = pairs.join(x.select("a", "m"), "a").join(y.select("b", "n"), "b").where(F.least("m", "n") >= similarity * F.greatest("m", "n") - 1e-9).select("a", "b")
-    both = sizes.join(x.select("a", "x"), "a").join(y.select("b", "y"), "b").select("a", "b", "x", "y")
-    return staged(both.mapInArrow(_similar(similarity), "a long, b long"), "links")
+    sets = staged(some.mapInArrow(_sets(n), "key long, grams binary"), "sets")
+    x = sets.select(F.col("key").alias("a"), F.col("grams").alias("x"))
+    y = sets.select(F.col("key").alias("b"), F.col("grams").alias("y"))
+    both = pairs.join(x.select("a", "x"), "a").join(y.select("b", "y"), "b").select("a", "b", "x", "y")
+    out = staged(both.mapInArrow(_similar(similarity), "a long, b long"), "links")
+    drop_staged(sets)
+    return out
 
 
 def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -204,77 +192,195 @@ def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return staged(components(edges).withColumnRenamed("node", "key"), "roots")
 
 
-def _meetings(least: float, steps: int | None):
-    """Pairs of rows of a list that have different roots and may be similar: with steps, those that stand that near to
-    each other; without, all, of lists in the order of sizes."""
+class _Sketches:
+    """Long sketches of some rows, by length, and folded to half of it."""
+
+    def __init__(self, sketches: list[bytes]):
+        self.length = np.array([len(x) for x in sketches])
+        self.place = np.zeros(len(sketches), np.int64)
+        self.whole: dict[int, np.ndarray] = {}
+        self.half: dict[int, np.ndarray] = {}
+        for n in np.unique(self.length).tolist():
+            at = np.flatnonzero(self.length == n)
+            self.place[at] = np.arange(len(at))
+            self.whole[n] = np.frombuffer(b"".join(sketches[i] for i in at), np.uint8).reshape(len(at), n)
+
+    def _folded(self, n: int) -> np.ndarray:
+        if n not in self.half:
+            rows = self.whole[n]
+            self.half[n] = np.concatenate([np.packbits(np.bitwise_xor.reduce(np.unpackbits(x, axis=1).reshape(len(x), -1, 2), axis=2), axis=1) for x in np.array_split(rows, len(rows) // 4096 + 1)])
+        return self.half[n]
+
+    def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """In how many bits the sketches of pairs differ; 0 where their lengths differ by more than half."""
+        out = np.zeros(len(i), np.int64)
+        m, n = self.length[i], self.length[j]
+        for x, y in set(zip(m.tolist(), n.tolist())):
+            if not x <= 2 * y <= 4 * x:
+                continue
+            at = np.flatnonzero((m == x) & (n == y))
+            a = self.whole[x] if x <= y else self._folded(x)
+            b = self.whole[y] if y <= x else self._folded(y)
+            for k in np.array_split(at, len(at) * min(x, y) // (1 << 24) + 1):
+                out[k] = np.bitwise_count(a[self.place[i[k]]] ^ b[self.place[j[k]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+
+def _may_be_similar(least: float, size: np.ndarray, small: np.ndarray, i, j) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of rows: whether their sizes and parity bits allow a link, and in how many bits they differ."""
+    apart = np.bitwise_count(small[i] ^ small[j]).sum(axis=-1, dtype=np.int64)
+    both = size[i] + size[j]
+    return (np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]) - 1e-6) & (apart <= _most_apart(least, both)), apart
 
-    def run(rows: np.ndarray):
+
+def _meetings(least: float):
+    """Pairs of rows of a list that have different roots and may be similar; lists come in the order of sizes."""
+
+    def run(rows: np.ndarray, sketches: list[bytes]):
         low, high, mine, above, key, root, size, at, small = *rows[:, 1:9].T, rows[:, 9:].copy().view(U64)
         group = np.cumsum(np.append(False, (rows[1:, :3] != rows[:-1, :3]).any(axis=1)))
-        left = size - at
+        left, long = size - at, None
         first, step = np.arange(len(rows)), 0
-        while step != steps:
+        while True:
             step += 1
             first = first[first + step < len(rows)]
             first = first[group[first] == group[first + step]]
-            if steps is None:
-                first = first[size[first] >= least * size[first + step] - 1e-6]
+            first = first[size[first] >= least * size[first + step] - 1e-6]
             if not len(first):
                 return
             for i in np.array_split(first, len(first) // (1 << 18) + 1):
                 j = i + step
-                fits = (root[i] != root[j]) & (np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]) - 1e-6)
-                fits &= (mine[i] != mine[j]) | (low[i] == high[i])
+                fits = (root[i] != root[j]) & ((mine[i] != mine[j]) | (low[i] == high[i]))
                 # sets that may share one shingle only have no subset of two in common
                 fits &= (np.maximum(size[i], size[j]) > above[i]) | (np.minimum(size[i], size[j]) * least <= 1)
                 # the first shingle that two sets share leaves enough behind it in both
                 fits &= np.minimum(left[i], left[j]) >= least / (1 + least) * (size[i] + size[j]) - 1e-6
                 i, j = i[fits], j[fits]
-                near = np.bitwise_count(small[i] ^ small[j]).sum(axis=1) <= _most_apart(least, size[i] + size[j])
-                a, b = key[i[near]], key[j[near]]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+                near, _ = _may_be_similar(least, size, small, i, j)
+                i, j = i[near], j[near]
+                if len(i):
+                    long = long or _Sketches(sketches)
+                    near = long.differ(i, j) <= _most_apart(least, size[i] + size[j])
+                    if near.any():
+                        yield _pair_batch(key[i[near]], key[j[near]])
+
+    return run
+
+
+def _nearest_rows(least: float, key, root, size, small, some: np.ndarray, of: np.ndarray):
+    """(a, b, apart): for each of some rows the row of the same list and another root that is nearest by parity bits."""
+    for part in np.array_split(some, len(some) * len(of) // (1 << 20) + 1):
+        if not len(part):
+            continue
+        near, apart = _may_be_similar(least, size, small, part[:, None], of[None, :])
+        near &= root[part][:, None] != root[of][None, :]
+        apart = np.where(near, apart, 1 << 30)
+        best = apart.argmin(axis=1)
+        found = apart[np.arange(len(part)), best] < 1 << 30
+        yield key[part[found]], key[of[best[found]]], apart[np.arange(len(part)), best][found]
+
+
+def _proposals(least: float, stars: bool):
+    """(a, b, apart): texts to compare. With stars, each row with the nearest of the list's stars (in lists of few rows
+    with the next row); without, each row that isn't of the list's largest root with the nearest one of another root."""
+
+    def run(rows: np.ndarray, _: list[bytes]):
+        key, root, size, small = rows[:, 5], rows[:, 6], rows[:, 7], rows[:, 9:].copy().view(U64)
+        cuts = np.append(np.flatnonzero(np.append(True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1))), len(rows))
+        a, b, c = [], [], []
+        if stars:
+            group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+            short = np.diff(cuts)[group] <= FEW
+            i = np.flatnonzero(short[:-1] & (group[1:] == group[:-1]) & (root[1:] != root[:-1]))
+            near, apart = _may_be_similar(least, size, small, i, i + 1)
+            a, b, c = [key[i[near]]], [key[i[near] + 1]], [apart[near]]
+        lists = np.flatnonzero(np.diff(cuts) > (FEW if stars else 1))
+        for g in lists.tolist():
+            here = np.arange(cuts[g], cuts[g + 1])
+            if stars:
+                pivots = here[:PIVOTS]
+                near, apart = _may_be_similar(least, size, small, here[:, None], pivots[None, :])
+                near &= root[here][:, None] != root[pivots][None, :]
+                chosen, open_ = [], np.ones(len(here), bool)
+                while len(chosen) < STARS:
+                    reach = near[open_].sum(axis=0)
+                    best = int(reach.argmax()) if len(reach) else 0
+                    if not len(reach) or not reach[best]:
+                        break
+                    chosen.append(best)
+                    open_ &= ~near[:, best]
+                if chosen:
+                    apart = np.where(near[:, chosen], apart[:, chosen], 1 << 30)
+                    best = apart.argmin(axis=1)
+                    found = apart[np.arange(len(here)), best] < 1 << 30
+                    a.append(key[here[found]])
+                    b.append(key[pivots[np.array(chosen)[best[found]]]])
+                    c.append(apart[np.arange(len(here)), best][found])
+            else:
+                names, inverse, counts = np.unique(root[here], return_inverse=True, return_counts=True)
+                if len(names) > 1:
+                    for x, y, z in _nearest_rows(least, key, root, size, small, here[inverse != counts.argmax()], here):
+                        a.append(x), b.append(y), c.append(z)
+        if a and sum(map(len, a)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b)), pa.array(np.concatenate(c).astype(np.int32))], ["a", "b", "apart"])
 
     return run
 
 
-def _by_list(f):
-    """f over whole lists; rows arrive sorted by list."""
+def _by_list(f, long: bool):
+    """f over whole lists, with their long sketches where they come along; rows arrive sorted by list."""
 
     def run(batches):
         held: list[np.ndarray] = []
+        sketches: list[bytes] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in _ROW], axis=1)
+            more = batch.column("sketch").to_pylist() if long else []
             last = (rows[:, :3] == rows[-1, :3]).all(axis=1)
             begin = 0 if last.all() else int(np.flatnonzero(~last)[-1]) + 1
             if held and (begin or (held[0][0, :3] != rows[-1, :3]).any()):
-                yield from f(np.concatenate([*held, rows[:begin]]))
-                held = []
+                yield from f(np.concatenate([*held, rows[:begin]]), sketches + more[:begin])
+                held, sketches = [], []
             elif begin:
-                yield from f(rows[:begin])
+                yield from f(rows[:begin], more[:begin])
             held.append(rows[begin:])
+            sketches += more[begin:]
         if held:
-            yield from f(np.concatenate(held))
+            yield from f(np.concatenate(held), sketches)
 
     return run
 
 
-def _pairs(rows: DataFrame, similarity: float, steps: int | None = None, turn: int = 0) -> DataFrame:
-    """Candidates (a, b) among rows (gram, n, above, key, root, size, at, BITS); n is the number of rows of the list."""
+def _dealt(rows: DataFrame, turn: int) -> tuple[DataFrame, Column]:
+    """rows with mine, the block of a long list that a row is dealt to, and the number of blocks."""
     blocks = F.ceil(F.col("n") / LIST_ROWS).cast("int")
-    rows = rows.withColumn("mine", F.when(F.col("n") > LIST_ROWS, F.pmod(F.xxhash64("key", "gram", F.lit(turn)), blocks).cast("int")).otherwise(0))
-    if steps is None:
-        other = F.explode(F.when(F.col("n") > LIST_ROWS, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.lit(0))))
-        rows = rows.withColumn("other", other).withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
-        order = [*_LIST, "size"]
-    else:
-        # the same order in all lists: texts that share many shingles are the same neighbours in each
-        rows = rows.withColumn("low", F.col("mine")).withColumn("high", F.col("mine")).withColumn("turn", F.xxhash64("key", F.lit(turn)))
-        order = [*_LIST, "turn"]
-    rows = rows.repartition(*_LIST).sortWithinPartitions(*order).select(*_ROW)
-    return rows.mapInArrow(_by_list(_meetings(similarity, steps)), "a long, b long").distinct()
+    return rows.withColumn("mine", F.when(F.col("n") > LIST_ROWS, F.pmod(F.xxhash64("key", "gram", F.lit(turn)), blocks).cast("int")).otherwise(0)), blocks
+
+
+def _proposed(rows: DataFrame, similarity: float, stars: bool, turn: int) -> DataFrame:
+    """(a, b): for each text the nearest of those that its lists propose. Long lists look within their blocks."""
+    rows, _ = _dealt(rows.withColumn("above", F.lit(0)), turn)
+    # the same order in all lists: texts that share many shingles have the same stars in each
+    rows = rows.withColumn("low", F.col("mine")).withColumn("high", F.col("mine")).withColumn("turn", F.xxhash64("key", F.lit(turn)))
+    rows = rows.repartition(*_LIST).sortWithinPartitions(*_LIST, "turn").select(*_ROW)
+    found = rows.mapInArrow(_by_list(_proposals(similarity, stars), False), "a long, b long, apart int")
+    return found.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")).select("a", "b")
+
+
+def _pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """All candidates (a, b) among rows (gram, n, above, key, root, size, at, BITS, sketch); n is the number of rows of
+    the list."""
+    rows, blocks = _dealt(rows, 0)
+    other = F.explode(F.when(F.col("n") > LIST_ROWS, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.lit(0))))
+    rows = rows.withColumn("other", other).withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
+    rows = rows.repartition(*_LIST).sortWithinPartitions(*_LIST, "size").select(*_ROW, "sketch")
+    return rows.mapInArrow(_by_list(_meetings(similarity), True), "a long, b long").distinct()
 
 
 def _in_lists(rows: DataFrame) -> DataFrame:
@@ -286,7 +392,7 @@ def _in_lists(rows: DataFrame) -> DataFrame:
 
 def _subsets(rows: DataFrame) -> DataFrame:
     """A row for each subset of two shingles of a light set's rows, its hash in the place of the gram."""
-    names = ["key", "root", "size", *BITS]
+    names = ["key", "root", "size", *BITS, "sketch"]
     sets = rows.groupBy(*names).agg(F.sort_array(F.collect_list(F.struct("at", "gram"))).alias("g"))
     firsts = sets.select(*names, "g", F.posexplode("g").alias("i", "x")).where(F.col("i") + 1 < F.size("g"))
     both = firsts.select(*names, "x", F.explode(F.slice("g", F.col("i") + 2, F.size("g"))).alias("y"))
@@ -341,32 +447,37 @@ def all_links(texts: DataFrame, docs: DataFrame, roots: DataFrame, n: int = SHIN
     spread = texts.select("key", "size", F.posexplode("head").alias("at", "gram"))
     shared = _in_lists(spread).join(texts.select("key", *BITS), "key")
     core = F.col("at") < F.col("size") - F.ceil(F.col("size") * similarity - F.lit(1e-6)) + 1
-    shared = staged(shared.withColumn("core", core), "shared")
-    x = texts.select(F.col("key").alias("a"), F.col("size").alias("m"), F.col("sketch").alias("x"))
-    y = texts.select(F.col("key").alias("b"), F.col("size").alias("n"), F.col("sketch").alias("y"))
-
-    def links(pairs: DataFrame) -> DataFrame:
-        near = staged(pairs, "meetings").join(x, "a").join(y, "b").select("a", "b", "x", "y", "m", "n").mapInArrow(_near_sketches(similarity), "a long, b long")
-        return verified(staged(near, "near"), docs, n, similarity)
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("at"))
+    shared = staged(shared.withColumn("core", core).withColumn("nth", nth), "shared")
 
     def rooted() -> DataFrame:
         return shared.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
 
     def still_open() -> DataFrame:
+        """Rows of lists that several groups have."""
         rows = staged(rooted(), "rooted")
         several = rows.groupBy("gram").agg(F.min("root").alias("_least"), F.max("root").alias("_most")).where("_least < _most").select("gram")
-        return staged(rows.join(staged(several, "several"), "gram", "left_semi"), "open")
+        out = staged(rows.join(staged(several, "several"), "gram", "left_semi"), "open")
+        drop_staged(rows)
+        return out
 
-    rows = rooted()
-    for turn in range(2):
-        roots = joined(roots, links(_pairs(rows.where("core").withColumn("above", F.lit(0)), similarity, NEIGHBOURS, turn)))
-        rows = still_open()
-        # groups in long lists come together over several blocks
-        if rows.where(F.col("n") > LIST_ROWS).isEmpty():
+    def links(pairs: DataFrame) -> DataFrame:
+        return verified(staged(pairs, "meetings"), docs, n, similarity)
+
+    roots = joined(roots, links(_proposed(rooted().where(F.col("core") & (F.col("nth") <= FIRST_LISTS)), similarity, True, 0)))
+    rows = still_open()
+    for turn in range(1, ROUNDS + 1):
+        if rows.isEmpty():
+            return roots
+        found = links(_proposed(rows.where("core"), similarity, False, turn))
+        if found.isEmpty():
             break
+        roots = joined(roots, found)
+        drop_staged(rows)
+        rows = still_open()
     if rows.isEmpty():
         return roots
-    return joined(roots, links(light_heavy_pairs(rows, similarity)))
+    return joined(roots, links(light_heavy_pairs(rows.join(texts.select("key", "sketch"), "key"), similarity)))
 
 
 def no_roots(texts: DataFrame) -> DataFrame:
@@ -382,8 +493,10 @@ def jaccard_groups(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILA
     """
     clean = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     some = clean.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    rows = staged(some.mapInArrow(_marked(n, similarity, levels(clean, n)), f"doc_id long, key long, {MARKS}"), "marks")
-    texts = staged(rows.groupBy("key").agg(*[F.first(c).alias(c) for c in ("size", "head", "sketch", *BITS)]), "texts")
+    marked = staged(some.mapInArrow(_marked(n, similarity, levels(clean, n)), f"doc_id long, key long, {MARKS}"), "marks")
+    rows = staged(marked.select("doc_id", "key", "size"), "rows")
+    texts = staged(marked.groupBy("key").agg(*[F.first(c).alias(c) for c in ("size", "head", "sketch", *BITS)]), "texts")
+    drop_staged(marked)
     roots = all_links(texts, clean, staged(no_roots(texts), "roots"), n, similarity)
     return rows.select("doc_id", "key", "size").join(roots, "key", "left").select("doc_id", "key", "size", F.coalesce("root", "key").alias("root"))
 

@@ -66,7 +66,16 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     with setting(spark, CLEANUP, "true"), setting(spark, *ARROW_ROWS):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def drop_staged(df: DataFrame) -> None:
+    """Delete the files of a staged table that nothing reads any more: what was made of it is written."""
+    jvm, jsc = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc
+    path = jvm.org.apache.hadoop.fs.Path(df._staged_path.rsplit("/", 1)[0])
+    path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

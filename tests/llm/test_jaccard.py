@@ -54,9 +54,10 @@ def texts(seed):
     return list(enumerate(out, 10))
 
 
-@pytest.mark.parametrize("cost, neighbours, list_rows", [(40, 1, 4096), (0, 0, 4096), (10**9, 0, 4096), (0.05, 0, 5), (10**9, 1, 3)])
-def test_components_are_those_of_all_pairs(spark, monkeypatch, cost, neighbours, list_rows):
-    for name, value in (("SUBSET_COST", cost), ("NEIGHBOURS", neighbours), ("LIST_ROWS", list_rows)):
+@pytest.mark.parametrize("cost, stars, rounds, list_rows", [(40, 4, 4, 4096), (0, 0, 0, 4096), (10**9, 0, 0, 4096), (0.05, 0, 0, 5), (10**9, 4, 1, 3)])
+def test_components_are_those_of_all_pairs(spark, monkeypatch, cost, stars, rounds, list_rows):
+    """Also where nothing is contracted first, and everything is left to the join."""
+    for name, value in (("SUBSET_COST", cost), ("STARS", stars), ("FEW", 4 if stars else 0), ("ROUNDS", rounds), ("LIST_ROWS", list_rows)):
         monkeypatch.setattr(jaccard, name, value)
     for seed in (1,):
         rows = texts(seed)
