@@ -237,14 +237,56 @@ def _may_be_similar(least: float, size: np.ndarray, small: np.ndarray, i, j) ->
     return (np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]) - 1e-6) & (apart <= _most_apart(least, both)), apart
 
 
+def _smaller_groups(cuts: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Whether a row isn't of the largest root of its list."""
+    group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    order = np.lexsort((root, group))
+    starts = np.flatnonzero(np.append(True, (np.diff(group[order]) != 0) | (np.diff(root[order]) != 0)))
+    run = np.repeat(np.diff(np.append(starts, len(root))), np.diff(np.append(starts, len(root))))
+    size, first = np.empty(len(root), np.int64), np.empty(len(root), np.int64)
+    size[order], first[order] = run, np.repeat(starts, np.diff(np.append(starts, len(root))))
+    # of runs of one size the last
+    most = np.maximum.reduceat(size * len(root) + first, cuts[:-1]) if len(root) else size
+    return size * len(root) + first != np.repeat(most, np.diff(cuts))
+
+
 def _meetings(least: float):
     """Pairs of rows of a list that have different roots and may be similar; lists come in the order of sizes."""
 
     def run(rows: np.ndarray, sketches: list[bytes]):
         low, high, mine, above, key, root, size, at, small = *rows[:, 1:9].T, rows[:, 9:].copy().view(U64)
-        group = np.cumsum(np.append(False, (rows[1:, :3] != rows[:-1, :3]).any(axis=1)))
+        cuts = np.append(np.flatnonzero(np.append(True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1))), len(rows))
+        group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
         left, long = size - at, None
-        first, step = np.arange(len(rows)), 0
+
+        def fitting(i: np.ndarray, j: np.ndarray):
+            nonlocal long
+            fits = (root[i] != root[j]) & ((mine[i] != mine[j]) | (low[i] == high[i]))
+            # sets that may share one shingle only have no subset of two in common
+            fits &= (np.maximum(size[i], size[j]) > above[i]) | (np.minimum(size[i], size[j]) * least <= 1)
+            # the first shingle that two sets share leaves enough behind it in both
+            fits &= np.minimum(left[i], left[j]) >= least / (1 + least) * (size[i] + size[j]) - 1e-6
+            i, j = i[fits], j[fits]
+            near, _ = _may_be_similar(least, size, small, i, j)
+            i, j = i[near], j[near]
+            if len(i):
+                long = long or _Sketches(sketches)
+                near = long.differ(i, j) <= _most_apart(least, size[i] + size[j])
+                if near.any():
+                    yield _pair_batch(key[i[near]], key[j[near]])
+
+        small_groups = _smaller_groups(cuts, root)
+        few = np.add.reduceat(small_groups.astype(np.int64), cuts[:-1])
+        # in a list of one large group, only rows of the others look for partners
+        sided = (np.diff(cuts) > 64) & (few * 4 < np.diff(cuts))
+        for g in np.flatnonzero(sided & (few > 0)).tolist():
+            here = np.arange(cuts[g], cuts[g + 1])
+            others = here[small_groups[here]]
+            for some in np.array_split(others, len(others) * len(here) // (1 << 18) + 1):
+                i, j = np.repeat(some, len(here)), np.tile(here, len(some))
+                once = ~small_groups[j] | (i < j)
+                yield from fitting(i[once], j[once])
+        first, step = np.flatnonzero(~sided[group]), 0
         while True:
             step += 1
             first = first[first + step < len(rows)]
@@ -253,20 +295,7 @@ def _meetings(least: float):
             if not len(first):
                 return
             for i in np.array_split(first, len(first) // (1 << 18) + 1):
-                j = i + step
-                fits = (root[i] != root[j]) & ((mine[i] != mine[j]) | (low[i] == high[i]))
-                # sets that may share one shingle only have no subset of two in common
-                fits &= (np.maximum(size[i], size[j]) > above[i]) | (np.minimum(size[i], size[j]) * least <= 1)
-                # the first shingle that two sets share leaves enough behind it in both
-                fits &= np.minimum(left[i], left[j]) >= least / (1 + least) * (size[i] + size[j]) - 1e-6
-                i, j = i[fits], j[fits]
-                near, _ = _may_be_similar(least, size, small, i, j)
-                i, j = i[near], j[near]
-                if len(i):
-                    long = long or _Sketches(sketches)
-                    near = long.differ(i, j) <= _most_apart(least, size[i] + size[j])
-                    if near.any():
-                        yield _pair_batch(key[i[near]], key[j[near]])
+                yield from fitting(i, i + step)
 
     return run
 
@@ -286,10 +315,11 @@ def _nearest_rows(least: float, key, root, size, small, some: np.ndarray, of: np
 
 def _proposals(least: float, stars: bool):
     """(a, b, apart): texts to compare. With stars, each row with the nearest of the list's stars (in lists of few rows
-    with the next row); without, each row that isn't of the list's largest root with the nearest one of another root."""
+    with the next row); without, each row that looks here (above is set) and isn't of the list's largest root with the
+    nearest one of another root."""
 
     def run(rows: np.ndarray, _: list[bytes]):
-        key, root, size, small = rows[:, 5], rows[:, 6], rows[:, 7], rows[:, 9:].copy().view(U64)
+        looks, key, root, size, small = rows[:, 4], rows[:, 5], rows[:, 6], rows[:, 7], rows[:, 9:].copy().view(U64)
         cuts = np.append(np.flatnonzero(np.append(True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1))), len(rows))
         a, b, c = [], [], []
         if stars:
@@ -298,8 +328,9 @@ def _proposals(least: float, stars: bool):
             i = np.flatnonzero(short[:-1] & (group[1:] == group[:-1]) & (root[1:] != root[:-1]))
             near, apart = _may_be_similar(least, size, small, i, i + 1)
             a, b, c = [key[i[near]]], [key[i[near] + 1]], [apart[near]]
-        lists = np.flatnonzero(np.diff(cuts) > (FEW if stars else 1))
-        for g in lists.tolist():
+        searching = None if stars else _smaller_groups(cuts, root) & (looks > 0)
+        lists = np.diff(cuts) > FEW if stars else np.add.reduceat(searching.astype(np.int64), cuts[:-1]) > 0
+        for g in np.flatnonzero(lists).tolist():
             here = np.arange(cuts[g], cuts[g + 1])
             if stars:
                 pivots = here[:PIVOTS]
@@ -321,10 +352,8 @@ def _proposals(least: float, stars: bool):
                     b.append(key[pivots[np.array(chosen)[best[found]]]])
                     c.append(apart[np.arange(len(here)), best][found])
             else:
-                names, inverse, counts = np.unique(root[here], return_inverse=True, return_counts=True)
-                if len(names) > 1:
-                    for x, y, z in _nearest_rows(least, key, root, size, small, here[inverse != counts.argmax()], here):
-                        a.append(x), b.append(y), c.append(z)
+                for x, y, z in _nearest_rows(least, key, root, size, small, here[searching[here]], here):
+                    a.append(x), b.append(y), c.append(z)
         if a and sum(map(len, a)):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b)), pa.array(np.concatenate(c).astype(np.int32))], ["a", "b", "apart"])
 
@@ -364,8 +393,9 @@ def _dealt(rows: DataFrame, turn: int) -> tuple[DataFrame, Column]:
 
 
 def _proposed(rows: DataFrame, similarity: float, stars: bool, turn: int) -> DataFrame:
-    """(a, b): for each text the nearest of those that its lists propose. Long lists look within their blocks."""
-    rows, _ = _dealt(rows.withColumn("above", F.lit(0)), turn)
+    """(a, b): for each text the nearest of those that its lists propose; without stars it looks in some FIRST_LISTS of
+    them, others in each turn. Long lists look within their blocks."""
+    rows, _ = _dealt(rows.withColumn("above", (F.pmod(F.xxhash64("key", "gram", F.lit(turn)), F.col("lists")) < FIRST_LISTS).cast("int")), turn)
     # the same order in all lists: texts that share many shingles have the same stars in each
     rows = rows.withColumn("low", F.col("mine")).withColumn("high", F.col("mine")).withColumn("turn", F.xxhash64("key", F.lit(turn)))
     rows = rows.repartition(*_LIST).sortWithinPartitions(*_LIST, "turn").select(*_ROW)
@@ -447,8 +477,10 @@ def all_links(texts: DataFrame, docs: DataFrame, roots: DataFrame, n: int = SHIN
     spread = texts.select("key", "size", F.posexplode("head").alias("at", "gram"))
     shared = _in_lists(spread).join(texts.select("key", *BITS), "key")
     core = F.col("at") < F.col("size") - F.ceil(F.col("size") * similarity - F.lit(1e-6)) + 1
-    nth = F.row_number().over(Window.partitionBy("key").orderBy("at"))
-    shared = staged(shared.withColumn("core", core).withColumn("nth", nth), "shared")
+    # windows over the head of one text
+    own = Window.partitionBy("key")
+    shared = shared.withColumn("core", core).withColumn("nth", F.row_number().over(own.orderBy("at"))).withColumn("lists", F.count("*").over(own))
+    shared = staged(shared, "shared")
 
     def rooted() -> DataFrame:
         return shared.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
