@@ -60,10 +60,18 @@ def codes(x: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.packbits(y >= 0, axis=1), np.abs(y).sum(axis=1) / np.sqrt(turn.shape[1])
 
 
+def signs_of(packed: np.ndarray, d: int) -> np.ndarray:
+    """Codes as rows of 1 and -1."""
+    return np.unpackbits(packed, axis=1, count=d).astype(np.float32) * 2 - 1
+
+
 def bounds(packed: np.ndarray, correction: np.ndarray, q: np.ndarray, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
     """Estimates of inner products with the rotated unit queries q (rows), and their error bounds: queries x vectors."""
+    return _bounds(signs_of(packed, q.shape[1]), correction, q, epsilon)
+
+
+def _bounds(signs: np.ndarray, correction: np.ndarray, q: np.ndarray, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
     d = q.shape[1]
-    signs = np.unpackbits(packed, axis=1, count=d).astype(np.float32) * 2 - 1
     near = (q.astype(np.float32) @ signs.T) / np.float32(np.sqrt(d))
     spread = np.sqrt(np.maximum(1 - correction**2, 0)) / correction / np.sqrt(max(d - 1, 1))
     # at most 1 for any vector: a bound that always holds, whatever the rotation
@@ -100,11 +108,11 @@ def _scan(left: pa.Table, right: pa.Table, epsilon: float):
     only = left.column("only").fill_null(-1).to_numpy()
     known = left.column("only").is_valid().to_numpy()
     packed = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(len(rid), -1)
-    correction = left.column("correction").to_numpy()
+    correction, signs = left.column("correction").to_numpy(), signs_of(packed, packed.shape[1] * 8)
     for at in range(0, right.num_rows, STEP_ROWS):
         part = right.slice(at, STEP_ROWS)
         ids, q = part.column("query_id").to_numpy(), _matrix(part.column("q"), part.num_rows)
-        estimate, error = bounds(packed, correction, _unit(q) @ _turn(q.shape[1]), epsilon)
+        estimate, error = _bounds(signs, correction, _unit(q) @ _turn(q.shape[1]), epsilon)
         estimate[(ids[:, None] == only[None, :]) & known[None, :]] = -np.inf
         yield ids, rid, estimate, error, part
 

@@ -73,10 +73,29 @@ KNOWN = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-only"),
-    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    # Ids of the SPDX list, for the line that names one.
+    *((i, f"SPDX-License-Identifier: {i}") for i in (
+        "MIT", "MIT-0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "0BSD", "Unlicense", "BSL-1.0", "MPL-1.1", "MPL-2.0", "EPL-2.0",
+        "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later",
+        "AGPL-3.0-only", "AGPL-3.0-or-later", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0",
+    )),
+)
+# Digests of the canonical forms of whole public licence texts, and the lengths of these forms.
+KNOWN_DIGESTS = (
+    ("Apache-2.0", "036b5ff6d47b44974c624da95e5bf0ac7ddfe5030e41dfa7ff8ac0c1daa9f32b", 9887),
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702", 5833),
+    ("BSD-3-Clause", "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651", 1361),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f", 6692),
+    ("GFDL-1.2-only", "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b", 19578),
+    ("GFDL-1.3-only", "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d", 22013),
+    ("GPL-1.0-only", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224", 11765),
+    ("GPL-2.0-only", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821", 17117),
+    ("GPL-3.0-only", "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a", 33406),
+    ("LGPL-2.0-only", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908", 24130),
+    ("LGPL-2.1-only", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891", 25217),
+    ("LGPL-3.0-only", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be", 7104),
+    ("MPL-1.1", "cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6", 22447),
+    ("MPL-2.0", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a", 14341),
 )
 
 
@@ -147,6 +166,12 @@ def license_digests(known: DataFrame) -> DataFrame:
     return rows.groupBy(F.sha2("c", 256).alias("digest")).agg(F.min("license_id").alias("license_id"), F.min(F.length("c")).alias("size"))
 
 
+def built_in(spark: SparkSession) -> DataFrame:
+    """(digest, license_id, size) of all licences that are known without a folder: texts, notices, and digests."""
+    more = F.array(*[F.struct(F.lit(d).alias("digest"), F.lit(i).alias("license_id"), F.lit(n).alias("size")) for i, d, n in KNOWN_DIGESTS])
+    return license_digests(known_licenses(spark)).unionByName(spark.range(1).select(F.inline(more)))
+
+
 def license_matches(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """For each row: doc_id, digest (of the canonical text), license_id (of the whole text, or null), line_licenses
     (sorted ids of known texts that stand on a line of their own).
@@ -155,7 +180,7 @@ def license_matches(docs: DataFrame, known: DataFrame | None = None) -> DataFram
     digest of an empty text and match nothing. Repeated rows and null doc_ids stay; other columns are ignored. With an
     empty table of known texts nothing matches.
     """
-    known = staged(license_digests(known_licenses(docs.sparkSession) if known is None else known), "licenses")
+    known = staged(built_in(docs.sparkSession) if known is None else license_digests(known), "licenses")
     lines = docs.select("doc_id", _canonical_lines(F.col("text")).alias("_lines"))
     rows = lines.select("doc_id", F.sha2(_canonical_whole(F.col("_lines")), 256).alias("digest"), "_lines")
     if known.count() > BROADCAST_ROWS:

@@ -121,14 +121,30 @@ _KNOWN_DIGESTS = """
   ('e34399ae0e957e9bb9b4a0e3f615d05722861801f4e0718f35cefc762c349a16', 'CC-BY-NC-4.0'),
   ('5aee400278b51606c2353a854f7d936ffffe555bf9c67e56d5db376a76b63bb2', 'CC-BY-4.0'),
   ('2b112a6fd54caf2eae8e23516b628ad8ac20c00e407e568c503a16ef1eabaec2', 'CC-BY-SA-4.0'),
-  ('6574b7ebe0cb585e9b2f2c05d1e04a3181922d9bf36edf6c9f6a3cba7bac1564', 'MIT'),
-  ('eff9e05c9de2ebaf67a47336fef7135676ea38a388048f3f843195d9ee4d2e77', 'Apache-2.0'),
-  ('86cc14fde51d648e1d084ecc39341eefd11fedf263aba490c5b70924ca271986', 'GPL-3.0-only'),
-  ('89ca91930ea55aff34ba4afee0eaa74b51a1b961b85435e5e171c210eeda6c49', 'BSD-2-Clause')
+  -- whole texts
+  ('036b5ff6d47b44974c624da95e5bf0ac7ddfe5030e41dfa7ff8ac0c1daa9f32b', 'Apache-2.0'),
+  ('08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702', 'Artistic-1.0-Perl'),
+  ('21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651', 'BSD-3-Clause'),
+  ('96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f', 'CC0-1.0'),
+  ('15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b', 'GFDL-1.2-only'),
+  ('2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d', 'GFDL-1.3-only'),
+  ('8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224', 'GPL-1.0-only'),
+  ('efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821', 'GPL-2.0-only'),
+  ('eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a', 'GPL-3.0-only'),
+  ('61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908', 'LGPL-2.0-only'),
+  ('4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891', 'LGPL-2.1-only'),
+  ('aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be', 'LGPL-3.0-only'),
+  ('cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6', 'MPL-1.1'),
+  ('f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a', 'MPL-2.0')
 """
 
+# Ids that a line can name.
+_SPDX = """('MIT'), ('MIT-0'), ('Apache-2.0'), ('BSD-2-Clause'), ('BSD-3-Clause'), ('ISC'), ('Zlib'), ('0BSD'), ('Unlicense'), ('BSL-1.0'), ('MPL-1.1'), ('MPL-2.0'), ('EPL-2.0'),
+  ('GPL-2.0-only'), ('GPL-2.0-or-later'), ('GPL-3.0-only'), ('GPL-3.0-or-later'), ('LGPL-2.1-only'), ('LGPL-2.1-or-later'), ('LGPL-3.0-only'), ('LGPL-3.0-or-later'),
+  ('AGPL-3.0-only'), ('AGPL-3.0-or-later'), ('CC0-1.0'), ('CC-BY-4.0'), ('CC-BY-SA-4.0')"""
+
 OP3 = rf"""
-WITH known(digest, license_id) AS (VALUES {_KNOWN_DIGESTS}), d AS (
+WITH known(digest, license_id) AS (VALUES {_KNOWN_DIGESTS} UNION ALL SELECT sha256({_canonical_sql("'SPDX-License-Identifier: ' || i")}), i FROM (VALUES {_SPDX}) s(i)), d AS (
   SELECT row_number() OVER () AS r, doc_id, sha256({_canonical_sql("text")}) AS digest, text FROM documents
 ), l AS (
   SELECT r, list_sort(list(DISTINCT license_id)) AS ids

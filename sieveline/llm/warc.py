@@ -178,17 +178,22 @@ def audit(replica_a: DataFrame, replica_b: DataFrame, fanout: int = FANOUT) -> D
     Replicas: file, idx (place in the file, from 0), start, stop, record, and other columns, which are reported; (file,
     idx) tell records apart. A null record is one that can't be read; its record_sha256 is null. Where a null record
     stands in both, it is intact: both hold the same. Empty replicas have no records. The replicas should have the same
-    columns.
+    columns; one of theirs that is named like a column of the report comes back as own_ and its name.
     """
     a, b = merkle_tree(replica_a, fanout), merkle_tree(replica_b, fanout)
-    names = [c for c in replica_a.columns if c != "record"]
-    place = ("file", "idx", "start", "stop")
+    place, names = ("file", "idx", "start", "stop"), {}
+    for c in replica_a.columns:
+        if c != "record":
+            own = c
+            while own in ("record_sha256", "status") or (own != c and own in replica_a.columns):
+                own = f"own_{own}"
+            names[c] = own
 
     def report(nodes: DataFrame, status: Column) -> DataFrame:
-        return nodes.select(*[F.col(c) if c in place else F.col(f"rest.`{c}`") for c in names], F.col("sha").alias("record_sha256"), status.alias("status"))
+        return nodes.select(*[F.col(c) if c in place else F.col(f"rest.`{c}`").alias(own) for c, own in names.items()], F.col("sha").alias("record_sha256"), status.alias("status"))
 
     if not a.levels:
-        return report(b.level(0), F.lit("extra")) if b.levels else replica_a.drop("record").withColumns({"record_sha256": F.lit(None).cast("string"), "status": F.lit("intact")}).limit(0)
+        return report(b.level(0), F.lit("extra")) if b.levels else replica_a.select(*[F.col(f"`{c}`").alias(own) for c, own in names.items()], F.lit(None).cast("string").alias("record_sha256"), F.lit("intact").alias("status")).limit(0)
     if not b.levels:
         return report(a.level(0), F.lit("missing"))
     if a.root() == b.root():

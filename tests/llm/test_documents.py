@@ -572,3 +572,54 @@ def test_licenses_by_shuffled_join(spark, monkeypatch):
     df = spark.createDataFrame([(1, "Released under the MIT License."), (2, "prose\nLicensed under CC BY 4.0.")], "doc_id long, text string")
     monkeypatch.setattr(licenses, "BROADCAST_ROWS", 0)
     same([(r.doc_id, r.license_id, tuple(r.line_licenses)) for r in licenses.license_matches(df).collect()], [(1, "MIT", ("MIT",)), (2, None, ("CC-BY-4.0",))])
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_tokens_that_span_white_space_are_counted_whole(spark, tmp_path, name):
+    path = public_tokenizers.path(name)
+    assert not token_counts.counts_by_piece(path) and token_counts.counts_by_piece(public_tokenizers.path(token_counts.TOKENIZER))
+    if name.endswith(".model"):
+        import sentencepiece
+
+        count = lambda x: len(sentencepiece.SentencePieceProcessor(model_file=path).encode(x))
+    else:
+        from tokenizers import Tokenizer
+
+        count = lambda x: len(Tokenizer.from_file(path).encode(x, add_special_tokens=False).ids)
+    rows = [(0, "a  b\n\n\nc"), (1, "a b c"), (2, " a b c "), (3, None), (4, ""), (5, "x    y\t\tz <|endoftext|> q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cache = f"file://{tmp_path}/cache"
+    want = [(i, len((x or "").encode()), count(x or ""), count(x or "") > 6) for i, x in rows]
+    same(token_counts.token_counts(df, cache, path, limit=6).collect(), want)
+    same(token_counts.token_counts(df, cache, path, limit=6).collect(), want)
+
+
+def test_rewrapped_and_respelled_licences(spark):
+    """Whole public texts where the machine has them: wrapped anew, in other case, as comments, with other spellings."""
+    import pathlib
+    import textwrap
+
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "BSD": "BSD-3-Clause"}
+    folder = pathlib.Path("/usr/share/common-licenses")
+    there = {n: i for n, i in names.items() if (folder / n).exists()}
+    if not there:
+        pytest.skip("no licence texts on this machine")
+    rows, want = [], {}
+    for n, i in there.items():
+        text = (folder / n).read_text(encoding="utf-8")
+        # copyright lines stay lines of their own
+        paragraphs = [p if "opyright" in p.splitlines()[0] else textwrap.fill(p, 50) for p in text.split("\n\n") if p.strip()]
+        for t, same in ((text, True), ("\n\n".join(paragraphs), True), (text.upper(), True), ("\n".join(f"# {x}" for x in text.splitlines()), True), (text.replace("license", "licence").replace("organization", "organisation"), True), (text.replace("software", "hardware", 1).replace("Work", "Play", 1).replace("program", "poem", 1), False)):
+            want[len(rows)] = i if same else None
+            rows.append((len(rows), t))
+    got = {r.doc_id: r.license_id for r in licenses.license_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: v for k, v in got.items() if v != want[k]} == {}
+
+
+def test_every_query_is_registered():
+    import __spark_entry__ as e
+    from sieveline.llm import queries
+
+    names = [f"op{n}_" for n in range(1, 14)]
+    assert all(sum(q.startswith(n) for q in queries.queries()) == 1 for n in names)
+    assert set(queries.queries()) <= set(e.queries()) and set(queries.oracle_sql()) <= set(e.oracle_sql()) and "pipeline" in e.queries()

@@ -395,3 +395,14 @@ def test_queries(spark, name):
         assert sorted(names) == sorted(out.columns)
         short = lambda v: round(v, 9) if isinstance(v, float) else tuple(v) if isinstance(v, list) else v
         same([tuple(short(v) for v in x) for x in r.fetchall()], [tuple(short(x[c]) for c in names) for x in out.collect()])
+
+
+def test_replicas_with_columns_of_the_report(spark):
+    rows = [(0, i, i * 10, i * 10 + 10, bytearray(b"r%d" % i), f"s{i}", "x", "y") for i in range(9)]
+    layout = "file long, idx long, start long, stop long, record binary, status string, record_sha256 string, own_status string"
+    other = [(*r[:4], bytearray(b"z"), *r[5:]) if r[1] == 4 else r for r in rows if r[1] != 7]
+    a, b = spark.createDataFrame(rows, layout), spark.createDataFrame(other, layout)
+    for x, y, want in ((a, b, {4: "corrupt", 7: "missing"}), (a, a, {}), (a, a.limit(0), {i: "missing" for i in range(9)}), (a.limit(0), a, {i: "extra" for i in range(9)})):
+        out = warc.audit(x, y).collect()
+        assert {r.idx: (r.own_own_status, r.own_status, r.own_record_sha256, r.status) for r in out} == {i: (f"s{i}", "y", "x", want.get(i, "intact")) for i in range(9)}
+    assert warc.audit(a.limit(0), a.limit(0)).columns[-2:] == ["record_sha256", "status"]
