@@ -46,7 +46,7 @@ LIST_ROWS = 1 << 12
 #: which each row meets the next one instead.
 FIRST_LISTS, PIVOTS, STARS, FEW = 2, 16, 4, 4
 #: Rounds of looking for the nearest text of another group, at most: what they leave, the join finds.
-ROUNDS = 4
+ROUNDS = 3
 #: A subset that is written costs as much as so many pairs that are compared in a scan.
 SUBSET_COST = 40
 #: 256 parity bits that travel with a shingle, so that most pairs that can't link are never formed.
@@ -170,20 +170,47 @@ def _similar(least: float):
     return run
 
 
+def sets_for(keys: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """(key, grams): the written sets of the texts whose hash is among keys."""
+    # of each task's copies one text goes on, before anything is joined
+    some = docs.select(F.xxhash64("text").alias("key"), "text").groupBy("key").agg(F.first("text").alias("text")).join(keys, "key", "left_semi")
+    return staged(some.mapInArrow(_sets(n), "key long, grams binary"), "sets")
+
+
+def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (a, b) whose sets are similar enough. Each side's sets are fetched for its pairs alone."""
+    x = pairs.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("x")), "a").select("a", "b", "x")
+    y = pairs.join(sets.select(F.col("key").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "y")
+    both = x.join(y, ["a", "b"]).select("a", "b", "x", "y")
+    return staged(both.mapInArrow(_similar(similarity), "a long, b long"), "links")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, n: int, similarity: float) -> DataFrame:
     """Those of pairs (a, b) of hashes of texts whose texts are similar enough."""
     ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    # of each task's copies one text goes on, before anything is joined
-    some = docs.select(F.xxhash64("text").alias("key"), "text").groupBy("key").agg(F.first("text").alias("text")).join(ends, "key", "left_semi")
-    sets = staged(some.mapInArrow(_sets(n), "key long, grams binary"), "sets")
-    x = sets.select(F.col("key").alias("a"), F.col("grams").alias("x"))
-    y = sets.select(F.col("key").alias("b"), F.col("grams").alias("y"))
-    both = pairs.join(x.select("a", "x"), "a").join(y.select("b", "y"), "b").select("a", "b", "x", "y")
-    out = staged(both.mapInArrow(_similar(similarity), "a long, b long"), "links")
+    sets = sets_for(staged(ends, "ends"), docs, n)
+    out = compared(pairs, sets, similarity)
     drop_staged(sets)
     return out
 
 
+def _near(least: float):
+    """Pairs whose long sketches allow a link."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+            i = np.arange(len(x))
+            apart = _Sketches(x + y).differ(i, i + len(x))
+            sizes = batch.column("m").to_numpy() + batch.column("n").to_numpy()
+            kept = batch.filter(pa.array(apart <= _most_apart(least, sizes)))
+            yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], ["a", "b"])
+
+    return run
+
+
 def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     """roots (key, root) after more links."""
     if links.isEmpty():
@@ -482,34 +509,42 @@ def all_links(texts: DataFrame, docs: DataFrame, roots: DataFrame, n: int = SHIN
     shared = shared.withColumn("core", core).withColumn("nth", F.row_number().over(own.orderBy("at"))).withColumn("lists", F.count("*").over(own))
     shared = staged(shared, "shared")
 
-    def rooted() -> DataFrame:
-        return shared.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    x = texts.select(F.col("key").alias("a"), F.col("size").alias("m"), F.col("sketch").alias("x"))
+    y = texts.select(F.col("key").alias("b"), F.col("size").alias("n"), F.col("sketch").alias("y"))
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        return rows.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
 
-    def still_open() -> DataFrame:
-        """Rows of lists that several groups have."""
-        rows = staged(rooted(), "rooted")
-        several = rows.groupBy("gram").agg(F.min("root").alias("_least"), F.max("root").alias("_most")).where("_least < _most").select("gram")
-        out = staged(rows.join(staged(several, "several"), "gram", "left_semi"), "open")
-        drop_staged(rows)
+    def still_open(rows: DataFrame) -> DataFrame:
+        """Rows of lists that several groups have. What lies within one group now stays there."""
+        now = staged(rooted(rows), "rooted")
+        several = now.groupBy("gram").agg(F.min("root").alias("_least"), F.max("root").alias("_most")).where("_least < _most").select("gram")
+        out = staged(now.join(staged(several, "several"), "gram", "left_semi").drop("root"), "open")
+        drop_staged(now)
         return out
 
-    def links(pairs: DataFrame) -> DataFrame:
-        return verified(staged(pairs, "meetings"), docs, n, similarity)
+    def proposed(rows: DataFrame, stars: bool, turn: int) -> DataFrame:
+        some = staged(_proposed(rows, similarity, stars, turn), "proposed")
+        near = some.join(x, "a").join(y, "b").select("a", "b", "x", "y", "m", "n").mapInArrow(_near(similarity), "a long, b long")
+        # each pair once, whichever of the two proposed it
+        return staged(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near")
 
-    roots = joined(roots, links(_proposed(rooted().where(F.col("core") & (F.col("nth") <= FIRST_LISTS)), similarity, True, 0)))
-    rows = still_open()
+    pairs = proposed(rooted(shared).where(F.col("core") & (F.col("nth") <= FIRST_LISTS)), True, 0)
+    tested, roots = pairs, joined(roots, verified(pairs, docs, n, similarity))
+    rows = still_open(shared)
     for turn in range(1, ROUNDS + 1):
         if rows.isEmpty():
             return roots
-        found = links(_proposed(rows.where("core"), similarity, False, turn))
+        pairs = staged(proposed(rooted(rows).where("core"), False, turn).join(tested, ["a", "b"], "left_anti"), "untested")
+        found = verified(pairs, docs, n, similarity)
         if found.isEmpty():
             break
-        roots = joined(roots, found)
-        drop_staged(rows)
-        rows = still_open()
+        tested, roots = tested.union(pairs), joined(roots, found)
+        rows = still_open(rows)
     if rows.isEmpty():
         return roots
-    return joined(roots, links(light_heavy_pairs(rows.join(texts.select("key", "sketch"), "key"), similarity)))
+    pairs = staged(light_heavy_pairs(rooted(rows).join(texts.select("key", "sketch"), "key"), similarity), "meetings")
+    return joined(roots, verified(pairs.join(tested, ["a", "b"], "left_anti"), docs, n, similarity))
 
 
 def no_roots(texts: DataFrame) -> DataFrame:
