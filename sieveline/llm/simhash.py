@@ -36,7 +36,7 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: (most distinct fingerprints, number of blocks): b blocks, of which b - radius are fixed.
 BLOCKS = ((1 << 21, 1), (1 << 27, 2), (1 << 32, 3))
 #: Shards of more rows are sharded again, with up to so many blocks that must agree.
-SHARD_ROWS, MOST_BLOCKS = 1 << 16, 4
+SHARD_ROWS, MOST_BLOCKS = 1 << 16, 8
 
 
 def _fingerprints(words: Words, n: int, seed: int) -> np.ndarray:

@@ -623,3 +623,31 @@ def test_every_query_is_registered():
     names = [f"op{n}_" for n in range(1, 14)]
     assert all(sum(q.startswith(n) for q in queries.queries()) == 1 for n in names)
     assert set(queries.queries()) <= set(e.queries()) and set(queries.oracle_sql()) <= set(e.oracle_sql()) and "pipeline" in e.queries()
+
+
+def test_fingerprints_that_agree_in_half_their_bits(spark, monkeypatch):
+    """Shards of the bits they share hold all of them, until so many blocks must agree that others are among them."""
+    import random
+
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 300)
+    rng = random.Random(3)
+    values = {0xABCD1234 << 32 | rng.getrandbits(32) for _ in range(1500)}
+    values |= {v ^ (1 << rng.randrange(32)) ^ (1 << rng.randrange(32)) for v in list(values)[:200]}
+    values = sorted(values)
+    df = spark.createDataFrame([(simhash._signed(v),) for v in values], "fp long")
+    found = [(r.a % 2**64, r.b % 2**64) for r in simhash.links(df).collect()]
+    root = {v: v for v in values}
+
+    def find(x, at):
+        while at[x] != x:
+            x = at[x]
+        return x
+
+    other = dict(root)
+    for a, b in found:
+        root[find(a, root)] = find(b, root)
+    for i, a in enumerate(values):
+        for b in values[:i]:
+            if (a ^ b).bit_count() <= simhash.RADIUS:
+                other[find(a, other)] = find(b, other)
+    same([(v, min(x for x in values if find(x, root) == find(v, root))) for v in values[:300]], [(v, min(x for x in values if find(x, other) == find(v, other))) for v in values[:300]])
