@@ -67,6 +67,11 @@ def norm_key(x: Column) -> Column:
     return F.lower(strip(x))
 
 
+def digest(key: Column) -> Column:
+    """128 bits in the place of a long key: what is shuffled and compared. Null stays null."""
+    return F.unhex(F.md5(key))
+
+
 def words(x: Column) -> Column:
     """Pieces between runs of white space, none of them empty."""
     return F.filter(F.split(x, rf"{SPACE}+"), lambda w: w != "")
@@ -332,9 +337,10 @@ def padded(ids: Column, size: Column, value: int) -> Column:
     return F.concat(ids, F.array_repeat(F.lit(value), F.greatest(size - F.size(ids), F.lit(0))))
 
 
-def few_shot_prompt(examples: Column, instruction: Column) -> Column:
-    """Examples (array of structs instruction, response), then the instruction to answer."""
-    shots = F.transform(examples, lambda e: F.concat(F.lit("Instruction: "), e["instruction"], F.lit("\nResponse: "), e["response"], F.lit("\n" + END + "\n")))
+def few_shot_prompt(examples: Column, instruction: Column, before_end: str = "\n") -> Column:
+    """Examples (array of structs instruction, response), each with its end mark, then the instruction to answer.
+    before_end: what stands between a response and the mark; completion prompts have nothing there."""
+    shots = F.transform(examples, lambda e: F.concat(F.lit("Instruction: "), e["instruction"], F.lit("\nResponse: "), e["response"], F.lit(before_end + END + "\n")))
     return F.concat(F.array_join(shots, "\n"), F.lit("\n"), dpo_prompt(instruction))
 
 

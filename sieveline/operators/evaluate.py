@@ -113,12 +113,9 @@ def success_gate(results: DataFrame, least: float = 0.95, success: str = "succes
     return results.agg(F.count("*").alias("n"), F.avg(F.col(success).cast("double")).alias("rate")).withColumn("passed", F.coalesce(F.col("rate") >= least, F.lit(False)))
 
 
-def bootstrap_lift(pairs: DataFrame, a: str, b: str, samples: int = 10_000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
-    """(lift, low, high): percentile interval of the mean of b - a over resamples of the rows.
-
-    A resample depends on how often each of the cells -1, 0 and 1 of b - a is drawn, so the rows are counted once, and
-    each resample draws its two counts as binomials. The work doesn't grow with the rows.
-    """
+def lift_by_cells(pairs: DataFrame, a: str, b: str, samples: int = 10_000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
+    """(lift, low, high): the interval of bootstrap.bootstrap_lift for outcomes of 0 and 1, from counts of the cells -1,
+    0 and 1 of b - a: each resample draws its two counts as binomials. The work doesn't grow with the rows."""
     d = F.col(b).cast("int") - F.col(a).cast("int")
     counts = pairs.agg(F.count("*").alias("n"), F.count_if(d == 1).alias("up"), F.count_if(d == -1).alias("down"))
 
@@ -142,29 +139,6 @@ def bootstrap_lift(pairs: DataFrame, a: str, b: str, samples: int = 10_000, conf
     return lift.crossJoin(ends).select("lift", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
 
 
-def bootstrap_statistic(pairs: DataFrame, a: str, b: str, statistic, samples: int = 1000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
-    """The same for any statistic of two arrays of 0 and 1 (a callable). The four cells of (a, b) are counted, and a
-    resample is made of its cell counts; statistic gets the two arrays of each."""
-    cells = pairs.groupBy(F.col(a).cast("int").alias("x"), F.col(b).cast("int").alias("y")).count().collect()
-    values, n = [(r.x, r.y) for r in cells], [r["count"] for r in cells]
-
-    def draw(batches):
-        import numpy as np
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for i in pdf["id"]:
-                got = np.random.default_rng([seed, int(i)]).multinomial(sum(n), np.array(n) / sum(n))
-                xs, ys = (np.repeat([v[k] for v in values], got) for k in (0, 1))
-                out.append(float(statistic(xs, ys)))
-            yield pd.DataFrame({"value": out})
-
-    tail = (1 - confidence) / 2
-    drawn = pairs.sparkSession.range(samples if n else 0).mapInPandas(draw, "value double")
-    return drawn.agg(F.avg("value").alias("mean"), F.percentile("value", F.array(F.lit(tail), F.lit(1 - tail))).alias("p")).select("mean", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
-
-
 def condition_gate(rates: DataFrame, bounds: dict[str, tuple[float, float]], base: str, other: str, least_h: float = 0.5) -> DataFrame:
     """rates (condition, n, n_success) judged as a whole: each within its bounds, intervals of base and other apart,
     and the effect large enough. One row."""
@@ -177,6 +151,24 @@ def condition_gate(rates: DataFrame, bounds: dict[str, tuple[float, float]], bas
     return out.withColumn("passed", F.col("within_bounds") & F.col("intervals_apart") & (F.abs("h") >= least_h))
 
 
+def abort_reasons(rates: DataFrame, rules: Sequence[tuple[str, str, float, str]]) -> DataFrame:
+    """(aborted, reasons): one row on rates (condition, n, n_success). Each rule (condition, 'at_least' or 'below', bound,
+    reason) ends the run where the condition's rate is there; a condition without rows ends nothing."""
+    r = rates.withColumn("_rate", F.try_divide(F.col("n_success").cast("double"), F.col("n")))
+    at = lambda name: F.max(F.when(F.col("condition") == name, F.col("_rate")))
+    flags = [F.when(at(name) >= bound if way == "at_least" else at(name) < bound, F.lit(reason)) for name, way, bound, reason in rules]
+    out = r.agg(F.array_compact(F.array(*flags)).alias("reasons"))
+    return out.select((F.size("reasons") > 0).alias("aborted"), "reasons")
+
+
+# When an evaluation of conversations is given up.
+ABORT_RULES = (
+    ("base_formatted", "at_least", 0.60, "conversation isn't hard enough"),
+    ("alt_base", "at_least", 0.60, "all base models can converse"),
+    ("instruct", "below", 0.80, "too hard even for the instruct model"),
+)
+
+
 def report(analysis: DataFrame) -> str:
     """A text report of a paired analysis: a few rows, brought to the driver."""
     lines = []

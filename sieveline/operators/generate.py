@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_any, strip, words
-from .ranking import distinct_draws, unit_draw, weighted_draw
+from ..sources.files import kept
+from .ranking import STEPS, distinct_draws, scanned, unit_draw, weighted_draw
 
 # Kinds of negatives and their shares.
 NEGATIVE_SHARES = {"unwarranted_refusal": 0.30, "format_violation": 0.25, "incorrect_factual": 0.20, "off_topic": 0.15, "verbose_vague": 0.10}
@@ -190,14 +191,71 @@ def pick(options: Sequence[str], key: Column, seed: int) -> Column:
     return F.element_at(F.array(*[F.lit(o) for o in options]), at)
 
 
+def _with_places(templates: DataFrame, fillers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Templates with their pieces of text (_pieces), the names of the places between them (_names), the numbers of
+    fillers of each name (_sizes) and of combinations (_total); and fillers with their number within the name (_at, from
+    0, by value). Templates without a place, or with a name that has no filler, are left out."""
+    rows = scanned(fillers.where("name IS NOT NULL AND value IS NOT NULL").select("name", "value").distinct(), ["name", "value"], name="_rank")
+    sizes = rows.groupBy("name").agg(F.min("_rank").alias("_first"), F.count("*").alias("_n"))
+    numbered = rows.join(sizes, "name").select("name", "value", (F.col("_rank") - F.col("_first")).alias("_at"))
+    t = templates.select("template_id", "template", F.split("template", r"\{\w+\}").alias("_pieces"), F.regexp_extract_all("template", F.lit(r"\{(\w+)\}")).alias("_names")).where(F.size("_names") > 0)
+    each = t.select("template_id", F.posexplode("_names").alias("_place", "name")).join(sizes.select("name", "_n"), "name")
+    found = each.groupBy("template_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", "_n"))), lambda x: x["_n"]).alias("_sizes"))
+    t = t.join(found, "template_id").where(F.size("_sizes") == F.size("_names"))
+    return t.withColumn("_total", F.aggregate("_sizes", F.lit(1).cast("decimal(38,0)"), lambda acc, n: (acc * n).cast("decimal(38,0)"))), numbered
+
+
+def _filled(chosen: DataFrame, numbered: DataFrame, most: int) -> DataFrame:
+    """chosen (templates with _k) with their text: the digits of k, in the mixed radix of the places' sizes, number the
+    fillers. One join for each place."""
+    rows = chosen.withColumn("_text", F.element_at("_pieces", 1)).withColumn("_left", F.col("_k"))
+    for place in range(most):
+        size = F.try_element_at("_sizes", F.lit(place + 1))
+        rows = rows.withColumn("_digit", F.pmod("_left", size).cast("long")).withColumn("_name", F.try_element_at("_names", F.lit(place + 1)))
+        rows = rows.withColumn("_left", F.coalesce(F.expr(f"_left div try_element_at(_sizes, {place + 1})"), F.col("_left")))
+        f = numbered.select(F.col("name").alias("_name"), F.col("_at").alias("_digit"), "value")
+        rows = rows.join(f, ["_name", "_digit"], "left")
+        piece = F.coalesce(F.try_element_at("_pieces", F.lit(place + 2)), F.lit(""))
+        rows = rows.withColumn("_text", F.when(size.isNotNull(), F.concat("_text", "value", piece)).otherwise(F.col("_text"))).drop("value")
+    return rows.select("template_id", F.col("_k").alias("k"), F.col("_text").alias("instruction"))
+
+
+#: The most places of a template, and combinations that are enumerated in one row's stretch.
+MOST_PLACES, STRETCH = 8, 4096
+
+
+def _places(t: DataFrame) -> int:
+    most = t.agg(F.max(F.size("_names"))).first()[0] or 0
+    if most > MOST_PLACES:
+        raise ValueError(f"a template has {most} places, {MOST_PLACES} at most can be filled")
+    return most
+
+
 def fill_templates(templates: DataFrame, fillers: DataFrame) -> DataFrame:
-    """templates (template_id, template) with a {name} each, and fillers (name, value): every combination, as
-    (template_id, name, value, instruction). Joined on the placeholder's name; the first occurrence is replaced."""
-    t = templates.withColumn("name", F.regexp_extract("template", r"\{(\w+)\}", 1)).where("name <> ''")
-    mark = F.concat(F.lit("{"), F.col("name"), F.lit("}"))
-    at = F.instr(F.col("template"), "{")
-    filled = F.concat(F.substring("template", F.lit(1), at - 1), F.col("value"), F.substring("template", at + F.length(mark), F.length("template")))
-    return t.join(fillers, "name").select("template_id", "name", "value", filled.alias("instruction"))
+    """templates (template_id, template) with any number of {name} places, and fillers (name, value): every combination
+    once, as (template_id, k, instruction). The k-th one (from 0) comes from arithmetic on k: its digit for the first
+    place runs fastest, and fillers of a name are in order of their values. A name that stands twice is two places."""
+    t, numbered = _with_places(templates, fillers)
+    t = kept(t, "templates")
+    # of a template with very many combinations the numbers are dealt in stretches
+    long = t.withColumn("_base", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"CAST((_total - 1) div {STRETCH} AS BIGINT)"))))
+    ends = F.least(F.col("_total").cast("long"), (F.col("_base") + 1) * STRETCH) - 1
+    chosen = long.withColumn("_k", F.explode(F.sequence(F.col("_base") * STRETCH, ends)))
+    return _filled(chosen.drop("_base"), numbered, _places(t))
+
+
+def draw_templates(templates: DataFrame, fillers: DataFrame, count: int, start: int = 0) -> DataFrame:
+    """(template_id, k, instruction): of each template count different combinations (all, where there are fewer), spread
+    over all of them: k is start + i * step modulo their number, and the step shares no divisor with it. Their number may
+    be any below 2**62; nothing is enumerated but what is drawn."""
+    t, numbered = _with_places(templates, fillers)
+    t = kept(t, "templates")
+    step = F.lit(STEPS[-1])
+    for prime in reversed(STEPS[:-1]):
+        step = F.when(F.col("_total") % prime != 0, prime).otherwise(step)
+    rows = t.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(count).cast("decimal(38,0)"), F.col("_total")).cast("long") - 1)))
+    at = (F.col("_i").cast("decimal(19,0)") * step.cast("decimal(10,0)") + start).cast("decimal(38,0)")
+    return _filled(rows.withColumn("_k", F.pmod(at, F.col("_total")).cast("long")), numbered, _places(t))
 
 
 def cycle_pool(spark: SparkSession, pool: Sequence[str], count: int, kind: str) -> DataFrame:

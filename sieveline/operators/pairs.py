@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import DPO_PROMPTS, dpo_prompt, first_paragraph, strip
+from ..sources.files import kept
+from .ranking import STEPS, draw_key, scanned
 
 
 def turn_pairs(turns: DataFrame) -> DataFrame:
@@ -134,3 +136,21 @@ def prompt_variants(df: DataFrame, instruction: str) -> DataFrame:
     """df with one row for each prompt format."""
     forms = F.array(*[F.struct(F.lit(v).alias("variant"), dpo_prompt(F.col(instruction), v).alias("prompt")) for v in DPO_PROMPTS])
     return df.withColumn("_f", F.explode(forms)).select("*", "_f.*").drop("_f")
+
+
+def drawn_examples(targets: DataFrame, key: str, pool: DataFrame, order: Sequence[str], k: int = 3, seed: int = 42) -> DataFrame:
+    """targets with examples: k different rows of the pool (all, where it has fewer) as an array of structs, drawn by the
+    hash of key. The pool is numbered in order; a row's draws are steps of one prime, modulo the pool's size, from where
+    its hash points: different, evenly spread over the pool, and found by joins on numbers. No pool is collected."""
+    numbered = kept(scanned(pool, list(order), name="_at"), "pool")
+    n = numbered.count()
+    if not n:
+        return targets.withColumn("examples", F.array().cast(f"array<{pool.schema.simpleString()}>"))
+    step = next(p for p in STEPS if n % p)
+    rows = kept(targets.withColumn("_row", F.monotonically_increasing_id()), "targets")
+    start = F.pmod(F.conv(F.substring(draw_key(F.col(key), seed), 1, 8), 16, 10).cast("long"), F.lit(n))
+    draws = rows.select("_row", start.alias("_start"), F.explode(F.sequence(F.lit(0), F.lit(min(k, n) - 1))).alias("_place"))
+    draws = draws.withColumn("_at", F.pmod(F.col("_start") + F.col("_place") * F.lit(step).cast("long"), F.lit(n)) + 1)
+    found = draws.join(numbered.select("_at", F.struct(*pool.columns).alias("_example")), "_at")
+    shots = found.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", "_example"))), lambda x: x["_example"]).alias("examples"))
+    return rows.join(shots, "_row").drop("_row")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import rate
 from ..functions.text import END, HASHES, RUNAWAY_BASE, RUNAWAY_CHAT, TOKEN_PROXIES, is_runaway, is_truncated, leaks_delimiter, strip
+from ..sources.files import kept
+from .quantiles import exact_quantiles
 
 
 @dataclass(frozen=True)
@@ -46,13 +48,25 @@ def qc_columns(response: Column, rules: Rules) -> dict[str, Column]:
     }
 
 
+def with_quantiles(summary: DataFrame, rows: DataFrame, value: Column, probabilities: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """summary, one row for each group of by, with quantiles: an array, null where a group has no values."""
+    found = exact_quantiles(rows, value, probabilities, by)
+    found = found.withColumnsRenamed({c: f"_q{i}" for i, c in enumerate(by)})
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_q{i}"))
+    return summary.join(found, same, "left").drop(*[f"_q{i}" for i in range(len(by))])
+
+
 def qc_summary(df: DataFrame, response: str, variant: str = "repair", by: Sequence[str] = (), instruction_good: Column | None = None, pair_good: Column | None = None) -> DataFrame:
-    """One pass over the rows: counts, token statistics and rates, for each group of by. Statistics of nothing are 0.
+    """Counts, token statistics and rates, for each group of by. Statistics of nothing are 0. Texts are read once: their
+    figures are written as a narrow table, from which counts and exact quantiles are taken.
 
     instruction_good and pair_good: critic verdicts, where there are any (null counts as missing).
     """
     rules = RULES[variant]
     rows = df.select(*by, *[c.alias(n) for n, c in qc_columns(F.col(response), rules).items()], *[(g if g is not None else F.lit(None).cast("boolean")).alias(n) for n, g in (("instruction_good", instruction_good), ("pair_good", pair_good))])
+    rows = kept(rows, "qc")
     out = rows.groupBy(*by).agg(
         F.count("*").alias("total"),
         F.count_if("runaway").alias("n_runaway"),
@@ -63,18 +77,18 @@ def qc_summary(df: DataFrame, response: str, variant: str = "repair", by: Sequen
         F.count("instruction_good").alias("n_instructions_judged"),
         F.count_if("pair_good").alias("n_pairs_good"),
         F.count("pair_good").alias("n_pairs_judged"),
-        F.percentile("tokens", F.array(F.lit(0.5), F.lit(0.95))).alias("_p"),
         F.avg("tokens").alias("_mean"),
         F.min("tokens").alias("_min"),
         F.max("tokens").alias("_max"),
     )
+    out = with_quantiles(out, rows, F.col("tokens"), (0.5, 0.95), by)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     out = out.select(
         *by,
         "total",
         *[c for c in out.columns if c.startswith("n_")],
-        zero(F.try_element_at("_p", F.lit(1))).alias("median_tokens"),
-        zero(F.try_element_at("_p", F.lit(2))).alias("p95_tokens"),
+        zero(F.try_element_at("quantiles", F.lit(1))).alias("median_tokens"),
+        zero(F.try_element_at("quantiles", F.lit(2))).alias("p95_tokens"),
         zero(F.col("_mean")).alias("mean_tokens"),
         F.coalesce("_min", F.lit(0)).cast("long").alias("min_tokens"),
         F.coalesce("_max", F.lit(0)).cast("long").alias("max_tokens"),
@@ -121,8 +135,9 @@ def acceptance(verdicts: DataFrame, kind: str, verdict: str, exclusive: bool = F
 
 def margin_stats(verdicts: DataFrame, kind: str, margin: Column) -> DataFrame:
     """(kind, n, mean, p25, median, p75) of critic margins."""
-    out = verdicts.select(kind, margin.cast("double").alias("m")).groupBy(kind).agg(F.count("m").alias("n"), F.avg("m").alias("mean"), F.percentile("m", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    return out.select(kind, "n", "mean", *[F.try_element_at("q", F.lit(i + 1)).alias(x) for i, x in enumerate(("p25", "median", "p75"))])
+    rows = verdicts.select(kind, margin.cast("double").alias("m"))
+    out = with_quantiles(rows.groupBy(kind).agg(F.count("m").alias("n"), F.avg("m").alias("mean")), rows, F.col("m"), (0.25, 0.5, 0.75), [kind])
+    return out.select(kind, "n", "mean", *[F.try_element_at("quantiles", F.lit(i + 1)).alias(x) for i, x in enumerate(("p25", "median", "p75"))])
 
 
 def margin_histogram(verdicts: DataFrame, margin: Column, low: float, high: float, bins: int) -> DataFrame:
@@ -132,9 +147,11 @@ def margin_histogram(verdicts: DataFrame, margin: Column, low: float, high: floa
 
 def sample_qc(df: DataFrame, cleaned: Column) -> DataFrame:
     """Percentages of cleaning outcomes (of text.layered_cleanup) and the verdict on a sample."""
-    c = df.select(cleaned.alias("c"))
-    pct = lambda f: 100 * rate(F.count_if(F.col(f"c.{f}")), F.count("*"))
-    out = c.agg(F.count("*").alias("n"), pct("delimiter_found").alias("delimiter_pct"), pct("heuristic_cutoff").alias("cutoff_pct"), pct("hit_token_limit").alias("limit_pct"), F.count_if("c.forbidden_markers").alias("n_forbidden"), F.coalesce(F.median(F.length("c.text") / 4), F.lit(0.0)).alias("median_tokens"))
+    c = kept(df.select(cleaned.alias("c")).select(*[F.col(f"c.{f}") for f in ("delimiter_found", "heuristic_cutoff", "hit_token_limit", "forbidden_markers")], (F.length("c.text") / 4).alias("tokens")), "sample")
+    pct = lambda f: 100 * rate(F.count_if(F.col(f)), F.count("*"))
+    out = c.agg(F.count("*").alias("n"), pct("delimiter_found").alias("delimiter_pct"), pct("heuristic_cutoff").alias("cutoff_pct"), pct("hit_token_limit").alias("limit_pct"), F.count_if("forbidden_markers").alias("n_forbidden"))
+    out = with_quantiles(out, c, F.col("tokens"), (0.5,))
+    out = out.withColumn("median_tokens", F.coalesce(F.try_element_at("quantiles", F.lit(1)), F.lit(0.0))).drop("quantiles")
     return out.withColumn("passed", (F.col("delimiter_pct") >= 80) & (F.col("limit_pct") < 10) & (F.col("median_tokens") < 40) & (F.col("n_forbidden") == 0))
 
 

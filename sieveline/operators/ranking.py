@@ -1,4 +1,10 @@
-"""Global ranks without one task that sees all rows, and what follows from them."""
+"""Global ranks without one task that sees all rows, and what follows from them.
+
+Ranks and running totals over one order are a scan of several levels: rows are dealt to ranges of the order and sorted
+there, and written with their range and place; totals of ranges are added up over the ranges, of which there are as many
+as partitions of a shuffle; a row's value is its own within the range and what the ranges before add up to. Ranges are
+cut by the rows themselves, so it makes no difference how ids are spread.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +13,38 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import kept
+
+PART, PLACE = "_part", "_place"
+# Primes; the first that doesn't divide a number steps through all places below it.
+STEPS = (999_999_937, 999_999_929, 999_999_893)
+
+
+def in_ranges(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """df in sorted ranges of the order, written, with the number of the range and the place in it (both from 0). Rows
+    that are equal in the order can be split over ranges."""
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    rows = df.withColumn("_tie", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(parts, *keys, F.col("_tie")).sortWithinPartitions(*keys, F.col("_tie")).drop("_tie")
+    # an id's upper part is the number of the partition, the lower one the place there
+    rows = kept(rows.withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    return rows.withColumn(PART, F.shiftright("_at", 33)).withColumn(PLACE, F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at")
+
+
+def scanned(df: DataFrame, order: Sequence[Column | str], sums: dict[str, Column] | None = None, name: str = "rank") -> DataFrame:
+    """df with its place (from 1) in the order and, for each of sums, the total of its values up to and with the row."""
+    sums = sums or {}
+    rows = in_ranges(df.withColumns(sums), order)
+    totals = rows.groupBy(PART).agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_t{i}") for i, c in enumerate(sums)])
+    # one row for each range
+    before = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(PART, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in totals.columns[1:]])
+    so_far = Window.partitionBy(PART).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.join(F.broadcast(totals), PART).withColumn(name, F.col("_n_before") + F.col(PLACE) + 1)
+    rows = rows.withColumns({c: F.col(f"_t{i}_before") + F.coalesce(F.sum(c).over(so_far), F.lit(0)) for i, c in enumerate(sums)})
+    return rows.drop(PART, PLACE, "_n_before", *[f"_t{i}_before" for i in range(len(sums))])
+
 
 def ranked(df: DataFrame, bucket: Column, order: Sequence[Column | str], name: str = "rank") -> DataFrame:
     """df with its place (from 1) in the order (bucket, order). Buckets are ranked alone and shifted by the counts of
@@ -19,9 +57,9 @@ def ranked(df: DataFrame, bucket: Column, order: Sequence[Column | str], name: s
     return df.withColumn("_within", within).join(counts, "_bucket").withColumn(name, F.col("_before") + F.col("_within")).drop("_bucket", "_before", "_within")
 
 
-def by_id(df: DataFrame, key: str, name: str = "rank", width: int = 1 << 16) -> DataFrame:
-    """Ranked by a whole-number id, in buckets of width ids."""
-    return ranked(df, F.floor(F.col(key) / width), [key], name)
+def by_id(df: DataFrame, key: str, name: str = "rank") -> DataFrame:
+    """Ranked by an id of any kind, however its values are spread."""
+    return scanned(df, [key], name=name)
 
 
 def draw_key(key: Column, seed: int) -> Column:
@@ -116,12 +154,9 @@ def distinct_draws(key: Column, names: Sequence[str], k: Column | int, seed: int
 
 
 def progress(df: DataFrame, key: str, value: Column, every: int = 50) -> DataFrame:
-    """(rank, rate): the mean of value over the rows so far, at each every-th row. Totals of stretches come first, so
-    only those meet in one task."""
-    r = by_id(df.withColumn("_v", value.cast("double")), key, "rank").withColumn("_stretch", F.ceil(F.col("rank") / every))
-    sums = r.groupBy("_stretch").agg(F.sum("_v").alias("_s"), F.count("*").alias("_n"), F.max("rank").alias("rank"))
-    so_far = Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return sums.select("rank", (F.sum("_s").over(so_far) / F.sum("_n").over(so_far)).alias("rate")).where(F.col("rank") % every == 0)
+    """(rank, rate): the mean of value over the rows so far, at each every-th row."""
+    rows = scanned(df.select(key, value.cast("double").alias("_v")), [key], {"_sum": F.col("_v"), "_count": F.col("_v").isNotNull().cast("long")})
+    return rows.where(F.col("rank") % every == 0).select("rank", F.try_divide(F.col("_sum"), F.col("_count")).alias("rate"))
 
 
 def sorted_output(df: DataFrame, *keys: str) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scorers, stats, text
-from ..operators import capability, conversation, dedup, evaluate, generate, leakage, models, pairs, qc, ranking, validate
+from ..operators import bootstrap, capability, collate, conversation, dedup, evaluate, generate, leakage, models, pairs, qc, ranking, step_up, validate
 from ..sources import files
 from ..streaming import dedup as streaming
 from . import sql as q
@@ -17,6 +18,9 @@ from .views import OUTCOMES, PROBES, VERDICTS, table, view
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: Checks of fixed values and of small helpers, with the same result as VALUES in SQL. They read no table and are no
+#: queries; tests run them.
+FIXED: dict[str, tuple[Query, str]] = {}
 
 
 def query(oracle: str | None = None) -> Callable[[Query], Query]:
@@ -29,6 +33,14 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def fixed(oracle: str) -> Callable[[Query], Query]:
+    def note(f: Query) -> Query:
+        FIXED[f.__name__] = (f, oracle)
+        return f
+
+    return note
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
@@ -271,6 +283,35 @@ def loss_masks(spark, d):
     return probes(spark, d).select("doc_id", text.loss_mask(ids, F.lit(3)).alias("labels"), F.size(ids).cast("long").alias("n"))
 
 
+_SAID = """SELECT conv_id, string_agg('<|' || coalesce(role, '') || '|> : ' || coalesce(text, ''), chr(10) ORDER BY turn, role, text) AS t FROM conversations GROUP BY conv_id"""
+
+
+def _word_id(x: str) -> str:
+    return f"CAST(CAST('0x' || md5({x})[1:6] AS BIGINT) AS INT)"
+
+
+@query(f"""WITH w AS (SELECT conv_id, {q.words('t')} AS w FROM ({_SAID})), i AS (SELECT conv_id, len(w) AS n, list_transform(w, lambda x: {_word_id('x')}) AS ids,
+  coalesce(list_position(list_transform(range(1, len(w)), lambda k: w[k] = '<|assistant|>' AND w[k + 1] = ':'), true) + 1, 2) AS cut FROM w WHERE len(w) > 0),
+c AS (SELECT *, CAST(pow(2, greatest(length(bin(n)) - 4, 0)) AS BIGINT) AS width FROM i), k AS (SELECT *, CAST(ceil(n / width) AS BIGINT) * width AS batch_class FROM c),
+b AS (SELECT *, (row_number() OVER (PARTITION BY batch_class ORDER BY conv_id) - 1) // greatest(2048 // batch_class, 1) AS batch FROM k),
+p AS (SELECT *, max(n) OVER (PARTITION BY batch_class, batch) AS longest FROM b)
+SELECT conv_id, CAST(batch_class AS INT) AS batch_class, CAST(batch AS BIGINT) AS batch, CAST(longest AS INT) AS longest,
+  md5(array_to_string(list_concat(ids, list_transform(range(0, longest - n), lambda z: 0)), ',')) AS ids,
+  md5(array_to_string(list_concat(list_transform(ids, lambda x, j: CASE WHEN j <= cut THEN -100 ELSE x END), list_transform(range(0, longest - n), lambda z: -100)), ',')) AS labels FROM p""")
+def token_batches(spark, d):
+    """Whole conversations as token ids, labels up to the first assistant's mark ignored, in batches of 2,048 tokens."""
+    turn = F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|> : "), F.coalesce("text", F.lit("")))
+    said = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", turn.alias("said")))).alias("t"))
+    number = lambda x: F.conv(F.substring(F.md5(x), 1, 6), 16, 10).cast("int")
+    ids = F.transform(text.words(F.array_join(F.transform("t", lambda x: x["said"]), "\n")), number)
+    rows = said.select("conv_id", ids.alias("ids")).withColumn("n", F.size("ids"))
+    marker = [int(hashlib.md5(x.encode()).hexdigest()[:6], 16) for x in ("<|assistant|>", ":")]
+    rows = rows.withColumn("labels", collate.marker_labels(F.col("ids"), (marker[0], marker[1]), F.lit(2)))
+    out = collate.collated(collate.token_batches(rows, "n", "conv_id", 2048), "ids", "labels")
+    joined = lambda c: F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), ",")).alias(c)
+    return out.select("conv_id", "batch_class", "batch", "longest", joined("ids"), joined("labels"))
+
+
 # Critic verdicts
 
 V = f"(SELECT *, logp_a > logp_b AS is_good, abs(logp_a - logp_b) AS margin, abs(logp_a - logp_b) >= 10 AS confident FROM ({VERDICTS}))"
@@ -417,6 +458,16 @@ def ngram_leakage(spark, d):
     return rounded(leakage.ngram_leakage(docs(spark, d), table(spark, d, "benchmark")))
 
 
+_PLACED = "SELECT {0}, unnest(range(0, greatest(len(w) - 7, 0))) AS i, w FROM (SELECT {0}, " + q.words("lower(text)") + " AS w FROM {1})"
+
+
+@query(f"""WITH d AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 8], ' ') AS g FROM ({_PLACED.format("doc_id", "documents")})), b AS (SELECT item_id, i, array_to_string(w[i + 1:i + 8], ' ') AS g FROM ({_PLACED.format("item_id", "benchmark")})),
+h AS (SELECT doc_id, item_id, d.i AS x, b.i AS y, d.i - row_number() OVER (PARTITION BY doc_id, item_id, d.i - b.i ORDER BY d.i) AS island FROM d JOIN b USING (g))
+SELECT doc_id, item_id, CAST(min(x) AS INT) AS doc_begin, CAST(min(y) AS INT) AS item_begin, CAST(count(*) + 7 AS INT) AS n_words FROM h GROUP BY doc_id, item_id, x - y, island""")
+def leak_spans(spark, d):
+    return leakage.leak_spans(docs(spark, d), table(spark, d, "benchmark"))
+
+
 # Scorers
 
 
@@ -785,9 +836,64 @@ def success_gate(spark, d):
     return rounded(evaluate.success_gate(view(spark, d, OUTCOMES).select((F.col("b") == 1).alias("success"))))
 
 
-@query()
+def _bootstrap_sql(by: str, samples: int) -> str:
+    """Weights by the same counters; the limits are 2^32 times the cumulative shares of Poisson(1), rounded down."""
+    group, keys = (f"GROUP BY {by}", f"{by}, ") if by else ("", "")
+    mix = lambda x: f"((xor({x} >> 16, {x}) * 73244475) & 4294967295)"
+    return f"""
+WITH h AS (SELECT {keys}CAST(b - a AS DOUBLE) AS lift, md5('42:' || doc_id) AS m FROM ({OUTCOMES})),
+c AS (SELECT {keys}lift, i, (CAST('0x' || m[1:8] AS BIGINT) + i * (CAST('0x' || m[9:16] AS BIGINT) | 1)) & 4294967295 AS x FROM h, range(-1, {samples}) r(i)),
+y AS (SELECT {keys}lift, i, {mix("x")} AS y FROM c), z AS (SELECT {keys}lift, i, {mix("y")} AS z FROM y), u AS (SELECT {keys}lift, i, xor(z >> 16, z) AS u FROM z),
+w AS (SELECT {keys}lift, i, CASE WHEN i < 0 THEN 1 WHEN u < 1580030168 THEN 0 WHEN u < 3160060337 THEN 1 WHEN u < 3950075421 THEN 2 WHEN u < 4213413783 THEN 3 WHEN u < 4279248373 THEN 4 WHEN u < 4292415291 THEN 5
+  WHEN u < 4294609777 THEN 6 WHEN u < 4294923276 THEN 7 WHEN u < 4294962463 THEN 8 WHEN u < 4294966817 THEN 9 WHEN u < 4294967252 THEN 10 WHEN u < 4294967292 THEN 11 WHEN u < 4294967295 THEN 12 ELSE 13 END AS w FROM u),
+s AS (SELECT {keys}i, sum(w * lift) / nullif(sum(w), 0) AS s FROM w GROUP BY {keys}i)
+SELECT {keys}round(max(s) FILTER (i < 0), 6) AS estimate, round(avg(s) FILTER (i >= 0), 6) AS mean, round(quantile_cont(s, 0.025) FILTER (i >= 0), 6) AS low, round(quantile_cont(s, 0.975) FILTER (i >= 0), 6) AS high FROM s {group}"""
+
+
+@query(_bootstrap_sql("", 2000))
 def bootstrap_lift(spark, d):
-    return evaluate.bootstrap_lift(view(spark, d, OUTCOMES), "a", "b", samples=2000)
+    return rounded(bootstrap.bootstrap_lift(view(spark, d, OUTCOMES), "doc_id", "a", "b", samples=2000))
+
+
+@query(_bootstrap_sql("type", 1000))
+def bootstrap_by_type(spark, d):
+    return rounded(bootstrap.bootstrap_lift(view(spark, d, OUTCOMES), "doc_id", "a", "b", samples=1000, by=["type"]))
+
+
+@query("SELECT event_type, count(value) AS n, round(quantile_cont(value, 0.01), 6) AS p01, round(median(value), 6) AS median, round(quantile_cont(value, 0.999), 6) AS p999 FROM events GROUP BY ROLLUP (event_type)")
+def value_quantiles(spark, d):
+    """Exact quantiles of doubles, most of them distinct, of each type of event and of all (null)."""
+    e = table(spark, d, "events")
+    out = None
+    for by in (["event_type"], []):
+        one = e.groupBy(*by).agg(F.count("value").alias("n"))
+        one = qc.with_quantiles(one, e, F.col("value"), (0.01, 0.5, 0.999), by)
+        one = one.select(F.col("event_type") if by else F.lit(None).cast("string").alias("event_type"), "n", *[F.col("quantiles")[i].alias(x) for i, x in enumerate(("p01", "median", "p999"))])
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
+
+
+_RETURNS = "SELECT l_partkey AS k, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS x FROM lineitem GROUP BY l_partkey"
+
+
+@query(f"""WITH c AS (SELECT k, n, x, pow(x - n * 0.25, 2) / (n * 0.1875) AS chi2 FROM ({_RETURNS})), t AS (SELECT k, n, x, round({q.chi2_p('chi2')}, 9) AS p FROM c),
+r AS (SELECT *, row_number() OVER (ORDER BY p, k) AS rank, count(*) OVER () AS m FROM t), u AS (SELECT *, rank / m * 0.1 AS threshold, least(1.0, min(p * m / rank) OVER (ORDER BY rank DESC ROWS UNBOUNDED PRECEDING)) AS p_adjusted FROM r)
+SELECT k, n, x, round(p, 6) AS p, rank, round(threshold, 6) AS threshold, round(p_adjusted, 6) AS p_adjusted, coalesce(rank <= max(CASE WHEN p <= threshold THEN rank END) OVER (), false) AS significant, p <= threshold AS significant_per_rank FROM u""")
+def part_tests(spark, d):
+    """A test for each part: whether its share of returned lines is a quarter."""
+    c = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("k")).agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("x"))
+    p = F.round(stats.chi2_p(F.pow(F.col("x") - F.col("n") * 0.25, F.lit(2)) / (F.col("n") * 0.1875)), 9)
+    return rounded(step_up.step_up(c.withColumn("p", p), "p", "k"))
+
+
+HASHED = "CAST('0x' || md5(CAST(doc_id AS VARCHAR))[1:15] AS BIGINT)"
+
+
+@query(f"""SELECT doc_id, row_number() OVER (ORDER BY {HASHED}) AS rank, CAST(sum(n_chars) OVER (ORDER BY {HASHED} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS chars FROM documents""")
+def hashed_places(spark, d):
+    """Places and running totals in the order of ids that are spread over all of 60 bits."""
+    x = docs(spark, d).select("doc_id", "n_chars", F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 15), 16, 10).cast("long").alias("h"))
+    return ranking.scanned(x, ["h"], {"chars": F.col("n_chars")}).select("doc_id", "rank", "chars")
 
 
 @query(f"""WITH o AS (SELECT doc_id, a, row_number() OVER (ORDER BY doc_id) AS rank, avg(a) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS rate FROM ({OUTCOMES}))
@@ -852,6 +958,25 @@ def turn_pairs(spark, d):
     return pairs.turn_pairs(table(spark, d, "conversations"))
 
 
+@query(f"""WITH p AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS i, count(*) OVER () AS n FROM ({TURN_PAIRS})),
+s AS (SELECT conv_id, turn, text, CAST('0x' || md5('42:' || conv_id || ':' || turn)[1:8] AS BIGINT) AS h FROM conversations WHERE role = 'user'),
+d AS (SELECT s.*, k, (h % (SELECT max(n) FROM p) + k * 999999937) % (SELECT max(n) FROM p) AS i FROM s, range(0, 3) r(k) WHERE k < (SELECT max(n) FROM p))
+SELECT d.conv_id, d.turn, md5(string_agg('Instruction: ' || instruction || chr(10) || 'Response: ' || response || '###END###' || chr(10), chr(10) ORDER BY k) || chr(10) || 'Instruction: ' || any_value(text) || chr(10) || 'Response:') AS prompt
+FROM d JOIN p USING (i) GROUP BY d.conv_id, d.turn""")
+def few_shot_prompts(spark, d):
+    """Each user turn behind three examples, drawn by its hash from all pairs of turns."""
+    t = table(spark, d, "conversations")
+    asked = t.where("role = 'user'").select("conv_id", "turn", "text", F.concat_ws(":", "conv_id", "turn").alias("key"))
+    out = pairs.drawn_examples(asked, "key", pairs.turn_pairs(t), ["conv_id", "turn"])
+    return out.select("conv_id", "turn", F.md5(text.few_shot_prompt(F.col("examples"), F.col("text"), before_end="")).alias("prompt"))
+
+
+@query(f"""SELECT doc_id, md5('Instruction: ' || instruction || chr(10) || 'Draft: ' || string_split(response, chr(10) || chr(10))[1] || chr(10) || 'Critique: too long by ' || length(response) || chr(10) || 'Better response:') AS prompt FROM ({PROBES})""")
+def improvement_prompts(spark, d):
+    critique = F.concat(F.lit("too long by "), F.length("response").cast("string"))
+    return probes(spark, d).select("doc_id", F.md5(text.improvement_prompt(I(), R(), critique)).alias("prompt"))
+
+
 KINDS = list(generate.NEGATIVE_SHARES)
 
 
@@ -954,21 +1079,40 @@ def logprob_fan_out(spark, d):
     return pairs.fan_out(p).select("id", "source", "chosen", "rejected")
 
 
-@query("""SELECT n_nationkey AS template_id, name, value, replace(template, '{' || name || '}', value) AS instruction FROM (SELECT n_nationkey, CASE n_nationkey % 2 WHEN 0 THEN 'Describe {place} in ' ELSE 'Why is {thing} in ' END || n_name AS template, CASE n_nationkey % 2 WHEN 0 THEN 'place' ELSE 'thing' END AS name FROM nation)
-JOIN (VALUES ('place', 'a city'), ('place', 'the sea'), ('thing', 'tea')) f(name, value) USING (name)""")
-def template_fill(spark, d):
-    even = F.col("n_nationkey") % 2 == 0
-    t = table(spark, d, "nation").select(F.col("n_nationkey").alias("template_id"), F.concat(F.when(even, "Describe {place} in ").otherwise("Why is {thing} in "), F.col("n_name")).alias("template"))
-    fillers = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(a).alias("name"), F.lit(b).alias("value")) for a, b in (("place", "a city"), ("place", "the sea"), ("thing", "tea"))])))
-    return generate.fill_templates(t, fillers)
+FILLERS = """SELECT DISTINCT 'nation' AS name, n_name AS value FROM nation UNION ALL SELECT DISTINCT 'brand', p_brand FROM part UNION ALL SELECT DISTINCT 'maker', p_type FROM part UNION ALL SELECT DISTINCT 'supplier', s_name FROM supplier"""
 
 
-@query("SELECT 'qa_' || i AS id, ['one', 'two', 'three'][i % 3 + 1] AS instruction, 'qa' AS instruction_type, CAST(i % 3 AS INT) AS pool_index FROM range(0, 10) r(i)")
+@query(f"""WITH f AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY name) AS n FROM ({FILLERS})), t AS (SELECT r_regionkey AS template_id FROM region),
+o AS (SELECT * FROM f WHERE name = 'nation'), b AS (SELECT * FROM f WHERE name = 'brand')
+SELECT template_id, x.i + x.n * (b.i + b.n * z.i) AS k, 'Does ' || x.value || ' buy ' || b.value || ' from ' || z.value || '?' AS instruction FROM t, o x, b, o z WHERE template_id % 3 = 0
+UNION ALL SELECT template_id, i, value || ': who is it?' FROM t, f WHERE template_id % 3 = 1 AND name = 'supplier'
+UNION ALL SELECT template_id, i, 'Name ' || value || ' parts' FROM t, f WHERE template_id % 3 = 2 AND name = 'maker'""")
+def template_fill(spark, d):
+    """Every combination of fillers in templates of one to three places."""
+    kind = F.col("r_regionkey") % 3
+    text_ = F.when(kind == 0, "Does {nation} buy {brand} from {nation}?").when(kind == 1, "{supplier}: who is it?").otherwise("Name {maker} parts")
+    templates = table(spark, d, "region").select(F.col("r_regionkey").alias("template_id"), text_.alias("template"))
+    return generate.fill_templates(templates, view(spark, d, FILLERS))
+
+
+@query("""WITH f AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT p_name AS value FROM part)),
+t AS (SELECT any_value(n) AS n, CAST(any_value(n) AS HUGEINT) * any_value(n) * any_value(n) AS total FROM f),
+k AS (SELECT n, (CAST(r AS HUGEINT) * CASE WHEN total % 999999937 <> 0 THEN 999999937 WHEN total % 999999929 <> 0 THEN 999999929 ELSE 999999893 END + 11) % total AS k FROM t, range(0, 400) x(r))
+SELECT 0 AS template_id, CAST(k AS BIGINT) AS k, 'Compare ' || a.value || ', ' || b.value || ' and ' || c.value AS instruction
+FROM k JOIN f a ON a.i = k % k.n JOIN f b ON b.i = k // k.n % k.n JOIN f c ON c.i = k // (k.n * k.n)""")
+def template_draws(spark, d):
+    """Different combinations of three names of parts each, of all that there are."""
+    t = spark.range(1).select(F.lit(0).alias("template_id"), F.lit("Compare {part}, {part} and {part}").alias("template"))
+    names = table(spark, d, "part").select(F.lit("part").alias("name"), F.col("p_name").alias("value"))
+    return generate.draw_templates(t, names, 400, start=11)
+
+
+@fixed("SELECT 'qa_' || i AS id, ['one', 'two', 'three'][i % 3 + 1] AS instruction, 'qa' AS instruction_type, CAST(i % 3 AS INT) AS pool_index FROM range(0, 10) r(i)")
 def pool_cycle(spark, d):
     return generate.cycle_pool(spark, ("one", "two", "three"), 10, "qa")
 
 
-@query("SELECT i AS shard_id, i + 100 AS seed, 333 AS count FROM range(0, 3) r(i)")
+@fixed("SELECT i AS shard_id, i + 100 AS seed, 333 AS count FROM range(0, 3) r(i)")
 def shard_plan(spark, d):
     return generate.shard_plan(spark, 1000, 3, 100)
 
@@ -1028,9 +1172,9 @@ def validate_sft(spark, d):
 
 
 @query(f"""SELECT doc_id, list_filter([CASE WHEN c = r THEN 'identical chosen and rejected' END, CASE WHEN length({q.strip('c')}) < 3 THEN 'chosen too short' END, CASE WHEN length({q.strip('r')}) < 3 THEN 'rejected too short' END, CASE WHEN NOT starts_with(instruction, 'Instruction:') THEN 'no instruction prefix' END], lambda x: x IS NOT NULL) AS violations
-FROM (SELECT *, response AS c, CASE WHEN doc_id % 3 = 0 THEN response ELSE substr(response, 1, 2) END AS r FROM ({PROBES}))""")
+FROM (SELECT *, response AS c, CASE WHEN doc_id % 3 = 0 THEN response WHEN source = 'crafted' THEN ' no' ELSE 'Worse: ' || response END AS r FROM ({PROBES}))""")
 def validate_pairs(spark, d):
-    p = probes(spark, d).withColumn("prompt", I()).withColumn("chosen", R()).withColumn("rejected", F.when(F.col("doc_id") % 3 == 0, R()).otherwise(F.substring("response", 1, 2)))
+    p = probes(spark, d).withColumn("prompt", I()).withColumn("chosen", R()).withColumn("rejected", F.when(F.col("doc_id") % 3 == 0, R()).when(F.col("source") == "crafted", " no").otherwise(F.concat(F.lit("Worse: "), R())))
     return validate.preference_pairs(p, "prompt").select("doc_id", "violations")
 
 
@@ -1117,7 +1261,7 @@ def stage_summary(spark, d):
     return evaluate.stage_summary(p, "kind", "error", "doc_id")
 
 
-IMPROVED = f"SELECT doc_id, instruction, response AS original, CASE WHEN doc_id % 4 = 0 THEN response ELSE 'Better: ' || substr(response, 1, 30) END AS improved, n_chars % 2 = 0 AS original_good, n_chars % 3 > 0 AS improved_good FROM ({PROBES})"
+IMPROVED = f"SELECT doc_id, instruction, response AS original, CASE WHEN doc_id % 4 = 0 THEN response ELSE 'Better: ' || response END AS improved, n_chars % 2 = 0 AS original_good, n_chars % 3 > 0 AS improved_good FROM ({PROBES})"
 
 
 @query(f"""SELECT instruction, CASE WHEN original_good AND NOT improved_good THEN original ELSE improved END AS chosen, CASE WHEN original_good AND NOT improved_good THEN improved ELSE original END AS rejected,
@@ -1157,6 +1301,16 @@ def condition_bounds(spark, d):
     return rounded(evaluate.condition_gate(o, bounds, "en", "fr").select("within_bounds", "intervals_apart", "h", "passed"))
 
 
+@query(f"""WITH r AS (SELECT type, avg(b) AS rate FROM ({OUTCOMES}) GROUP BY type), f AS (SELECT list_filter([
+  CASE WHEN max(rate) FILTER (type = 'en') >= 0.6 THEN 'conversation isn''t hard enough' END, CASE WHEN max(rate) FILTER (type = 'fr') >= 0.6 THEN 'all base models can converse' END,
+  CASE WHEN max(rate) FILTER (type = 'de') < 0.8 THEN 'too hard even for the instruct model' END], lambda x: x IS NOT NULL) AS reasons FROM r) SELECT len(reasons) > 0 AS aborted, reasons FROM f""")
+def condition_aborts(spark, d):
+    """Whether an evaluation is given up, and why; languages stand for its conditions."""
+    names = F.create_map(*[F.lit(x) for x in ("en", "base_formatted", "fr", "alt_base", "de", "instruct")])
+    o = view(spark, d, OUTCOMES).groupBy(F.try_element_at(names, F.col("type")).alias("condition")).agg(F.count("*").alias("n"), F.sum("b").alias("n_success"))
+    return evaluate.abort_reasons(o, evaluate.ABORT_RULES)
+
+
 @query(f"SELECT doc_id, instruction AS prompt, response AS chosen, kind AS instruction_type, 0.5::DOUBLE AS margin FROM ({PROBES}) WHERE n_chars % 2 = 0 OR n_chars % 5 = 0")
 def normalized_pairs(spark, d):
     p = probes(spark, d).select("doc_id", I().alias("prompt"), R().alias("chosen"), F.lit("x").alias("rejected"), K().alias("instruction_type"), F.lit(0.5).alias("margin"), F.when(F.col("n_chars") % 5 == 0, F.lit(None).cast("boolean")).otherwise(F.col("n_chars") % 2 == 0).alias("confident"))
@@ -1175,4 +1329,18 @@ def streaming_dedup(spark, d):
     return spark.read.schema(x.schema).parquet(f"{root}/out").select(F.md5(text.norm_key(F.col("text"))).alias("key"))
 
 
+@query(f"""SELECT min(doc_id) AS doc_id FROM documents WHERE doc_id % 5 > 0 AND {q.norm('text')} NOT IN (SELECT {q.norm('text')} FROM documents WHERE doc_id % 5 = 0) GROUP BY {q.norm('text')}""")
+def pool_stream(spark, d):
+    """Shards that arrive after each other against an existing pool, with a restart from the checkpoint between them."""
+    x, root = docs(spark, d).select("doc_id", "text"), files.scratch(spark, "pool")
+    shards = ranking.balanced_slices(x.where("doc_id % 5 > 0"), "doc_id", 4)
+    for some in ((0, 1), (2, 3)):
+        for k in some:
+            files.write_jsonl(shards.where(F.col("slice") == k).drop("slice"), f"{root}/in/shard={k}")
+        stream = streaming.read_shards(spark, f"{root}/in/*", x.schema, files_per_trigger=1)
+        fresh = streaming.unseen_in_pool(stream, "text", "doc_id", x.where("doc_id % 5 = 0"))
+        streaming.append_to(fresh, f"{root}/out", f"{root}/state").awaitTermination()
+    return spark.read.schema(x.schema).parquet(f"{root}/out").select("doc_id")
+
+
 from . import records  # noqa: E402, F401  more queries, which build on those above

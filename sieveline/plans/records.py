@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import stats, text
 from ..operators import capability, conversation, dedup, evaluate, generate, leakage, models, pairs, provenance, qc, ranking, validate
-from ..sources import files
+from ..sources import files, snapshots
 from . import sql as q
-from .catalog import MATRIX, PAIRED, PROBES, TEST, TRAIN, TRUE_FALSE, I, R, _qc_sql, _runs, analysis, docs, probes, query, rounded
+from .catalog import MATRIX, PAIRED, PROBES, TEST, TRAIN, TRUE_FALSE, I, R, _qc_sql, _runs, analysis, docs, fixed, probes, query, rounded
 from .views import OUTCOMES, table, view
 
 
@@ -93,7 +93,7 @@ categories:
 """
 
 
-@query("""SELECT * FROM (VALUES ('stored', 0, 'first', 'Say what is asked: no more.', 'help'), ('stored', 1, 'second', 'It''s fine to say "no".', 'honesty'), ('stored', 2, 'third', 'Plain words', 'help'), ('stored', 3, 'fourth', 'A "quoted" word', 'care'),
+@fixed("""SELECT * FROM (VALUES ('stored', 0, 'first', 'Say what is asked: no more.', 'help'), ('stored', 1, 'second', 'It''s fine to say "no".', 'honesty'), ('stored', 2, 'third', 'Plain words', 'help'), ('stored', 3, 'fourth', 'A "quoted" word', 'care'),
   ('default', 0, 'follow_instruction', 'Follow the instruction exactly as given', NULL), ('default', 1, 'be_accurate', 'Provide accurate and factual information', NULL), ('default', 2, 'be_complete', 'Fully address what was requested', NULL), ('default', 3, 'be_concise', 'Be concise and avoid unnecessary elaboration', NULL)) p(origin, ord, id, text, category)""")
 def principles(spark, d):
     """The first four of a stored configuration, and the default ones where none is stored."""
@@ -103,9 +103,34 @@ def principles(spark, d):
     return stored.select(F.lit("stored").alias("origin"), "*").unionByName(default.select(F.lit("default").alias("origin"), "*"))
 
 
+@query("SELECT CAST(row_number() OVER (ORDER BY item_id) - 1 AS INT) AS ord, 'item_' || item_id AS id, regexp_replace(text, '\\s+', ' ', 'g') AS text, CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category FROM benchmark WHERE trim(coalesce(text, '')) <> ''")
+def stored_principles(spark, d):
+    """A configuration that holds the benchmark's items, quoted, read again in its order."""
+    path = files.scratch(spark, "items")
+    items = table(spark, d, "benchmark").where("trim(coalesce(text, '')) <> ''").select("item_id", F.regexp_replace("text", r"\s+", " ").alias("text"))
+    entry = F.concat(F.lit("  - id: item_"), F.col("item_id").cast("string"), F.lit("\n    text: '"), F.replace("text", F.lit("'"), F.lit("''")), F.lit("'\n    category: "), F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd"))
+    # a configuration is one small document
+    whole = items.groupBy().agg(F.concat(F.lit("principles:\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", entry.alias("e")))), lambda x: x["e"]), "\n")).alias("value"))
+    whole.coalesce(1).write.text(path)
+    rows = files.read_principles(spark, path)
+    return files.principles(spark, rows, first=len(rows))
+
+
 # Sinks
 
 
+@query("""SELECT lang AS session, count(*) AS n, count(*) FILTER (n < 5) AS n_failed, max(printf('2025-01-%02d', 1 + n % 28)) AS last FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source) GROUP BY lang""")
+def shard_manifest(spark, d):
+    """One entry for each shard of a run, in a manifest that is written and read again; a shard of few rows has failed."""
+    path = files.scratch(spark, "entries")
+    shards = docs(spark, d).groupBy("lang", "source").agg(F.count("*").alias("n"))
+    day = F.format_string("2025-01-%02d", 1 + F.col("n") % 28)
+    entries = {"session": F.col("lang"), "path": F.col("source"), "type": F.lit("data"), "timestamp": day, "success": F.col("n") >= 5, "error": F.when(F.col("n") < 5, "few rows"), "parameters": F.create_map(F.lit("rows"), F.col("n").cast("string"))}
+    names = schemas.MANIFEST_ENTRY.fields
+    shards.select(*[entries.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in names]).write.parquet(path)
+    return provenance.session_summary(provenance.manifest(spark, path))
+
+
 @query("SELECT doc_id, md5(text) AS text, true AS is_ascii FROM documents")
 def ascii_lines(spark, d):
     path, x = files.scratch(spark, "ascii"), docs(spark, d).select("doc_id", "text")
@@ -114,14 +139,44 @@ def ascii_lines(spark, d):
     return rows.select("r.doc_id", F.md5("r.text").alias("text"), "is_ascii")
 
 
-@query("""SELECT '{"doc_id":' || doc_id || ',"n_chars":' || n_chars || '}' AS line, 1 AS n_missing FROM documents""")
+@query("""SELECT '{"doc_id":' || doc_id || ',"n_chars":' || n_chars || '}' AS line, 1 AS n_missing, row_number() OVER (ORDER BY doc_id) AS place FROM documents""")
 def concatenated_lines(spark, d):
-    """Lines of all shards as they are; a shard that isn't there is told."""
+    """Lines of all shards as they are, in the order of shards and lines, with their places in the target; a shard that
+    isn't there is told."""
     root, target = files.scratch(spark, "shards"), files.scratch(spark, "lines")
-    files.write_shards(docs(spark, d).select("doc_id", "n_chars", "source"), "source", root)
+    rows = ranking.balanced_slices(docs(spark, d).select("doc_id", "n_chars"), "doc_id", 5)
+    for k in range(5):
+        files.write_jsonl(ranking.sorted_output(rows.where(F.col("slice") == k).drop("slice"), "doc_id"), f"{root}/shard={k}")
     lacking = files.concat_present(spark, [*(p for p, _ in files.files(spark, f"{root}/shard=*")), f"{root}/none"], target)
-    line = F.regexp_replace("value", r',"source":"[^"]*"', "")
-    return spark.read.text(target).select(line.alias("line"), F.lit(len(lacking)).alias("n_missing"))
+    lines, order = files.lines_in_order(spark, [target])
+    return ranking.scanned(lines, order, name="place").select(F.col("value").alias("line"), F.lit(len(lacking)).alias("n_missing"), "place")
+
+
+@query("""WITH n AS (SELECT count(*) AS n, count(*) FILTER (doc_id % 3 < 2) AS two FROM documents)
+SELECT 'first' AS step, 1 AS version, two AS n_rows, CAST([] AS VARCHAR[]) AS warnings FROM n UNION ALL SELECT 'missing slice', NULL, two, ['missing slice=9'] FROM n
+UNION ALL SELECT 'wrong count', NULL, two, [n || ' rows instead of ' || (n + 1)] FROM n UNION ALL SELECT 'second', 2, n, [] FROM n UNION ALL SELECT 'stale writer', NULL, n, ['refused'] FROM n UNION ALL SELECT 'pinned reader', 1, two, [] FROM n""")
+def published_slices(spark, d):
+    """Merges of slices that publish a version or nothing, and the rows that a reader sees after each."""
+    x, root, table_ = docs(spark, d).select("doc_id", "text"), files.scratch(spark, "slices"), files.scratch(spark, "published")
+    for k in range(3):
+        files.write_jsonl(x.where(F.col("doc_id") % 3 == k), f"{root}/slice={k}")
+    n, names, out = x.count(), [f"slice={k}" for k in range(3)], []
+
+    def step(name, *args):
+        try:
+            version, said = snapshots.publish_slices(spark, root, args[0], x.schema, table_, *args[1:])
+        except snapshots.Conflict:
+            version, said = None, ["refused"]
+        out.append((name, version, snapshots.read(spark, table_).count(), said))
+
+    step("first", names[:2], 0)
+    pinned = snapshots.read(spark, table_)
+    step("missing slice", [*names, "slice=9"], 1)
+    step("wrong count", names, 1, n + 1)
+    step("second", names, 1, n)
+    step("stale writer", names[:1], 1)
+    out.append(("pinned reader", 1, pinned.count(), []))
+    return spark.createDataFrame(out, "step string, version int, n_rows long, warnings array<string>")
 
 
 @query("""WITH n AS (SELECT count(*) AS n FROM documents) SELECT 'all' AS slices, true AS done, n AS n_rows, CAST([] AS VARCHAR[]) AS warnings FROM n
@@ -189,19 +244,19 @@ def _manifest(spark: SparkSession) -> DataFrame:
     return provenance.manifest(spark, path)
 
 
-@query("""SELECT * FROM (VALUES ('s1', 'qc.json', 'qc_summary', '2025-01-01', true, NULL, 'thresholds_passed=true'), ('s1', 'data.jsonl', 'data', '2025-01-02', false, 'no rows', ''),
+@fixed("""SELECT * FROM (VALUES ('s1', 'qc.json', 'qc_summary', '2025-01-01', true, NULL, 'thresholds_passed=true'), ('s1', 'data.jsonl', 'data', '2025-01-02', false, 'no rows', ''),
   ('s2', 'qc.json', 'qc_summary', '2025-01-03', true, NULL, 'thresholds_passed=false'), ('s2', 'TRAINING_SUCCESS', 'marker', '2025-01-04', true, NULL, 'epochs=2')) m(session, path, type, timestamp, success, error, parameters)""")
 def run_manifest(spark, d):
     said = F.array_join(F.transform(F.map_entries("parameters"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
     return _manifest(spark).select("session", "path", "type", "timestamp", "success", "error", said.alias("parameters"))
 
 
-@query("SELECT * FROM (VALUES ('s1', 2, 1, '2025-01-02'), ('s2', 2, 0, '2025-01-04')) s(session, n, n_failed, last)")
+@fixed("SELECT * FROM (VALUES ('s1', 2, 1, '2025-01-02'), ('s2', 2, 0, '2025-01-04')) s(session, n, n_failed, last)")
 def session_summary(spark, d):
     return provenance.session_summary(_manifest(spark))
 
 
-@query("SELECT 's1' AS session, 'qc.json' AS path")
+@fixed("SELECT 's1' AS session, 'qc.json' AS path")
 def pilot_gate(spark, d):
     """Only a summary that passed its thresholds lets later stages run."""
     return provenance.passed_gate(_manifest(spark)).select("session", "path")
@@ -240,17 +295,17 @@ def training_gate(spark, d):
     return validate.training_gate(x).agg(F.count("*").alias("n"), F.md5(F.min("response")).alias("first"))
 
 
-@query("SELECT lang, bool_and(trim(coalesce(text, '')) <> '' AND doc_id % 97 <> 5) AS instructions_valid, bool_and(doc_id % 89 <> 3) AS pairs_valid FROM documents GROUP BY lang")
+@query("SELECT lang, bool_and(trim(coalesce(text, '')) <> '' AND doc_id % 97 <> 5) AS instructions_valid, bool_and(trim(coalesce(text, '')) <> '' AND doc_id % 89 <> 3) AS pairs_valid FROM documents GROUP BY lang")
 def boolean_validators(spark, d):
     """Whether all instructions, and all pairs, of a language are valid; some are blanked."""
     x = docs(spark, d)
     a = validate.instructions(x.select("lang", F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 97 == 5, " \n").otherwise(F.col("text")).alias("instruction"), F.col("source").alias("instruction_type")))
-    b = validate.filled_pairs(x.select("lang", F.lit("p").alias("prompt"), F.lit("c").alias("chosen"), F.when(F.col("doc_id") % 89 == 3, "").otherwise("r").alias("rejected")))
+    b = validate.filled_pairs(x.select("lang", F.concat_ws(" ", F.lit("Instruction:"), "source", "lang").alias("prompt"), F.col("text").alias("chosen"), F.when(F.col("doc_id") % 89 == 3, " ").otherwise(F.concat(F.lit("Not: "), F.col("text"))).alias("rejected")))
     ok = lambda df, name: df.groupBy("lang").agg(F.bool_and(F.size("violations") == 0).alias(name))
     return ok(a, "instructions_valid").join(ok(b, "pairs_valid"), "lang")
 
 
-@query("SELECT * FROM (VALUES ('whole', CAST([] AS VARCHAR[])), ('cut', ['adapter_model.safetensors']), ('none', ['adapter_config.json', 'adapter_model.safetensors'])) c(checkpoint, missing)")
+@fixed("SELECT * FROM (VALUES ('whole', CAST([] AS VARCHAR[])), ('cut', ['adapter_model.safetensors']), ('none', ['adapter_config.json', 'adapter_model.safetensors'])) c(checkpoint, missing)")
 def checkpoint_files(spark, d):
     root = files.scratch(spark, "checkpoints")
     for name in ("whole/adapter_config.json", "whole/adapter_model.safetensors", "cut/adapter_config.json"):
@@ -258,14 +313,14 @@ def checkpoint_files(spark, d):
     return spark.createDataFrame([(c, files.missing_files(spark, f"{root}/{c}")) for c in ("whole", "cut", "none")], "checkpoint string, missing array<string>")
 
 
-@query("SELECT * FROM (VALUES ('whole', CAST([] AS VARCHAR[])), ('without version', ['loader_version']), ('empty', ['loader_version', 'quantization', 'template_disabled', 'sentinel_tests_passed', 'add_special_tokens'])) r(record, missing)")
+@fixed("SELECT * FROM (VALUES ('whole', CAST([] AS VARCHAR[])), ('without version', ['loader_version']), ('empty', ['loader_version', 'quantization', 'template_disabled', 'sentinel_tests_passed', 'add_special_tokens'])) r(record, missing)")
 def required_fields(spark, d):
     whole = provenance.loader_record("m", [])
     rows = [("whole", provenance.missing(whole)), ("without version", provenance.missing(whole | {"loader_version": None})), ("empty", provenance.missing({}))]
     return spark.createDataFrame(rows, "record string, missing array<string>")
 
 
-@query("SELECT * FROM (VALUES (0, 'load', 'skipped'), (1, 'clean', 'done'), (2, 'train', 'failed: no rows')) s(place, step, outcome)")
+@fixed("SELECT * FROM (VALUES (0, 'load', 'skipped'), (1, 'clean', 'done'), (2, 'train', 'failed: no rows')) s(place, step, outcome)")
 def step_log(spark, d):
     """Steps in order: one whose artifact is there is skipped, and the first failure is the last."""
     root = files.scratch(spark, "steps")
@@ -282,14 +337,14 @@ def step_log(spark, d):
 # Provenance
 
 
-@query("SELECT * FROM (VALUES ('branch', true), ('commit', true), ('dirty', true), ('master', true), ('platform', true), ('python', true), ('shuffle_partitions', true), ('spark', true)) f(field, known)")
+@fixed("SELECT * FROM (VALUES ('branch', true), ('commit', true), ('dirty', true), ('master', true), ('platform', true), ('python', true), ('shuffle_partitions', true), ('spark', true)) f(field, known)")
 def run_facts(spark, d):
     """What a run records of the repository and its environment; the values differ from machine to machine."""
     facts = provenance.git_info() | provenance.environment_info(spark)
     return spark.createDataFrame([(k, v is not None and v != "") for k, v in sorted(facts.items())], "field string, known boolean")
 
 
-@query("""SELECT * FROM (VALUES ('add_special_tokens', 'False'), ('device_map', 'auto'), ('loader_version', 'known'), ('model_name', 'm'), ('quantization', '4bit-nf4'), ('sentinel_results', '2'),
+@fixed("""SELECT * FROM (VALUES ('add_special_tokens', 'False'), ('device_map', 'auto'), ('loader_version', 'known'), ('model_name', 'm'), ('quantization', '4bit-nf4'), ('sentinel_results', '2'),
   ('sentinel_tests_passed', 'False'), ('template_disabled', 'True'), ('torch_dtype', 'bfloat16'), ('artifact_type', 'pairs'), ('dirty', 'known'), ('seed', '7')) f(field, value)""")
 def loader_record(spark, d):
     """What a loader records of itself, in the record of an artifact."""
@@ -404,6 +459,15 @@ def true_token_counts(spark, d):
     return models.token_counts(docs(spark, d).select("doc_id", "text"), "text", lambda t: len(t.split(" "))).select("doc_id", "n_tokens")
 
 
+@query()
+def bpe_token_counts(spark, d):
+    """Counts of a local byte-level tokenizer over whole texts, with a special string planted in some."""
+    import public_tokenizers
+
+    x = docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 9 == 4, F.concat("text", F.lit("<|endoftext|> more"))).otherwise(F.col("text")).alias("text"))
+    return models.token_counts(x, "text", models.LocalTokenizer(public_tokenizers.path("byte_bpe_50k.json"))).select("doc_id", "n_tokens")
+
+
 # Pairs, plans and generators
 
 
@@ -437,7 +501,7 @@ def sorted_counts(spark, d):
     return counts.withColumn("_at", F.monotonically_increasing_id()).select("source", "n", F.expr("row_number() OVER (ORDER BY _at)").alias("place"))
 
 
-@query("SELECT i AS index, ['list', 'count', 'sort', 'filter', 'classify', 'extract'][i % 6 + 1] AS type, replace(replace(CASE i % 6 "
+@fixed("SELECT i AS index, ['list', 'count', 'sort', 'filter', 'classify', 'extract'][i % 6 + 1] AS type, replace(replace(CASE i % 6 "
     + " ".join(f"WHEN {n} THEN [{', '.join(q.quoted(t) for t in options)}][CAST(floor({q.unit('i', 9)} * {len(options)}) AS INT) + 1]" for n, options in enumerate((
         ("List {count} {topic}", "Name {count} types of {topic}", "Give me {count} examples of {topic}"),
         ("How many {item} are in {context}?", "Count the number of {item} in: {context}"),
@@ -452,25 +516,34 @@ def typed_templates(spark, d):
     return generate.typed_instructions(spark, 60, 9, fillers={})
 
 
-@query(f"""SELECT i AS index, 'Sort these items: ' || ['b, a', 'd, c', 'f, e'][CAST(floor({q.unit("i || '|items'", 4)} * 3) AS INT) + 1] AS instruction FROM range(0, 40) r(i)""")
+@query("""WITH n AS (SELECT count(*) AS n FROM documents) SELECT i AS index, ['list', 'count', 'sort', 'filter', 'classify', 'extract'][i % 6 + 1] AS type, CASE i % 6
+    WHEN 0 THEN replace(['List {topic}', 'Name types of {topic}'][CAST(floor(""" + q.unit("i", 9) + """ * 2) AS INT) + 1], '{topic}', ['animals', 'fruits', 'cities'][CAST(floor(""" + q.unit("i || '|topic'", 9) + """ * 3) AS INT) + 1])
+    WHEN 1 THEN 'Count the words' WHEN 2 THEN 'Sort these' WHEN 3 THEN 'Filter these' WHEN 4 THEN 'Classify this' ELSE 'Extract names' END AS instruction FROM n, range(0, (SELECT count(*) FROM documents)) r(i)""")
+def instructions_for_documents(spark, d):
+    """As many instructions as there are documents, types in turn, a template and a filler by hash."""
+    templates = {"list": ("List {topic}", "Name types of {topic}"), "count": ("Count the words",), "sort": ("Sort these",), "filter": ("Filter these",), "classify": ("Classify this",), "extract": ("Extract names",)}
+    return generate.typed_instructions(spark, docs(spark, d).count(), 9, templates, {"list": {"topic": ("animals", "fruits", "cities")}})
+
+
+@fixed(f"""SELECT i AS index, 'Sort these items: ' || ['b, a', 'd, c', 'f, e'][CAST(floor({q.unit("i || '|items'", 4)} * 3) AS INT) + 1] AS instruction FROM range(0, 40) r(i)""")
 def typed_instructions(spark, d):
     """A template whose place is filled by the hash of seed, index and place."""
     return generate.typed_instructions(spark, 40, 4, {"sort": ("Sort these items: {items}",)}, {"sort": {"items": ("b, a", "d, c", "f, e")}}).select("index", "instruction")
 
 
-@query("""SELECT 'test_' || (i + 1) AS id, CASE i // 5 WHEN 0 THEN ['p', 'q'][i % 2 + 1] WHEN 1 THEN ['r'][1] ELSE ['s', 't', 'u'][(i - 10) % 3 + 1] END AS instruction, ['qa', 'instruction_following', 'creative_text'][i // 5 + 1] AS expected_type
+@fixed("""SELECT 'test_' || (i + 1) AS id, CASE i // 5 WHEN 0 THEN ['p', 'q'][i % 2 + 1] WHEN 1 THEN ['r'][1] ELSE ['s', 't', 'u'][(i - 10) % 3 + 1] END AS instruction, ['qa', 'instruction_following', 'creative_text'][i // 5 + 1] AS expected_type
 FROM (SELECT i FROM range(0, 15) r(i))""".replace("['p', 'q'][i % 2 + 1]", "['p', 'q'][i % 5 % 2 + 1]").replace("(i - 10) % 3", "i % 5 % 3"))
 def held_out_tests(spark, d):
     return generate.held_out_tests(spark, {"qa": ("p", "q"), "instruction_following": ("r",), "creative_text": ("s", "t", "u")}, 16)
 
 
-@query("""SELECT * FROM (VALUES ('explicit_list', 'check_list_fruits'), ('explicit_generation', 'check_sentence_about_topic'), ('explicit_translation', 'check_translation'), ('qa_math', 'check_math_answer'), ('qa_factual', 'check_factual_answer'), ('completion', 'check_completion_temperature'),
+@fixed("""SELECT * FROM (VALUES ('explicit_list', 'check_list_fruits'), ('explicit_generation', 'check_sentence_about_topic'), ('explicit_translation', 'check_translation'), ('qa_math', 'check_math_answer'), ('qa_factual', 'check_factual_answer'), ('completion', 'check_completion_temperature'),
   ('completion_blank', 'check_fill_blank'), ('constrained_length', 'check_exact_word_count'), ('constrained_format', 'check_numbered_list'), ('constrained_answer', 'check_yes_no_only'), ('multi_step', 'check_two_step'), ('harmful_refusal', 'check_refusal')) s(instruction_type, check_name)""")
 def check_suite(spark, d):
     return generate.check_suite(spark).where("instruction <> ''").select("instruction_type", "check_name")
 
 
-@query("SELECT * FROM (VALUES ('completions', 10, 'The capital of France is'), ('questions', 10, 'What is the capital of France?'), ('instructions', 10, 'Answer this question: What is gravity?'), ('commands', 10, 'Write a sentence about dogs.')) b(category, n, first)")
+@fixed("SELECT * FROM (VALUES ('completions', 10, 'The capital of France is'), ('questions', 10, 'What is the capital of France?'), ('instructions', 10, 'Answer this question: What is gravity?'), ('commands', 10, 'Write a sentence about dogs.')) b(category, n, first)")
 def baseline_prompts(spark, d):
     return generate.baseline_prompts(spark).groupBy("category").agg(F.count("*").alias("n"), F.min_by("prompt", "place").alias("first"))
 
@@ -497,6 +570,24 @@ def generated_responses(spark, d):
     return models.generate(made.withColumn("key", key), "key", stored, "stored").select("conv_id", "turn", "response", "stored")
 
 
+@query("""SELECT conv_id, turn, CASE WHEN length(text) % 7 <> 3 THEN 'Said: ' || text END AS response, CASE WHEN length(text) % 7 = 3 THEN 'no answer to ' || length(text) END AS error FROM conversations""")
+def retried_responses(spark, d):
+    """A function of 16 prompts at most that fails for some prompts, and once for each batch: the others are answered."""
+    seen: set[str] = set()
+
+    def backend(prompts: list[str]) -> list[str]:
+        if prompts[0] not in seen:
+            seen.add(prompts[0])
+            raise TimeoutError("busy")
+        bad = [p for p in prompts if len(p) % 7 == 3]
+        if bad:
+            raise ValueError(f"no answer to {len(bad[0])}")
+        return [f"Said: {p}" for p in prompts]
+
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("prompt"))
+    return models.generate_in_batches(rows, "prompt", backend, batch_size=16).select("conv_id", "turn", "response", "error")
+
+
 @query("SELECT conv_id, turn, length(text) < 200 AS is_good, CAST(abs(200 - length(text)) AS DOUBLE) AS margin FROM conversations")
 def label_logps(spark, d):
     """Verdicts from log-probabilities that a function gives for batches of prompts."""

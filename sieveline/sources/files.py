@@ -21,9 +21,9 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for files that one run makes: in the folder named by spark.checkpoint.dir, which all machines share;
     a temporary one, removed at the end of the process, only where it is unset and all is on one machine. What is in a
     shared folder may be deleted once the run's results are written."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="sieveline-"))
@@ -32,6 +32,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written to a new scratch folder and read again: later passes read it instead of making it again, and a lost
+    executor costs no lineage."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def column(df: DataFrame, name: str = "instruction") -> DataFrame:
     """One column only; the scan reads no other."""
     return df.select(name)
@@ -223,9 +231,21 @@ def _surrogates(c):
     return F.concat(unit(F.lit(0xD800) + F.shiftright(point, 10)), unit(F.lit(0xDC00) + point % 1024))
 
 
+def lines_in_order(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """(value, file, block, line) of files, and the columns that order them: by the file's name, the split within it and
+    the line within that. Lines end at line feeds alone; a carriage return stays."""
+    m = F.col("_metadata")
+    lines = spark.read.option("lineSep", "\n").text(list(paths))
+    return lines.select("value", m["file_path"].alias(FILE), m["file_block_start"].alias("_block"), F.monotonically_increasing_id().alias("_line")), [FILE, "_block", "_line"]
+
+
 def concat_lines(spark: SparkSession, paths: Sequence[str], target: str) -> None:
-    """Lines of files as they are, not parsed."""
-    spark.read.text(list(paths)).write.mode("overwrite").text(target)
+    """Lines of files as they are, not parsed, in the order of the files' names: the parts of target, by name, hold them
+    in that order. Ranges of the order are written side by side."""
+    lines, order = lines_in_order(spark, paths)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    rows = lines.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    rows.select("value").write.mode("overwrite").option("lineSep", "\n").text(target)
 
 
 def concat_present(spark: SparkSession, paths: Sequence[str], target: str) -> list[str]:

@@ -37,12 +37,12 @@ def test_containment_with_short_items(spark):
     assert sorted(map(tuple, leakage.containment(docs, items).collect())) == [(1, 1), (1, 2), (2, 2), (3, 1), (3, 2), (3, 3)]
 
 
-@pytest.mark.parametrize("few", [leakage.FEW_HASHES, 3])
+@pytest.mark.parametrize("few", [leakage.MOST_BITS, 1 << 10])
 def test_containment_against_all_pairs(spark, few, monkeypatch):
     """Items of one to nine words, cut out of texts at any character, with odd white space and ends inside longer words."""
     import random
 
-    monkeypatch.setattr(leakage, "FEW_HASHES", few)
+    monkeypatch.setattr(leakage, "MOST_BITS", few)
     rng = random.Random(11)
     vocabulary = ["one", "two", "three", "four", "five", "cat", "cats", "a", "b", "é", "x\u00a0y"]
     texts = ["".join(rng.choice(vocabulary) + rng.choice([" ", " ", "\n", "  "]) for _ in range(rng.randrange(40))) for _ in range(60)]
@@ -60,9 +60,9 @@ def test_containment_against_all_pairs(spark, few, monkeypatch):
     assert got == [(i, j) for i, t in enumerate(texts) if t for j, x in enumerate(items) if x and x in t]
 
 
-@pytest.mark.parametrize("few", [leakage.FEW_HASHES, 3])
+@pytest.mark.parametrize("few", [leakage.MOST_BITS, 1 << 10])
 def test_ngram_leakage_against_all_pairs(spark, few, monkeypatch):
-    monkeypatch.setattr(leakage, "FEW_HASHES", few)
+    monkeypatch.setattr(leakage, "MOST_BITS", few)
     texts, items = ["A b c d e f g", "b c d", "", "x y", None, "a B c a b c"], ["a b c d", "c d e f", "x y", "q"]
     docs, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
 
