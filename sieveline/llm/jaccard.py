@@ -19,8 +19,8 @@ of near copies costs its rows, not its pairs: of each text's first lists, a few
 to are its stars, and each text is compared with the nearest star; then texts of smaller groups are compared with the
 nearest text of another group in their lists, as long as that joins any. What is contracted is compared whole, too, so no
 group is too large. The boundary and the join look at the lists in which several groups are left, and find all other links.
-Lists of more than LIST_ROWS rows are dealt to blocks of about as many rows, and each pair of blocks meets in a task of its
-own: no task holds a whole list.
+Lists of more than LIST_ROWS rows are dealt to blocks of about as many rows; rows of the list's largest group stay in their
+block, and the others visit each block in parts of as many rows: no task holds a whole list.
 """
 
 from __future__ import annotations
@@ -281,14 +281,15 @@ def _meetings(least: float):
     """Pairs of rows of a list that have different roots and may be similar; lists come in the order of sizes."""
 
     def run(rows: np.ndarray, sketches: list[bytes]):
-        low, high, mine, above, key, root, size, at, small = *rows[:, 1:9].T, rows[:, 9:].copy().view(U64)
+        low, _, mine, above, key, root, size, at, small = *rows[:, 1:9].T, rows[:, 9:].copy().view(U64)
         cuts = np.append(np.flatnonzero(np.append(True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1))), len(rows))
         group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
         left, long = size - at, None
 
         def fitting(i: np.ndarray, j: np.ndarray):
             nonlocal long
-            fits = (root[i] != root[j]) & ((mine[i] != mine[j]) | (low[i] == high[i]))
+            # one of them at least is at home in this block
+            fits = (root[i] != root[j]) & ((mine[i] == low[i]) | (mine[j] == low[j]))
             # sets that may share one shingle only have no subset of two in common
             fits &= (np.maximum(size[i], size[j]) > above[i]) | (np.minimum(size[i], size[j]) * least <= 1)
             # the first shingle that two sets share leaves enough behind it in both
@@ -432,10 +433,20 @@ def _proposed(rows: DataFrame, similarity: float, stars: bool, turn: int) -> Dat
 
 def _pairs(rows: DataFrame, similarity: float) -> DataFrame:
     """All candidates (a, b) among rows (gram, n, above, key, root, size, at, BITS, sketch); n is the number of rows of
-    the list."""
+    the list. Rows of a long list's largest group stay in their block; the others, in parts of LIST_ROWS rows, visit
+    every block: a task has the rows of one block and one part of the visitors."""
     rows, blocks = _dealt(rows, 0)
-    other = F.explode(F.when(F.col("n") > LIST_ROWS, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.lit(0))))
-    rows = rows.withColumn("other", other).withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
+    long = F.col("n") > LIST_ROWS
+    sizes = rows.where(long).groupBy("gram", "root").count().groupBy("gram")
+    sizes = sizes.agg(F.max_by("root", F.struct("count", "root")).alias("_most"), (F.sum("count") - F.max("count")).alias("_others"))
+    rows = rows.join(staged(sizes, "largest"), "gram", "left")
+    parts = F.greatest(F.ceil(F.col("_others") / LIST_ROWS), F.lit(1)).cast("int")
+    part = F.pmod(F.xxhash64("key", F.lit(1)), parts).cast("int")
+    spot = lambda block, visitors: F.struct(block.alias("low"), visitors.alias("high"))
+    home = F.transform(F.sequence(F.lit(0), parts - 1), lambda v: spot(F.col("mine"), v))
+    visits = F.transform(F.sequence(F.lit(0), blocks - 1), lambda y: spot(y, part))
+    spots = F.when(long & (F.col("root") != F.col("_most")), F.array_distinct(F.concat(home, visits))).when(long, home).otherwise(F.array(spot(F.lit(0), F.lit(0))))
+    rows = rows.withColumn("_spot", F.explode(spots)).withColumn("low", F.col("_spot.low")).withColumn("high", F.col("_spot.high"))
     rows = rows.repartition(*_LIST).sortWithinPartitions(*_LIST, "size").select(*_ROW, "sketch")
     return rows.mapInArrow(_by_list(_meetings(similarity), True), "a long, b long").distinct()
 
