@@ -57,8 +57,8 @@ def ranked(df: DataFrame, bucket: Column, order: Sequence[Column | str], name: s
     return df.withColumn("_within", within).join(counts, "_bucket").withColumn(name, F.col("_before") + F.col("_within")).drop("_bucket", "_before", "_within")
 
 
-def by_id(df: DataFrame, key: str, name: str = "rank") -> DataFrame:
-    """Ranked by an id of any kind, however its values are spread."""
+def by_id(df: DataFrame, key: str, name: str = "rank", width: int | None = None) -> DataFrame:
+    """Ranked by an id of any kind, however its values are spread. width isn't used: ranges are cut by the rows."""
     return scanned(df, [key], name=name)
 
 

