@@ -543,6 +543,7 @@ def all_links(texts: DataFrame, docs: DataFrame, roots: DataFrame, n: int = SHIN
     pairs = proposed(rooted(shared).where(F.col("core") & (F.col("nth") <= FIRST_LISTS)), True, 0)
     tested, roots = pairs, joined(roots, verified(pairs, docs, n, similarity))
     rows = still_open(shared)
+    drop_staged(shared)
     for turn in range(1, ROUNDS + 1):
         if rows.isEmpty():
             return roots
@@ -550,8 +551,9 @@ def all_links(texts: DataFrame, docs: DataFrame, roots: DataFrame, n: int = SHIN
         found = verified(pairs, docs, n, similarity)
         if found.isEmpty():
             break
-        tested, roots = tested.union(pairs), joined(roots, found)
-        rows = still_open(rows)
+        tested, roots, before = tested.union(pairs), joined(roots, found), rows
+        rows = still_open(before)
+        drop_staged(before)
     if rows.isEmpty():
         return roots
     pairs = staged(light_heavy_pairs(rooted(rows).join(texts.select("key", "sketch"), "key"), similarity), "meetings")

@@ -608,8 +608,8 @@ def test_rewrapped_and_respelled_licences(spark):
     for n, i in there.items():
         text = (folder / n).read_text(encoding="utf-8")
         # copyright lines stay lines of their own
-        paragraphs = [p if "opyright" in p.splitlines()[0] else textwrap.fill(p, 50) for p in text.split("\n\n") if p.strip()]
-        for t, same in ((text, True), ("\n\n".join(paragraphs), True), (text.upper(), True), ("\n".join(f"# {x}" for x in text.splitlines()), True), (text.replace("license", "licence").replace("organization", "organisation"), True), (text.replace("software", "hardware", 1).replace("Work", "Play", 1).replace("program", "poem", 1), False)):
+        paragraphs = [p if re.search(r"(?im)^\W*copyright", p) else textwrap.fill(p, 50, break_long_words=False, break_on_hyphens=False) for p in text.split("\n\n") if p.strip()]
+        for t, same in ((text, True), ("\n\n".join(paragraphs), True), (text.upper(), True), ("\n".join(f"# {x}" for x in text.splitlines()), True), (re.sub(r"\borganization\b", "organisation", re.sub(r"\blicense\b", "licence", text)), True), (text.replace("software", "hardware", 1).replace("Work", "Play", 1).replace("program", "poem", 1), False)):
             want[len(rows)] = i if same else None
             rows.append((len(rows), t))
     got = {r.doc_id: r.license_id for r in licenses.license_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
