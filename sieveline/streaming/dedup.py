@@ -1,7 +1,7 @@
 """Structured Streaming form of the growing-pool deduplication, and of running success rates.
 
 Two forms: unseen() is the engine's own deduplication, which starts from nothing; unseen_in_pool() holds a state for each
-key that starts from an existing pool, takes the first arrival within a batch by a stated order, and can let keys expire.
+key that starts from an existing pool and takes the first arrival within a batch by a stated order.
 """
 
 from __future__ import annotations
@@ -31,21 +31,14 @@ def unseen(stream: DataFrame, key: str, event_time: str | None = None, delay: st
 
 
 class _Pool(StatefulProcessor):
-    """Per key: whether it is in the pool. A key's first row goes out; with a time to live, a timer takes the key out of
-    the pool that long after it came, and its next row goes out again."""
+    """Per key: whether it is in the pool. A key's first row goes out."""
 
-    def __init__(self, order: str, ttl_ms: int | None):
-        self.order, self.ttl_ms = order, ttl_ms
+    def __init__(self, order: str):
+        self.order = order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
         self.there = handle.getValueState("there", T.StructType([T.StructField("there", T.BooleanType())]))
 
-    def _enter(self, timers) -> None:
-        self.there.update((True,))
-        if self.ttl_ms is not None:
-            self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.ttl_ms)
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         known, first = self.there.exists(), None
         for pdf in rows:  # a batch's rows of a key come in pieces; one row of them is kept
@@ -54,24 +47,20 @@ class _Pool(StatefulProcessor):
                 if first is None or best[self.order].iloc[0] < first[self.order].iloc[0]:
                     first = best
         if first is not None:
-            self._enter(timerValues)
+            self.there.update((True,))
             yield first
 
     def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
-        self._enter(timerValues)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.there.clear()
-        yield from ()
+        self.there.update((True,))
 
     def close(self) -> None:
         pass
 
 
-def unseen_in_pool(stream: DataFrame, key: str, order: str, pool: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+def unseen_in_pool(stream: DataFrame, key: str, order: str, pool: DataFrame) -> DataFrame:
     """Rows of stream whose normalised key is neither in pool (a batch table with the column key) nor came before: of a
     batch the first by order, as dedup.normalized_union takes it. The pool is loaded into the state with the first batch;
-    a restart from the checkpoint finds it there. Null keys are one key. ttl_ms: keys leave the pool after that time.
+    a restart from the checkpoint finds it there. Null keys are one key. Keys stay: the state grows with the pool.
 
     States are keyed by a digest, so texts travel in their rows alone. Sets the state store of the session to the one
     that keeps states on disk.
@@ -83,7 +72,7 @@ def unseen_in_pool(stream: DataFrame, key: str, order: str, pool: DataFrame, ttl
     own = F.coalesce(F.hex(digest(norm_key(F.col(key)))), F.lit(""))
     rows = stream.withColumn("_key", own)
     start = pool.select(own.alias("_key")).distinct().groupBy("_key")
-    return rows.groupBy("_key").transformWithStateInPandas(_Pool(order, ttl_ms), stream.schema, "Append", "None" if ttl_ms is None else "ProcessingTime", start)
+    return rows.groupBy("_key").transformWithStateInPandas(_Pool(order), stream.schema, "Append", "None", start)
 
 
 def running_rates(stream: DataFrame, by: str, success: str = "success") -> DataFrame:

@@ -286,22 +286,3 @@ def test_pool_over_any_batches(spark, tmp_path, cuts):
     for i, t, _ in rows:
         firsts.setdefault((t or "").strip().lower() if t is not None else None, i)
     assert got == sorted(i for k, i in firsts.items() if k not in ("b", "c"))
-
-
-def test_keys_expire(spark, tmp_path):
-    import time
-
-    df = spark.createDataFrame([(1, "a")], "id int, text string")
-    for n in range(2):
-        files.write_jsonl(df.withColumn("id", F.lit(n)), f"file://{tmp_path}/in/{n}")
-        stream = streaming.read_shards(spark, f"file://{tmp_path}/in/*", df.schema)
-        out = streaming.unseen_in_pool(stream, "text", "id", df.limit(0), ttl_ms=1)
-        streaming.append_to(out, f"file://{tmp_path}/out", f"file://{tmp_path}/state").awaitTermination()
-        time.sleep(0.1)
-        if n == 0:
-            # a batch without the key lets the timer run
-            files.write_jsonl(df.withColumn("text", F.lit("other")), f"file://{tmp_path}/in/x")
-            stream = streaming.read_shards(spark, f"file://{tmp_path}/in/*", df.schema)
-            streaming.append_to(streaming.unseen_in_pool(stream, "text", "id", df.limit(0), ttl_ms=1), f"file://{tmp_path}/out", f"file://{tmp_path}/state").awaitTermination()
-    got = [r.id for r in spark.read.schema(df.schema).parquet(f"file://{tmp_path}/out").where("text = 'a'").collect()]
-    assert sorted(got) == [0, 1]
