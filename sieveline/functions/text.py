@@ -226,7 +226,14 @@ def is_runaway(x: Column, patterns: Sequence[str] = (*RUNAWAY_BASE, *RUNAWAY_CHA
 
 def is_truncated(x: Column, short_answers: Sequence[str] = SHORT_ANSWERS) -> Column:
     y = strip(x)
-    return F.endswith(y, F.lit(":")) | y.rlike(r"(?U)[\d).]\s+\w+(?:\s+\w+)*\s*-\s*\z") | ((F.length(y) < 10) & ~y.isin(*short_answers))
+    return F.endswith(y, F.lit(":")) | _stops_at_dash(y) | ((F.length(y) < 10) & ~y.isin(*short_answers))
+
+
+def _stops_at_dash(y: Column) -> Column:
+    """Whether a stripped text ends with a digit, bracket or full stop, words behind it and a dash: `5) Biomass Energy -`.
+    Read from the end, where each character is met at most twice; a group that repeats for each word would take the stack
+    of the task, and a search from the start would go over a long run of numbers once for each of them."""
+    return F.endswith(y, F.lit("-")) & F.reverse(y).rlike(r"(?U)\A-[\w\s]*\w\s+[\d).]")
 
 
 def is_true_false(instruction: Column, response: Column) -> Column:

@@ -1,5 +1,6 @@
 """Text rules on the rows that fixtures never hold."""
 
+import random
 import re
 
 import pytest
@@ -49,6 +50,21 @@ def test_truncation(spark):
     assert values(spark, strict, "True", "Yes") == [True, False]
 
 
+def test_truncation_of_long_texts(spark):
+    """The pattern of before, whose group repeats for each word, took the stack of the task."""
+    long = ["5. " + "word " * 100_000 + end for end in ("-", "- ", "x", "x-")] + ["1 " * 100_000 + "x", "1 " * 100_000 + "-", "a " * 100_000 + "-", "1" + " " * 10_000 + "-"]
+    assert values(spark, text.is_truncated, *long) == [True, True, False, True, False, True, False, False]
+    assert values(spark, text.route, *[("Name a colour", x) for x in long])[:3] == ["truncated", "truncated", "kept"]
+
+
+def test_truncation_is_the_pattern(spark):
+    rng, pattern = random.Random(4), re.compile(r"[\d).]\s+\w+(?:\s+\w+)*\s*-\s*\Z")
+    rows = ["long enough" + "".join(rng.choice("11aé٣_  \n).-,") for _ in range(rng.randrange(12))) + rng.choice(["-", "a-", "", " - "]) for _ in range(3000)]
+    want = [pattern.search(x.strip()) is not None for x in rows]
+    assert 200 < sum(want) < 2800
+    assert values(spark, text.is_truncated, *rows) == want
+
+
 def test_routing_order(spark):
     rows = [("The sky is green", "True"), ("Is this true?", "True"), ("Name a colour", "Red"), ("Name a colour", "Red is a colour")]
     assert values(spark, text.route, *rows) == ["true_false", "kept", "truncated", "kept"]
