@@ -1331,13 +1331,16 @@ def streaming_dedup(spark, d):
 
 @query(f"""SELECT min(doc_id) AS doc_id FROM documents WHERE doc_id % 5 > 0 AND {q.norm('text')} NOT IN (SELECT {q.norm('text')} FROM documents WHERE doc_id % 5 = 0) GROUP BY {q.norm('text')}""")
 def pool_stream(spark, d):
-    """Shards that arrive after each other against an existing pool, with a restart from the checkpoint between them."""
+    """Shards that arrive after each other against an existing pool, with a restart from the checkpoint between them.
+
+    A shard is one batch, however many files it has: files are taken in the order in which their tasks ended, so in
+    batches of some files a later row could come before an earlier one, and each batch opens all states.
+    """
     x, root = docs(spark, d).select("doc_id", "text"), files.scratch(spark, "pool")
     shards = ranking.balanced_slices(x.where("doc_id % 5 > 0"), "doc_id", 4)
-    for some in ((0, 1), (2, 3)):
-        for k in some:
-            files.write_jsonl(shards.where(F.col("slice") == k).drop("slice"), f"{root}/in/shard={k}")
-        stream = streaming.read_shards(spark, f"{root}/in/*", x.schema, files_per_trigger=1)
+    for k in range(4):
+        files.write_jsonl(shards.where(F.col("slice") == k).drop("slice"), f"{root}/in/shard={k}")
+        stream = streaming.read_shards(spark, f"{root}/in/*", x.schema, files_per_trigger=None)
         fresh = streaming.unseen_in_pool(stream, "text", "doc_id", x.where("doc_id % 5 = 0"))
         streaming.append_to(fresh, f"{root}/out", f"{root}/state").awaitTermination()
     return spark.read.schema(x.schema).parquet(f"{root}/out").select("doc_id")

@@ -17,8 +17,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from ..functions.text import norm_key
 
 
-def read_shards(spark: SparkSession, folder: str, schema: T.StructType, files_per_trigger: int = 16) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(folder)
+def read_shards(spark: SparkSession, folder: str, schema: T.StructType, files_per_trigger: int | None = 16) -> DataFrame:
+    """files_per_trigger None: all files that are there are one batch."""
+    reader = spark.readStream.schema(schema)
+    return (reader if files_per_trigger is None else reader.option("maxFilesPerTrigger", files_per_trigger)).json(folder)
 
 
 def unseen(stream: DataFrame, key: str, event_time: str | None = None, delay: str = "1 day") -> DataFrame:
@@ -43,7 +45,7 @@ class _Pool(StatefulProcessor):
         known, first = self.there.exists(), None
         for pdf in rows:  # a batch's rows of a key come in pieces; one row of them is kept
             if not known and len(pdf):
-                best = pdf.sort_values(self.order, kind="stable").iloc[:1]
+                best = pdf if len(pdf) == 1 else pdf.sort_values(self.order, kind="stable").iloc[:1]
                 if first is None or best[self.order].iloc[0] < first[self.order].iloc[0]:
                     first = best
         if first is not None:

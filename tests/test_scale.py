@@ -1,12 +1,15 @@
 """Operators that are made for sizes at which one task can't hold a group: quantiles, places, corrections, bootstrap, spans."""
 
 import math
+import os
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 from sieveline.functions import stats
 from sieveline.operators import bootstrap, collate, evaluate, generate, leakage, models, pairs, qc, quantiles, ranking, step_up
+from sieveline.plans import catalog
 from sieveline.sources import files, snapshots
 from sieveline.streaming import dedup as streaming
 
@@ -268,6 +271,25 @@ def test_abort_rules(spark):
     assert not r.aborted and r.reasons == []
 
 
+def test_pool_takes_a_shard_as_one_batch(spark, tmp_path, monkeypatch):
+    """Files of a shard that were ended out of order: the first row of a key goes out all the same."""
+    (tmp_path / "t").mkdir()
+    rows = [(i, f"text {i % 3}" if i % 5 else "pool") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/t/documents.parquet")
+    batches, write = [], files.write_jsonl
+
+    def backwards(df, path, *more):
+        write(df.repartitionByRange(4, "doc_id"), path, *more)
+        parts = sorted(Path(path.removeprefix("file://")).glob("part-*"))
+        for n, part in enumerate(parts):
+            os.utime(part, (part.stat().st_mtime - n - 1,) * 2)
+        batches.append(len(parts))
+
+    monkeypatch.setattr(files, "write_jsonl", backwards)
+    got = sorted(r.doc_id for r in catalog.queries()["pool_stream"](spark, f"file://{tmp_path}/t").collect())
+    assert max(batches) > 1 and got == [1, 2, 3]
+
+
 @pytest.mark.parametrize("cuts", [[40], [1, 2, 30]])
 def test_pool_over_any_batches(spark, tmp_path, cuts):
     """The rows that go out are those of the batch form, however the arrivals are split, and after a restart."""
