@@ -6,7 +6,7 @@ keeps the nearest, and those whose five-word shingles are similar enough join gr
 
 The rest is the join of jaccard.py, which finds all links between the groups. What it can't find is no link, so the groups
 are those of all pairs (by 64-bit hashes of shingles and texts), whatever the first links are: RADIUS and BLOCKS change
-the cost only, and so does the sample of texts from which the join's order of shingles comes here.
+the cost only.
 
 As in simhash, exact copies are one text before anything else. The driver sees counts and a table of fixed size.
 """
@@ -26,8 +26,6 @@ from .words import U64, Words, mixed, slices
 
 PAIR = 2
 WIDTH, RADIUS = 4, 36
-#: One text in SAMPLE, by its hash, counts for the order of shingles.
-SAMPLE = 4
 #: (most distinct texts, blocks of a fingerprint, blocks that must agree)
 BLOCKS = ((1 << 19, 5, 1), (1 << 27, 6, 2), (1 << 62, 7, 3))
 _WORDS = [f"w{k}" for k in range(WIDTH)]
@@ -125,9 +123,8 @@ def similar_groups(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILA
     and empty texts are equal. Repeated rows and null doc_ids stay. Other columns are ignored. An empty table has no rows.
     """
     clean = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    some = clean.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
     columns = "doc_id long, key long, " + ", ".join(f"{w} long" for w in _WORDS) + f", {MARKS}"
-    marked = clean.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(_fingerprints(n, similarity, levels(some, n)), columns)
+    marked = clean.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(_fingerprints(n, similarity, levels(clean, n)), columns)
     marked = staged(marked, "fingerprints")
     rows = staged(marked.select("doc_id", "key"), "rows")
     texts = staged(marked.groupBy("key").agg(*[F.min(w).alias(w) for w in _WORDS], *[F.first(c).alias(c) for c in ("size", "head", "sketch", *BITS)]), "texts")

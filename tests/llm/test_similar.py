@@ -121,3 +121,15 @@ def test_clashing_names_stay(spark):
     df = spark.createDataFrame([(i, "one two three four five six " + str(i // 2), *range(6)) for i in range(6)], "doc_id long, text string, w0 int, key int, root int, size int, head int, gram int")
     kept = similar.one_of_each_group(df).collect()
     assert [r.doc_id for r in sorted(kept)] == [0, 2, 4] and all(tuple(r)[2:] == tuple(range(6)) for r in kept)
+
+
+def test_order_of_shingles_is_counted_over_all_texts(spark, monkeypatch):
+    seen, count = [], similar.levels
+
+    def counted(docs, n):
+        seen.append(docs.count())
+        return count(docs, n)
+
+    monkeypatch.setattr(similar, "levels", counted)
+    docs = spark.createDataFrame([(i, f"text number {i} of some words that differ {i * i}") for i in range(40)], "doc_id long, text string")
+    assert similar.similar_groups(docs).count() == 40 and seen == [40]
