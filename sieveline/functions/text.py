@@ -336,8 +336,10 @@ def dpo_prompt(instruction: Column, variant: str = "response") -> Column:
 
 
 def loss_mask(ids: Column, prompt: Column, ignore: int = -100) -> Column:
-    """Labels for training: the first prompt tokens are ignored."""
-    return F.transform(ids, lambda t, i: F.when(i < prompt, F.lit(ignore)).otherwise(t))
+    """Labels for training: the first prompt tokens are ignored. prompt stands in no lambda, which would work it out anew for
+    each token."""
+    masked = F.least(F.greatest(prompt, F.lit(0)), F.size(ids)).cast("int")
+    return F.concat(F.array_repeat(F.lit(ignore), masked), F.slice(ids, masked + 1, F.size(ids)))
 
 
 def padded(ids: Column, size: Column, value: int) -> Column:

@@ -3,11 +3,12 @@
 import math
 import os
 import random
+import time
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
-from sieveline.functions import stats
+from sieveline.functions import stats, text
 from sieveline.operators import bootstrap, collate, evaluate, generate, leakage, models, pairs, qc, quantiles, ranking, step_up
 from sieveline.plans import catalog
 from sieveline.sources import files, snapshots
@@ -186,6 +187,22 @@ def test_labels_end_at_the_marker(spark):
     assert padded.ids == [5, 9, 8, 1, 9, 8, 2, 0, 0] and padded.labels[-2:] == [-100, -100] and len(padded.labels) == 9
 
 
+def test_labels_of_a_long_row_take_one_pass(spark):
+    n = 30_000
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda x: x * 2).alias("ids"))
+    began = time.monotonic()
+    got = df.select(collate.marker_labels(F.col("ids"), (2 * n - 2, 2 * n), F.lit(2)).alias("x"), collate.marker_labels(F.col("ids"), (6, 8), F.lit(2)).alias("y")).first()
+    # a search for the marker at each token compares 900,000,000 pairs for each of the two
+    assert time.monotonic() - began < 30
+    assert got.x == [-100] * n and got.y == [-100] * 4 + list(range(10, 2 * n + 1, 2))
+
+
+def test_loss_mask_at_its_ends(spark):
+    df = spark.createDataFrame([([7, None, 9], 2), ([7, 8], 5), ([7], 0), ([7], -3), ([7, 8], None), ([], 2), (None, 1)], "ids array<int>, prompt long")
+    got = [r[0] for r in df.select(text.loss_mask(F.col("ids"), F.col("prompt"))).collect()]
+    assert got == [[-100, -100, 9], [-100, -100], [7], [7], [7, 8], [], None]
+
+
 def test_lines_stay_in_order(spark, tmp_path):
     rng = random.Random(1)
     shards, said = [], []
