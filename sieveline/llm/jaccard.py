@@ -74,7 +74,8 @@ def sets_of(words: Words, n: int) -> list[np.ndarray]:
     """The sorted distinct shingles of each text."""
     g, owner = grams_of(words, n)
     ends = np.searchsorted(owner, np.arange(len(words.first)))
-    return [np.unique(g[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+    ordered = [np.sort(g[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+    return [s[np.append(True, s[1:] != s[:-1])] if len(s) else s for s in ordered]
 
 
 def texts_of(batch: pa.RecordBatch):
@@ -219,6 +220,10 @@ def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return staged(components(edges).withColumnRenamed("node", "key"), "roots")
 
 
+#: For each byte the four bits that its neighbouring bits make when one flips the other.
+_FOLDED = np.packbits(np.bitwise_xor.reduce(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).reshape(256, 4, 2), axis=2), axis=1)[:, 0] >> 4
+
+
 class _Sketches:
     """Long sketches of some rows, by length, and folded to half of it."""
 
@@ -234,8 +239,8 @@ class _Sketches:
 
     def _folded(self, n: int) -> np.ndarray:
         if n not in self.half:
-            rows = self.whole[n]
-            self.half[n] = np.concatenate([np.packbits(np.bitwise_xor.reduce(np.unpackbits(x, axis=1).reshape(len(x), -1, 2), axis=2), axis=1) for x in np.array_split(rows, len(rows) // 4096 + 1)])
+            fours = _FOLDED[self.whole[n]]
+            self.half[n] = fours[:, ::2] << 4 | fours[:, 1::2]
         return self.half[n]
 
     def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
